@@ -1,0 +1,31 @@
+"""Connected components by alternating stars."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ._shared import written
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) for each node with an edge; the root is the least node of its component.
+
+    edges: columns u and v of one ordered type; loops are ignored, nulls too.
+    Large and small stars take turns (logarithmically many rounds); each round
+    is written to the shared folder.
+    """
+    ordered = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    e = written(ordered, "edges")
+    w = Window.partitionBy("u")
+    seen = None
+    while True:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = both.withColumn("m", F.least(F.min("v").over(w), F.col("u"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = large.withColumn("m", F.min("v").over(w))
+        small = small.select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        e = written(small, "edges")
+        now = tuple(e.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).collect()[0])
+        if now == seen:
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        seen = now

@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, packing, source_mixing
+from . import jaccard_join, language_id, line_dedup, packing, quality_fm, source_mixing
+
 
-ROUND_TOKENS = r"[^ \t\n\x0B\f\r]+"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_pairs(_table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -23,10 +27,35 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_bitmaps(_table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.train(docs))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.mixture(_table(spark, sf_dir, "documents"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality_fm.classify(docs, quality_fm.train(docs, _table(spark, sf_dir, "labels")))
+
+
+OP3_SQL = r"""
+with w as (
+  select doc_id, [x for x in string_split_regex(lower(text), '[ \t\n\v\f\r]+') if x <> ''] as w from documents where doc_id is not null
+), g as (
+  select distinct doc_id, unnest(case when len(w) < 3 then [array_to_string(w, ' ')] else [array_to_string(w[i:i+2], ' ') for i in range(1, len(w) - 1)] end) as g from w where len(w) > 0
+), n as (
+  select doc_id, count(*) as n from g group by doc_id
+), c as (
+  select a.doc_id as doc_a, b.doc_id as doc_b, count(*) as common from g a join g b on a.g = b.g and a.doc_id < b.doc_id group by all
+)
+select doc_a, doc_b, common, common / (x.n + y.n - common) as jaccard
+from c join n x on x.doc_id = doc_a join n y on y.doc_id = doc_b
+where common >= 0.5 * (x.n + y.n - common) - 1e-9
+"""
+
 OP7_SQL = r"""
 with lines as (
   select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos
@@ -69,4 +98,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": OP7_SQL, "op9_source_mixing": OP9_SQL}
+    return {"op3_ngram_jaccard_join": OP3_SQL, "op7_line_dedup": OP7_SQL, "op9_source_mixing": OP9_SQL}
