@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ._names import fresh
 from ._text import WHITE, U64, pieces, span_hashes, spans, text_buffer
 
-WORD_BUCKETS = 1 << 16
+WORD_BITS = 18
+WORD_BUCKETS = 1 << WORD_BITS
 META_BUCKETS = 64
 FACTORS = 8
 #: Labelled rows that the model is fitted on, at most (those of lowest hashed id).
@@ -21,6 +22,11 @@ THRESHOLD = 0.5
 
 _SIGN = np.zeros(256, bool)
 _SIGN[list(b"|%&$#*!~^<>{}[]=_+@\\")] = True
+#: White space and ASCII punctuation part the words that are hashed; capitals are lowered.
+_APART = WHITE.copy()
+_APART[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 _DIGIT = np.zeros(256, bool)
@@ -61,14 +67,16 @@ def features(text, meta: list) -> "Iterator[tuple]":  # noqa: F821
         start, end, doc = spans(part, o)
         h = span_hashes(part, start, end)
         words = np.bincount(doc, minlength=n)
-        key = np.sort((doc.astype(np.int64) << 16) | (h & U64(WORD_BUCKETS - 1)).astype(np.int64))
+        low = _FOLD[part]
+        ws, we, wdoc = spans(low, o, _APART)
+        key = np.sort((wdoc.astype(np.int64) << WORD_BITS) | (span_hashes(low, ws, we) & U64(WORD_BUCKETS - 1)).astype(np.int64))
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
         times = np.diff(np.r_[first, len(key)])
         key = key[first]
-        d, bucket = key >> 16, key & (WORD_BUCKETS - 1)
+        d, bucket = key >> WORD_BITS, key & (WORD_BUCKETS - 1)
         value = (1 + np.log(times)).astype(np.float32)
         distinct = np.bincount(d, minlength=n)
-        norm = np.sqrt(np.bincount(d, weights=value * value, minlength=n))
+        norm = np.sqrt(np.sqrt(np.bincount(d, weights=value * value, minlength=n)))
         value /= np.maximum(norm, 1e-9)[d].astype(np.float32)
 
         size = np.diff(o)
@@ -81,7 +89,7 @@ def features(text, meta: list) -> "Iterator[tuple]":  # noqa: F821
         if len(h):
             again[1:] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
         stats = np.stack([
-            np.log1p(size), np.log1p(words), (end - start).astype(float) @ np.zeros(len(end)) + np.bincount(doc, weights=end - start, minlength=n) / w,
+            np.log1p(size), np.log1p(words), np.bincount(doc, weights=end - start, minlength=n) / w,
             _count(_SIGN, part, o) / chars, _count(_UPPER, part, o) / chars, _count(_DIGIT, part, o) / chars, np.log1p(words / lines),
             distinct / w, np.bincount(doc, weights=last_sign, minlength=n) / w, np.bincount(doc, weights=all_sign, minlength=n) / w,
             np.bincount(doc, weights=again, minlength=n) / w, _count(WHITE, part, o) / chars,
@@ -126,7 +134,7 @@ def score(model: Model, d: np.ndarray, bucket: np.ndarray, value: np.ndarray, st
     return out
 
 
-def fit(rows: list[tuple], labels: np.ndarray, factors: int = FACTORS, epochs: int = 6, rate: float = 0.1, l2: float = 1e-5, seed: int = 0) -> Model:
+def fit(rows: list[tuple], labels: np.ndarray, factors: int = FACTORS, epochs: int = 5, rate: float = 0.3, l2: float = 3e-6, seed: int = 0) -> Model:
     """Fit both heads with AdaGrad on mini-batches.
 
     rows: for each document (buckets, values, stats, meta buckets); labels: two
@@ -211,7 +219,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_c
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(a, b - a).cast(pa.string()), batch.column("quality").slice(a, b - a), batch.column("toxic").slice(a, b - a),
-                        pa.array([bucket[i:j].astype("<u2").tobytes() for i, j in zip(cut, cut[1:])], pa.binary()), pa.array([value[i:j].astype("<f4").tobytes() for i, j in zip(cut, cut[1:])], pa.binary()),
+                        pa.array([bucket[i:j].astype("<u4").tobytes() for i, j in zip(cut, cut[1:])], pa.binary()), pa.array([value[i:j].astype("<f4").tobytes() for i, j in zip(cut, cut[1:])], pa.binary()),
                         pa.array([s.tobytes() for s in stats.astype("<f4")], pa.binary()), pa.array([m.astype("<i8").tobytes() for m in meta], pa.binary()),
                     ],
                     names=["doc_id", "quality", "toxic", "bucket", "value", "stats", "meta"],
@@ -220,7 +228,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_c
     got = joined.mapInArrow(extract, "doc_id string, quality int, toxic int, bucket binary, value binary, stats binary, meta binary").toArrow()
     got = got.sort_by([("doc_id", "ascending"), ("bucket", "ascending"), ("value", "ascending")])
     rows = [
-        (np.frombuffer(b, "<u2"), np.frombuffer(v, "<f4"), np.frombuffer(s, "<f4"), np.frombuffer(m, "<i8"))
+        (np.frombuffer(b, "<u4"), np.frombuffer(v, "<f4"), np.frombuffer(s, "<f4"), np.frombuffer(m, "<i8"))
         for b, v, s, m in zip(*(got.column(c).to_pylist() for c in ("bucket", "value", "stats", "meta")))
     ]
     y = np.stack([got.column("quality").to_numpy(), got.column("toxic").to_numpy()], axis=1).astype(np.float32) if rows else np.zeros((0, 2), np.float32)
