@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import jaccard_join, language_id, line_dedup, packing, quality_fm, source_mixing
+from . import ann_forest, embedding_dedup, jaccard_join, language_id, line_dedup, packing, quality_fm, source_mixing, url_filter
 
 
 
@@ -15,6 +16,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return url_filter.score_urls(pages, url_filter.labelled_pages(pages, _table(spark, sf_dir, "labels")))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_pairs(_table(spark, sf_dir, "documents"))
 
@@ -23,6 +29,14 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_forest.nearest(_table(spark, sf_dir, "embeddings"))
+
+
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings")).select("vec_a", "vec_b", F.round("cosine", 4).alias("cosine"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_bitmaps(_table(spark, sf_dir, "documents")).drop("text_hash")
 
@@ -56,6 +70,12 @@ from c join n x on x.doc_id = doc_a join n y on y.doc_id = doc_b
 where common >= 0.5 * (x.n + y.n - common) - 1e-9
 """
 
+OP6_SQL = """
+select a.vec_id as vec_a, b.vec_id as vec_b, round(list_cosine_similarity(a.embedding, b.embedding)::double, 4) as cosine
+from embeddings a join embeddings b on a.vec_id < b.vec_id
+where list_cosine_similarity(a.embedding, b.embedding) >= 0.9
+"""
+
 OP7_SQL = r"""
 with lines as (
   select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos
@@ -98,4 +118,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_jaccard_join": OP3_SQL, "op7_line_dedup": OP7_SQL, "op9_source_mixing": OP9_SQL}
+    return {"op3_ngram_jaccard_join": OP3_SQL, "op6_embedding_near_dedup": OP6_SQL, "op7_line_dedup": OP7_SQL, "op9_source_mixing": OP9_SQL}
