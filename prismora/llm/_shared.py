@@ -61,19 +61,27 @@ def put_file(path: str, data: bytes | np.ndarray) -> None:
     os.replace(tmp, path)
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Non-negative 64-bit integers as compressed byte planes."""
+    raw = values.astype("<u8").view(np.uint8).reshape(-1, 8).T.copy()
+    return len(values).to_bytes(8, "little") + pa.compress(raw.tobytes(), codec="zstd", asbytes=True)
+
+
+def unplanes(blob: bytes) -> np.ndarray:
+    n = int.from_bytes(blob[:8], "little")
+    raw = pa.decompress(blob[8:], decompressed_size=8 * n, codec="zstd", asbytes=True)
+    return np.frombuffer(raw, np.uint8).reshape(8, n).T.copy().view("<i8").reshape(-1)
+
+
 def squeeze(keys: np.ndarray) -> bytes:
     """Sorted uint64 keys as compressed byte planes of their differences."""
-    d = keys.astype(np.uint64).copy()
+    d = keys.astype(np.uint64)
     d[1:] -= keys[:-1].astype(np.uint64)
-    planes = d.astype("<u8").view(np.uint8).reshape(-1, 8).T.copy()
-    return len(keys).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+    return planes(d)
 
 
 def unsqueeze(blob: bytes) -> np.ndarray:
-    n = int.from_bytes(blob[:8], "little")
-    raw = pa.decompress(blob[8:], decompressed_size=8 * n, codec="zstd", asbytes=True)
-    d = np.frombuffer(raw, np.uint8).reshape(8, n).T.copy().view("<u8").reshape(-1)
-    return np.cumsum(d, dtype=np.uint64)
+    return np.cumsum(unplanes(blob).view(np.uint64), dtype=np.uint64)
 
 
 def release() -> None:

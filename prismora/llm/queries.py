@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_forest, embedding_dedup, jaccard_join, language_id, line_dedup, packing, quality_fm, source_mixing, url_filter
+from . import ann_forest, embedding_dedup, jaccard_join, language_id, line_dedup, ngram_lm, packing, quality_fm, source_mixing, url_filter
 
 
 
@@ -21,6 +21,11 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.score_urls(pages, url_filter.labelled_pages(pages, _table(spark, sf_dir, "labels")))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return ngram_lm.score(docs, ngram_lm.build(docs))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_pairs(_table(spark, sf_dir, "documents"))
 
