@@ -1,0 +1 @@
+"""A PySpark-native engine for curated, multi-valued catalogue data."""

@@ -1 +1 @@
-
+"""Column functions: text, derivations and arrays."""

@@ -1 +1 @@
-
+"""Relational operators over catalogue tables."""

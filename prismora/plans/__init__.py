@@ -1 +1 @@
-
+"""Faceted queries as declarative plans."""

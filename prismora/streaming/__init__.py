@@ -1 +1 @@
-
+"""Append-only shards as a stream."""
