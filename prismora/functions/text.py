@@ -16,8 +16,15 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+
+
+def _row(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(k, t) for k, t in fields.items()])
+
+
 # ------------------------------------------------------------------ URLs
 
 
@@ -81,7 +88,7 @@ def fold_text(value: str | None) -> str | None:
     return "".join(c for c in unicodedata.normalize("NFKD", value) if not unicodedata.combining(c)).lower()
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def _fold(s: pd.Series) -> pd.Series:
     return s.map(fold_text, na_action="ignore")
 
@@ -108,7 +115,7 @@ def comparison_key_of(value: str | None, transliterate: bool = True) -> str | No
     return " ".join(re.sub(r"[^\w]+", " ", bare).split())
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def comparison_key(s: pd.Series) -> pd.Series:
     return s.map(comparison_key_of, na_action="ignore")
 
@@ -122,7 +129,7 @@ def canonical_text(text: Column) -> Column:
     return _nfc(squeeze(plain))
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda v: v if v.isascii() else unicodedata.normalize("NFC", v), na_action="ignore")
 
@@ -154,7 +161,7 @@ def split_bibliography(text: Column) -> Column:
 _HEADING = re.compile(r"^[ \t]*(?:\d+[.)]?[ \t]*)?(?:bibliography|references?|works cited|literature cited)[ \t]*:?[ \t]*$", re.I | re.M)
 
 
-@pandas_udf("body string, bibliography string")
+@pandas_udf(_row(body=T.StringType(), bibliography=T.StringType()))
 def _split_bibliography(s: pd.Series) -> pd.DataFrame:
     out = []
     for v in s:
@@ -179,7 +186,7 @@ def windows(text: Column, pattern: str, limit: int, width: int = 600) -> Column:
     """Passages of `width` characters around matches, a third before; matches inside a taken window add none; evenly sampled to `limit`."""
     find = re.compile(pattern)
 
-    @pandas_udf("array<string>")
+    @pandas_udf(T.ArrayType(T.StringType()))
     def run(s: pd.Series) -> pd.Series:
         out = []
         for v in s:
@@ -267,7 +274,7 @@ def mended(value: str) -> str | None:
     return None
 
 
-@pandas_udf("array<string>")
+@pandas_udf(T.ArrayType(T.StringType()))
 def json_objects(s: pd.Series) -> pd.Series:
     """The readable objects of a text, as JSON."""
     return s.map(lambda v: [m for o in objects_of(v) if (m := mended(o)) is not None], na_action="ignore")
@@ -281,12 +288,12 @@ def meta_content(page: Column, name: str) -> Column:
     return unescape(F.coalesce(F.nullif(one, F.lit("")), F.nullif(two, F.lit(""))))
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def unescape(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def absolute_url(base: pd.Series, link: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else urljoin(a, b) for a, b in zip(base, link)])
 
@@ -314,7 +321,7 @@ def person_names(value) -> list[str]:
 _ARTICLES = {"article", "scholarlyarticle", "newsarticle", "blogposting", "report", "techarticle", "thesis"}
 
 
-@pandas_udf("type string, title string, authors array<string>")
+@pandas_udf(_row(type=T.StringType(), title=T.StringType(), authors=T.ArrayType(T.StringType())))
 def json_ld_article(page: pd.Series) -> pd.DataFrame:
     """The first article with an author in a page's JSON-LD."""
     out = []
@@ -341,7 +348,7 @@ def json_ld_article(page: pd.Series) -> pd.DataFrame:
 # ------------------------------------------------------------------ similarity
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-block ratio of two texts (0 for a null)."""
     return pd.Series([SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else 0.0 for x, y in zip(a, b)])
@@ -424,6 +431,6 @@ def person_name_of(raw: str | None) -> tuple[str | None, str, list[str]]:
     return name, "changed" if notes else "unchanged", notes
 
 
-@pandas_udf("value string, status string, notes array<string>")
+@pandas_udf(_row(value=T.StringType(), status=T.StringType(), notes=T.ArrayType(T.StringType())))
 def person_name(s: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([person_name_of(v) for v in s], columns=["value", "status", "notes"])
