@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import release
 from ._text import U64, mix64
 from ._vectors import VectorFiles, put_vectors
 
@@ -14,6 +15,8 @@ THRESHOLD = 0.9
 TABLES = 40
 HASHES = 10
 WIDTH = 1.5
+#: Vectors that one task looks at in one table, about.
+PART_ROWS = 16384
 
 
 def bucket_keys(x: np.ndarray, tables: int, hashes: int, width: float, seed: int) -> np.ndarray:
@@ -49,19 +52,50 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, tables: int = T
         return [pa.ListArray.from_arrays(pa.array(np.arange(0, k.size + 1, tables, dtype=np.int32)), pa.array(k.reshape(-1)))]
 
     folder, _, rows = put_vectors(df, id_col, vector_col, keys, "keys array<bigint>", "dedup-vectors")
-    spread = rows.select("row", F.posexplode("keys").alias("table", "key"))
+    parts = max(1, -(-rows.count() // PART_ROWS))
+    spread = rows.select("row", F.posexplode("keys").alias("table", "key")).withColumn("part", F.pmod("key", F.lit(parts)))
 
     def pairs(key, members):
         table = key[0].as_py()
         files = VectorFiles(folder)
-        row = np.sort(members.column("row").to_numpy())
+        order = np.lexsort((members.column("row").to_numpy(), members.column("key").to_numpy()))
+        row, bucket = members.column("row").to_numpy()[order], members.column("key").to_numpy()[order]
+        start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        length = np.diff(np.r_[start, len(bucket)])
+        some = np.repeat(length > 1, length)
+        row = row[some]
+        length = length[length > 1]
+        start = np.cumsum(length) - length
         x = files.vectors(row)
-        out = []
-        for lo in range(0, len(row), 1024):
-            s = x[lo : lo + 1024] @ x[lo:].T
-            i, j = np.nonzero(s >= threshold - 1e-6)
-            later = j > i
-            out.append((i[later] + lo, j[later] + lo, s[i[later], j[later]]))
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
+
+        def checked(i, j, s):
+            near = s >= threshold - 1e-6
+            out.append((i[near], j[near], s[near]))
+
+        # Small buckets together, each member with its later ones; large ones by blocks of a product.
+        small = length <= 64
+        at = np.repeat(start[small], length[small])
+        size = np.repeat(length[small], length[small])
+        place = np.arange(len(at)) - np.repeat(np.cumsum(length[small]) - length[small], length[small])
+        at, after = at + place, size - 1 - place
+        ends = np.cumsum(after)
+        lo = 0
+        while lo < len(at):
+            hi = max(int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 17), side="right")), lo + 1)
+            m = after[lo:hi]
+            i = np.repeat(at[lo:hi], m)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m)
+            checked(i, j, np.einsum("ij,ij->i", x[i], x[j]))
+            lo = hi
+        for a, n in zip(start[~small], length[~small]):
+            for lo in range(a, a + n, 1024):
+                hi = min(lo + 1024, a + n)
+                s = x[lo:hi] @ x[lo : a + n].T
+                i, j = np.nonzero(s >= threshold - 1e-6)
+                later = j > i
+                i, j = i[later], j[later]
+                checked(i + lo, j + lo, s[i, j])
         i, j, s = (np.concatenate(c) for c in zip(*out))
         if table and len(i):
             u, back = np.unique(np.r_[i, j], return_inverse=True)
@@ -73,10 +107,7 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, tables: int = T
             i, j, s = i[first], j[first], s[first]
         ids = files.ids(row) if len(row) else np.zeros(0, np.int64)
         a, b = ids[i], ids[j]
+        release()
         return pa.table({"vec_a": np.minimum(a, b), "vec_b": np.maximum(a, b), "cosine": np.minimum(s, 1).astype(np.float64)})
 
-    # Buckets of one vector have no pairs and needn't reach Python.
-    from pyspark.sql import Window
-
-    shared = spread.withColumn("n", F.count("*").over(Window.partitionBy("table", "key"))).where("n > 1")
-    return shared.groupBy("table", "key").applyInArrow(pairs, "vec_a bigint, vec_b bigint, cosine double").where(F.col("cosine") >= threshold)
+    return spread.groupBy("table", "part").applyInArrow(pairs, "vec_a bigint, vec_b bigint, cosine double").where(F.col("cosine") >= threshold)
