@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ._graph import components
 from ._names import fresh
-from ._shared import local_path, new_folder, squeeze, unsqueeze, written
+from ._shared import local_path, new_folder, release, squeeze, unsqueeze, written
 from ._sorted_files import SortedFiles, put_shard, shard_of
 from ._text import U64, mix64, ngram_sets, words
 
@@ -19,8 +21,8 @@ THRESHOLD = 0.5
 FRAGMENTS = 4
 #: Text bytes, and n-grams of documents, that one task of a reduction gets.
 SHARD_BYTES = 24 << 20
-SHARD_GRAMS = 4 << 20
-_FLUSH = 2 << 20
+SHARD_GRAMS = 2 << 20
+_FLUSH = 1 << 20
 _DF_BITS = 48
 
 
@@ -53,6 +55,8 @@ def _frequencies(n: int, shards: int):
                     held, size = [], 0
         if held:
             yield flush()
+        del held
+        release()
 
     return run
 
@@ -67,6 +71,8 @@ def _repeated(folder: str):
         times = np.diff(np.r_[first, len(keys)])
         more = times > 1
         put_shard(folder, shard, keys[first[more]], times[more].astype(np.uint32))
+        del keys, first, times
+        release()
         return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([int(more.sum())], pa.int64())})
 
     return run
@@ -87,6 +93,7 @@ def _survivors(n: int, threshold: float, folder: str, shards: int):
                 if size >= _FLUSH or b == batch.num_rows:
                     yield one(lookup, ids, np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]), first, b)
                     held, size, first = [], 0, None
+        release()
 
     def one(lookup, ids, d, g, first, last):
         count = last - first
@@ -103,53 +110,67 @@ def _survivors(n: int, threshold: float, folder: str, shards: int):
         if len(heads):
             sums[d[heads]] = np.add.reduceat(mix64(g), heads)
         sig = mix64(sums + size.astype(U64)).view(np.int64)
+        more &= keep[d]
         d, g, df = d[more], g[more], df[more]
         cut = np.searchsorted(d, np.arange(count + 1))
+        # The rarest n-grams, by document frequency and hash: two similar documents have one of these in common.
+        # Those that occur once come first and have no partner, so they only shorten the rest.
+        length = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1 - (size - again)
+        order = np.lexsort((g, df, d))
+        rare = np.empty(len(g), bool)
+        rare[order] = np.arange(len(g)) - cut[d] < length[d]
+        rares = np.bincount(d[rare], minlength=count)
         at = np.flatnonzero(keep)
         return pa.RecordBatch.from_arrays(
             [
                 ids.take(pa.array(at + first)), pa.array(sig[at]), pa.array(size[at]),
                 pa.array([g[cut[i] : cut[i + 1]].astype("<u8").tobytes() for i in at], pa.binary()),
-                pa.array([np.minimum(df[cut[i] : cut[i + 1]], 2**32 - 1).astype("<u4").tobytes() for i in at], pa.binary()),
+                pa.array([np.packbits(rare[cut[i] : cut[i + 1]]).tobytes() for i in at], pa.binary()), pa.array(rares[at]),
             ],
-            names=["doc_id", "sig", "size", "grams", "df"],
+            names=["doc_id", "sig", "size", "grams", "rare", "rares"],
         )
 
     return run
 
 
 def _unpack(batch):
-    """Row number and hash of the n-grams in a batch of survivors, and their number in each row."""
+    """Row number, hash and rareness of the n-grams in a batch of survivors."""
     raw = [x.as_py() for x in batch.column("grams")]
     count = np.array([len(x) // 8 for x in raw], np.int64)
-    return np.repeat(np.arange(len(raw)), count), np.frombuffer(b"".join(raw), "<u8"), count
+    rare = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=n) for x, n in zip(batch.column("rare"), count)]
+    return np.repeat(np.arange(len(raw)), count), np.frombuffer(b"".join(raw), "<u8"), np.concatenate(rare).astype(bool) if rare else np.zeros(0, bool)
 
 
 def _postings_blob(keys: np.ndarray, row: np.ndarray, sig: np.ndarray, size: np.ndarray) -> tuple[bytes, bytes, bytes]:
     """Sorted keys; for each the place of its document in the list of documents; that list."""
     at, back = np.unique(row, return_inverse=True)
-    return squeeze(keys), back.astype("<u4").tobytes(), np.stack([sig[at], size[at]]).astype("<i8").tobytes()
+    return squeeze(keys), back.astype("<u2" if len(at) <= 65536 else "<u4").tobytes(), np.stack([sig[at], size[at]]).astype("<i8").tobytes()
 
 
-def _prefixes(threshold: float, shards: int):
-    """The rarest n-grams of each survivor: two similar documents have one of these in common.
+def _postings(table, *more: str):
+    """The blobs of a group together: keys, place in the documents, and these (signature and size) once each."""
+    keys, place, docs, rest, base = [], [], [], [], 0
+    for k, at, d, *x in zip(*(table.column(c) for c in ("keys", "at", "docs", *more))):
+        keys.append(unsqueeze(k.as_py()))
+        raw = at.as_py()
+        place.append(np.frombuffer(raw, "<u2" if len(raw) == 2 * len(keys[-1]) else "<u4").astype(np.uint32) + np.uint32(base))
+        docs.append(np.frombuffer(d.as_py(), "<i8").reshape(2, -1))
+        rest.append([np.unpackbits(np.frombuffer(y.as_py(), np.uint8), count=len(keys[-1])).astype(bool) for y in x])
+        base += docs[-1].shape[1]
+    both = np.concatenate(docs, axis=1)
+    sig, first, back = np.unique(both[0], return_index=True, return_inverse=True)
+    place = back.astype(np.uint32)[np.concatenate(place)]
+    return np.concatenate(keys), place, sig, both[1][first], *(np.concatenate(x) for x in zip(*rest))
 
-    N-grams are ordered by document frequency and hash; those that occur once
-    come first and have no partner, so they only shorten what is sent.
-    """
+
+def _rarest(shards: int):
+    """The rarest n-grams of each survivor by range of the hash."""
 
     def run(batches):
         for batch in batches:
-            row, g, count = _unpack(batch)
-            if not len(g):
-                continue
-            df = np.frombuffer(b"".join(x.as_py() for x in batch.column("df")), "<u4")
+            row, g, rare = _unpack(batch)
+            keys, rows = g[rare], row[rare]
             size, sig = batch.column("size").to_numpy(), batch.column("sig").to_numpy()
-            order = np.lexsort((g, df, row))
-            rank = np.arange(len(g)) - np.repeat(np.cumsum(count) - count, count)
-            length = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1 - (size - count)
-            order = order[rank < length[row]]
-            keys, rows = g[order], row[order]
             by = np.argsort(keys)
             keys, rows = keys[by], rows[by]
             shard = shard_of(keys, 64, shards)
@@ -177,138 +198,134 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return root
 
 
-def _candidates(threshold: float):
-    """Reduce side of the prefixes: pairs with a prefix n-gram in common and sizes that allow the threshold.
+def _links(key, table):
+    """From each document to the least one that shared rarest n-grams connect it with in this range."""
+    keys, place, sig, _ = _postings(table)
+    order = np.argsort(keys)
+    keys, place = keys[order], place[order].astype(np.int64)
+    start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    length = np.diff(np.r_[start, len(keys)])
+    root = _forest(place[np.repeat(start, length)], place, len(sig))
+    linked = np.flatnonzero(root != np.arange(len(sig)))
+    del keys, place, order
+    release()
+    return pa.table({"u": pa.array(sig[linked]), "v": pa.array(sig[root[linked]])})
 
-    Also, with size -1, a link from each document to the least one that it is
-    connected with here: components of these links hold all pairs.
-    """
 
-    def run(key, table):
-        keys, place, sigs, sizes, base = [], [], [], [], 0
-        for k, at, docs in zip(*(table.column(c).to_pylist() for c in ("keys", "at", "docs"))):
-            keys.append(unsqueeze(k))
-            place.append(np.frombuffer(at, "<u4").astype(np.int64) + base)
-            both = np.frombuffer(docs, "<i8").reshape(2, -1)
-            sigs.append(both[0])
-            sizes.append(both[1])
-            base += both.shape[1]
-        sig, size = np.concatenate(sigs), np.concatenate(sizes)
-        sig, first, back = np.unique(sig, return_index=True, return_inverse=True)
-        size = size[first]
-        keys, place = np.concatenate(keys), back[np.concatenate(place)]
-        order = np.lexsort((place, keys))
-        keys, place = keys[order], place[order]
-        new = np.r_[True, (keys[1:] != keys[:-1]) | (place[1:] != place[:-1])]
-        keys, place = keys[new], place[new]
-        start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        length = np.diff(np.r_[start, len(keys)])
-        shared = length > 1
-        start, length = start[shared], length[shared]
-        n = len(sig)
-        # Each posting with all the later ones of its list, some millions at once.
-        left = np.repeat(length, length)
-        pos = np.arange(len(left)) - np.repeat(np.cumsum(length) - length, length)
-        after = left - 1 - pos
-        where = np.repeat(start, length) + pos
-        root = _forest(place[np.repeat(start, length)], place[where], n)
-        pairs = np.zeros(0, np.int64)
-        ends = np.cumsum(after)
-        lo = 0
-        while lo < len(after):
-            hi = max(int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (4 << 20), side="right")), lo + 1)
-            m = after[lo:hi]
-            i = np.repeat(where[lo:hi], m)
-            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m)
-            a, b = place[i], place[j]
-            near = np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b]) - 1e-9
-            pairs = np.union1d(pairs, a[near] * n + b[near])
-            lo = hi
-        a, b = pairs // max(n, 1), pairs % max(n, 1)
-        linked = np.flatnonzero(root != np.arange(n))
-        return pa.table({
-            "a": pa.array(np.r_[sig[a], sig[root[linked]]]), "b": pa.array(np.r_[sig[b], sig[linked]]),
-            "size_a": pa.array(np.r_[size[a], np.full(len(linked), -1)]), "size_b": pa.array(np.r_[size[b], np.full(len(linked), -1)]),
-        })
-
-    return run
-
-
-def _fragments(folder: str, parts: int):
-    """Segments of the survivors that have a component: by component part and range of the n-gram order."""
+def _segments(folder: str, parts: int):
+    """The n-grams of the survivors that have a component, by part of the components."""
 
     def run(batches):
-        lookup = SortedFiles(folder, 64, 1)
+        lookup = SortedFiles(folder, 64, parts)
         for batch in batches:
-            row, g, _ = _unpack(batch)
-            sig = batch.column("sig").to_numpy()
+            row, g, rare = _unpack(batch)
+            sig, size = batch.column("sig").to_numpy(), batch.column("size").to_numpy()
             order = np.argsort(sig.view(np.uint64))
-            root = np.empty(len(sig), np.int64)
-            root[order] = lookup.get(sig.view(np.uint64)[order], -1)
-            keep = root[row] >= 0
-            row, g = row[keep], g[keep]
+            part = np.empty(len(sig), np.int64)
+            part[order] = lookup.get(sig.view(np.uint64)[order], -1)
+            keep = part[row] >= 0
+            row, g, rare = row[keep], g[keep], rare[keep]
             if not len(g):
                 continue
-            unit = root[row] * FRAGMENTS + (g >> U64(62)).astype(np.int64) * FRAGMENTS // 4
-            order = np.lexsort((g, unit))
-            unit, row, g = unit[order], row[order], g[order]
+            order = np.lexsort((g, part[row]))
+            row, g, rare = row[order], g[order], rare[order]
+            unit = part[row]
             cuts = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
-            blobs = [_postings_blob(g[i:j], row[i:j], sig, sig) for i, j in zip(cuts, np.r_[cuts[1:], len(g)])]
-            yield pa.RecordBatch.from_arrays([pa.array(unit[cuts]), *(pa.array([x[k] for x in blobs], pa.binary()) for k in range(3))], names=["unit", "keys", "at", "docs"])
+            ends = np.r_[cuts[1:], len(g)]
+            blobs = [(*_postings_blob(g[i:j], row[i:j], sig, size), np.packbits(rare[i:j]).tobytes()) for i, j in zip(cuts, ends)]
+            yield pa.RecordBatch.from_arrays([pa.array(unit[cuts]), *(pa.array([x[k] for x in blobs], pa.binary()) for k in range(4))], names=["part", "keys", "at", "docs", "rare"])
 
     return run
 
 
-def _overlaps(key, segments, pairs):
-    """N-grams of one range that each pair of documents has in common."""
-    none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "size_a": pa.array([], pa.int64()), "size_b": pa.array([], pa.int64()), "common": pa.array([], pa.int64())})
-    if not segments.num_rows or not pairs.num_rows:
-        return none
-    keys, place, sigs, base = [], [], [], 0
-    for k, at, docs in zip(*(segments.column(c).to_pylist() for c in ("keys", "at", "docs"))):
-        keys.append(unsqueeze(k))
-        place.append(np.frombuffer(at, "<u4").astype(np.int64) + base)
-        sigs.append(np.frombuffer(docs, "<i8").reshape(2, -1)[0])
-        base += len(sigs[-1])
-    sig, back = np.unique(np.concatenate(sigs), return_inverse=True)
-    grams, gram = np.unique(np.concatenate(keys), return_inverse=True)
-    place = back[np.concatenate(place)]
-    order = np.lexsort((gram, place))
-    place, gram = place[order], gram[order]
-    new = np.r_[True, (place[1:] != place[:-1]) | (gram[1:] != gram[:-1])]
-    place, gram = place[new], gram[new]
-    begin = np.searchsorted(place, np.arange(len(sig) + 1))
-    a, b, sa, sb = (pairs.column(c).to_numpy() for c in ("a", "b", "size_a", "size_b"))
-    ia, ib = np.searchsorted(sig, a), np.searchsorted(sig, b)
-    ia[ia == len(sig)] = 0
-    ib[ib == len(sig)] = 0
-    here = (sig[ia] == a) & (sig[ib] == b)
-    a, b, sa, sb, ia, ib = a[here], b[here], sa[here], sb[here], ia[here], ib[here]
-    order = np.argsort(ia, kind="stable")
-    a, b, sa, sb, ia, ib = (x[order] for x in (a, b, sa, sb, ia, ib))
-    common = np.zeros(len(a), np.int64)
-    flag = np.zeros(len(grams), bool)
-    cuts = np.flatnonzero(np.r_[True, ia[1:] != ia[:-1]]) if len(ia) else np.zeros(0, np.int64)
-    for i, j in zip(cuts, np.r_[cuts[1:], len(ia)]):
-        own = gram[begin[ia[i]] : begin[ia[i] + 1]]
-        flag[own] = True
-        for lo in range(i, j, 4096):
-            hi = min(lo + 4096, j)
-            s = begin[ib[lo:hi]]
-            m = begin[ib[lo:hi] + 1] - s
-            head = np.cumsum(m) - m
-            at = np.arange(m.sum()) - np.repeat(head, m) + np.repeat(s, m)
-            common[lo:hi] = np.add.reduceat(flag[gram[at]].astype(np.int64), head)
-        flag[own] = False
-    some = common > 0
-    return pa.table({"a": a[some], "b": b[some], "size_a": sa[some], "size_b": sb[some], "common": common[some]})
+def _spans_of(begin: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all entries of these rows one after another, and where each row's begin."""
+    s = begin[which]
+    m = begin[which + 1] - s
+    head = np.cumsum(m) - m
+    return np.arange(m.sum()) - np.repeat(head, m) + np.repeat(s, m), head
+
+
+def _joined(threshold: float):
+    """All similar pairs of a part: candidates by shared rarest n-grams, overlaps by fragment, summed per pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, place, sig, size, rare = _postings(pa.Table.from_batches(list(batches)), "rare")
+        n = len(sig)
+        gram = np.unique(keys, return_inverse=True)[1]
+        grams = int(gram.max()) + 1 if len(gram) else 0
+        order = np.lexsort((gram, place))
+        place, gram, rare = place[order].astype(np.int64), gram[order], rare[order]
+        new = np.r_[True, (place[1:] != place[:-1]) | (gram[1:] != gram[:-1])]
+        place, gram, rare = place[new], gram[new], rare[new]
+        del keys, order, new
+        # Who has an n-gram among its rarest, by n-gram; and the rarest of each document.
+        rd, rg = place[rare], gram[rare]
+        begin_r = np.searchsorted(rd, np.arange(n + 1))
+        by = np.argsort(rg, kind="stable")
+        who, begin_w = rd[by], np.searchsorted(rg[by], np.arange(grams + 1))
+        # The order of n-grams is cut into ranges; each has the documents' n-grams of its own.
+        edges = [grams * f // FRAGMENTS for f in range(FRAGMENTS + 1)]
+        cut = []
+        for lo, hi in zip(edges, edges[1:]):
+            here = (gram >= lo) & (gram < hi)
+            cut.append((gram[here], np.searchsorted(place[here], np.arange(n + 1))))
+        del place, gram, rare, rd, by
+        flag = np.zeros(grams + 1, bool)
+
+        def counted(left, first, right):
+            """Overlaps of pairs: left documents, where the partners of each begin, partners."""
+            total = np.zeros(len(right), np.int64)
+            for own, begin in cut:
+                for a, i, j in zip(left, first, np.r_[first[1:], len(right)]):
+                    mine = own[begin[a] : begin[a + 1]]
+                    if not len(mine):
+                        continue
+                    flag[mine] = True
+                    for lo in range(i, j, 4096):
+                        hi = min(lo + 4096, j)
+                        at, head = _spans_of(begin, right[lo:hi])
+                        some = begin[right[lo:hi] + 1] > begin[right[lo:hi]]
+                        if len(at):
+                            total[lo:hi][some] += np.add.reduceat(flag[own[at]].astype(np.int64), head[some])
+                    flag[mine] = False
+            return total
+
+        def told(left, first, right):
+            a = np.repeat(left, np.diff(np.r_[first, len(right)]))
+            common = counted(left, first, right)
+            near = common >= threshold * (size[a] + size[right] - common) - 1e-9
+            a, b, common = a[near], right[near], common[near]
+            return pa.RecordBatch.from_arrays([pa.array(sig[a]), pa.array(sig[b]), pa.array(size[a]), pa.array(size[b]), pa.array(common)], names=["a", "b", "size_a", "size_b", "common"])
+
+        left, first, right, waiting = [], [], [], 0
+        for a in range(n):
+            at, _ = _spans_of(begin_w, rg[begin_r[a] : begin_r[a + 1]])
+            b = who[at]
+            b = np.unique(b[b > a])
+            b = b[np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b]) - 1e-9]
+            if len(b):
+                left.append(a)
+                first.append(waiting)
+                right.append(b)
+                waiting += len(b)
+            if waiting >= 1 << 17:
+                yield told(np.array(left), np.array(first), np.concatenate(right))
+                left, first, right, waiting = [], [], [], 0
+        if waiting:
+            yield told(np.array(left), np.array(first), np.concatenate(right))
+        del who, cut, flag
+        release()
+
+    return run
 
 
 def _put_labels(folder: str):
     def run(key, table):
+        shard = key[0].as_py()
         node, part = table.column("node").to_numpy().view(np.uint64), table.column("part").to_numpy()
         order = np.argsort(node)
-        put_shard(folder, 0, node[order], part[order])
+        put_shard(folder, shard, node[order], part[order])
         return pa.table({"n": pa.array([len(node)], pa.int64())})
 
     return run
@@ -332,22 +349,18 @@ def similar_sets(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD,
     packed = own.select("text").mapInArrow(_frequencies(n, shards), "shard int, keys binary")
     packed.groupBy("shard").applyInArrow(_repeated(folder), "shard int, n bigint").agg(F.sum("n")).collect()
 
-    kept = written(own.mapInArrow(_survivors(n, threshold, folder, shards), f"doc_id {id_type}, sig bigint, size bigint, grams binary, df binary"), "ngram-survivors")
-    grams = kept.agg(F.coalesce(F.sum("size"), F.lit(0))).collect()[0][0]
-    parts = int(-(-grams // SHARD_GRAMS)) or 1
-    near = kept.mapInArrow(_prefixes(threshold, parts), "shard int, keys binary, at binary, docs binary")
-    near = written(near.groupBy("shard").applyInArrow(_candidates(threshold), "a bigint, b bigint, size_a bigint, size_b bigint"), "ngram-candidates")
-    roots = components(near.where("size_a < 0").select(F.col("a").alias("u"), F.col("b").alias("v")))
-    labels = written(roots.select("node", F.pmod(F.xxhash64("root"), F.lit(parts)).alias("part")), "ngram-parts")
-    folder = local_path(new_folder(spark, "ngram-parts-map"))
-    labels.groupBy(F.lit(0).alias("one")).applyInArrow(_put_labels(folder), "n bigint").collect()
-    segments = kept.mapInArrow(_fragments(folder, parts), "unit bigint, keys binary, at binary, docs binary")
-    pairs = near.where("size_a >= 0").distinct().join(labels.withColumnRenamed("node", "a"), "a")
-    pairs = pairs.select("a", "b", "size_a", "size_b", F.explode(F.transform(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1)), lambda f: F.col("part") * FRAGMENTS + f)).alias("unit"))
-    partial = segments.groupBy("unit").cogroup(pairs.groupBy("unit")).applyInArrow(_overlaps, "a bigint, b bigint, size_a bigint, size_b bigint, common bigint")
-    summed = partial.groupBy("a", "b", "size_a", "size_b").agg(F.sum("common").alias("common"))
-    summed = summed.where(F.col("common") >= F.lit(threshold) * (F.col("size_a") + F.col("size_b") - F.col("common")) - 1e-9)
-    return kept.select("doc_id", "sig", "size"), summed
+    kept = written(own.mapInArrow(_survivors(n, threshold, folder, shards), f"doc_id {id_type}, sig bigint, size bigint, grams binary, rare binary, rares bigint"), "ngram-survivors")
+    grams, rares = kept.agg(F.coalesce(F.sum(F.octet_length("grams") / 8), F.lit(0)), F.coalesce(F.sum("rares"), F.lit(0))).collect()[0]
+    ranges, parts = int(-(-rares // SHARD_GRAMS)) or 1, int(-(-grams // SHARD_GRAMS)) or 1
+    near = kept.select("sig", "size", "grams", "rare").mapInArrow(_rarest(ranges), "shard int, keys binary, at binary, docs binary")
+    roots = components(near.groupBy("shard").applyInArrow(_links, "u bigint, v bigint"))
+    labels = roots.select("node", F.pmod(F.xxhash64("root"), F.lit(parts)).alias("part"))
+    folder = local_path(new_folder(spark, "ngram-parts"))
+    shard = F.shiftright(F.shiftrightunsigned("node", 44) * parts, 20)
+    labels.groupBy(shard.alias("shard")).applyInArrow(_put_labels(folder), "n bigint").agg(F.sum("n")).collect()
+    segments = kept.select("sig", "size", "grams", "rare").mapInArrow(_segments(folder, parts), "part bigint, keys binary, at binary, docs binary, rare binary")
+    pairs = segments.groupBy("part").applyInArrow(_joined(threshold), "a bigint, b bigint, size_a bigint, size_b bigint, common bigint")
+    return kept.select("doc_id", "sig", "size"), pairs
 
 
 def similar_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
