@@ -21,6 +21,8 @@ STEP = 0.08
 #: Text bytes that one shard of the trie holds, about.
 SHARD_BYTES = 16 << 20
 _FLUSH = 1 << 20
+#: Bits of a packed sort key; wider trigrams are sorted by columns.
+_KEY_BITS = 63
 _END = U64(0)  # closes each document, twice
 
 
@@ -255,7 +257,7 @@ def _sorted_trigrams(a, b, c, n=None):
         return a, b, c, np.zeros(0, np.int64)
     known = [np.unique(x) for x in (a, b, c)]
     bits = [max(1, len(u).bit_length()) for u in known]
-    if sum(bits) <= 63:
+    if sum(bits) <= _KEY_BITS:
         key = np.searchsorted(known[0], a)
         for k, x in ((1, b), (2, c)):
             key <<= bits[k]
