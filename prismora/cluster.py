@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -15,13 +17,19 @@ def shared_dir(spark: SparkSession) -> str:
         return where.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    where = "file://" + tempfile.mkdtemp(prefix="prismora-")
-    spark.conf.set("spark.checkpoint.dir", where)
-    return where
+    own = tempfile.mkdtemp(prefix="prismora-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
+    return f"file://{own}"
+
+
+def new_folder(spark: SparkSession, what: str) -> str:
+    """URI of a fresh folder in the shared one."""
+    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
     """df as a Parquet table in the shared folder, where its lineage ends."""
-    to = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    to = new_folder(df.sparkSession, what)
     df.write.parquet(to)
     return df.sparkSession.read.schema(df.schema).parquet(to)
