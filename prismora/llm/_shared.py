@@ -4,35 +4,14 @@ from __future__ import annotations
 
 import ctypes
 import os
-import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
 
+from ..cluster import new_folder, shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir.
-
-    Where it is unset a local session (as in tests) gets a folder of its own;
-    a cluster without the setting is an error, since a machine's own temporary
-    folder can't be read by the other executors.
-    """
-    conf = spark.sparkContext.getConf()
-    where = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return where.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    where = "file://" + tempfile.mkdtemp(prefix="prismora-")
-    spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
-def new_folder(spark: SparkSession, what: str) -> str:
-    """URI of a fresh folder in the shared one."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+__all__ = ["local_path", "new_folder", "planes", "put_file", "release", "shared_dir", "squeeze", "unplanes", "unsqueeze", "written"]
 
 
 def local_path(uri: str) -> str:
@@ -44,14 +23,6 @@ def local_path(uri: str) -> str:
     return uri
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends here and survives lost executors."""
-    spark = df.sparkSession
-    to = new_folder(spark, what)
-    df.write.parquet(to)
-    return spark.read.schema(df.schema).parquet(to)
-
-
 def put_file(path: str, data: bytes | np.ndarray) -> None:
     """Write a whole file or nothing, so that a repeated task attempt is harmless."""
     os.makedirs(os.path.dirname(path), exist_ok=True)

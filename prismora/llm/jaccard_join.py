@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._graph import components
+from ..operators.graph import connected
 from ._names import fresh
 from ._shared import local_path, new_folder, release, squeeze, unsqueeze, written
 from ._sorted_files import SortedFiles, put_shard, shard_of
@@ -353,7 +353,7 @@ def similar_sets(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD,
     grams, rares = kept.agg(F.coalesce(F.sum(F.octet_length("grams") / 8), F.lit(0)), F.coalesce(F.sum("rares"), F.lit(0))).collect()[0]
     ranges, parts = int(-(-rares // SHARD_GRAMS)) or 1, int(-(-grams // SHARD_GRAMS)) or 1
     near = kept.select("sig", "size", "grams", "rare").mapInArrow(_rarest(ranges), "shard int, keys binary, at binary, docs binary")
-    roots = components(near.groupBy("shard").applyInArrow(_links, "u bigint, v bigint"))
+    roots = connected(near.groupBy("shard").applyInArrow(_links, "u bigint, v bigint"))
     labels = roots.select("node", F.pmod(F.xxhash64("root"), F.lit(parts)).alias("part"))
     folder = local_path(new_folder(spark, "ngram-parts"))
     shard = F.shiftright(F.shiftrightunsigned("node", 44) * parts, 20)
@@ -395,7 +395,7 @@ def drop_near_copies(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHO
     that repeat an id and text are one group and one row of them stays.
     """
     members, pairs = similar_sets(docs, n, threshold, id_col, text_col)
-    roots = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    roots = connected(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
     members = written(members.join(roots, members["sig"] == roots["node"], "left").select("doc_id", F.coalesce("root", "sig").alias("grp")), "ngram-groups")
     least = members.groupBy("grp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1")
     gone_id = fresh(docs, "near_copy_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._names import fresh
+from ._shared import release
 from ._text import WHITE, U64, pieces, span_hashes, spans, text_buffer
 
 WORD_BITS = 18
@@ -54,7 +56,7 @@ def _count(lut: np.ndarray, part: np.ndarray, o: np.ndarray) -> np.ndarray:
     return np.searchsorted(at, o[1:]) - np.searchsorted(at, o[:-1])
 
 
-def features(text, meta: list) -> "Iterator[tuple]":  # noqa: F821
+def features(text, meta: list) -> Iterator[tuple]:
     """For each piece: first and last text; text number, word bucket and value of each distinct word; statistics; metadata buckets."""
     buf, off = text_buffer(text)
     tags = []
@@ -134,9 +136,12 @@ def score(model: Model, d: np.ndarray, bucket: np.ndarray, value: np.ndarray, st
     return out
 
 
-def fit(rows: list[tuple], labels: np.ndarray, factors: int = FACTORS, epochs: int = 5, rate: float = 0.3, l2: float = 3e-6, seed: int = 0) -> Model:
+def fit(rows: list[tuple], labels: np.ndarray, factors: int = FACTORS, epochs: int = 5, rate: float = 0.3, l2: float = 3e-6, l1: float = 1e-4, toxic_weight: float = 3.0, seed: int = 0) -> Model:
     """Fit both heads with AdaGrad on mini-batches.
 
+    l1 shrinks the linear weights of words; toxic_weight is what a toxic row
+    counts for in its head, since there are few.
+
     rows: for each document (buckets, values, stats, meta buckets); labels: two
     columns of 0 and 1.
     """
@@ -155,7 +160,7 @@ def fit(rows: list[tuple], labels: np.ndarray, factors: int = FACTORS, epochs: i
     # Bits of a document: its words, then statistics, then metadata, all as (feature, value).
     feats, values = [], []
     for i, r in enumerate(rows):
-        feats.append(np.concatenate([r[0], WORD_BUCKETS + np.arange(_STATS), WORD_BUCKETS + _STATS + np.arange(n_meta) * META_BUCKETS + np.asarray(r[3], np.int64)]).astype(np.int64))
+        feats.append(np.concatenate([r[0], WORD_BUCKETS + np.arange(_STATS), WORD_BUCKETS + _STATS + np.arange(n_meta) * META_BUCKETS + np.asarray(r[3], np.int64)]).astype(np.int32))
         values.append(np.concatenate([r[1], z[i], np.full(n_meta, 0.3, np.float32)]).astype(np.float32))
     batch = 64
     for epoch in range(epochs):
@@ -177,6 +182,8 @@ def fit(rows: list[tuple], labels: np.ndarray, factors: int = FACTORS, epochs: i
                 v = slice(c + 1, c + 1 + factors)
                 logit = model.bias[head] + sums[:, c] + 0.5 * (sums[:, v] ** 2 - squares[:, v]).sum(1)
                 err = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels[pick, head]).astype(np.float32)
+                if head:
+                    err = err * np.where(labels[pick, head] > 0, np.float32(toxic_weight), np.float32(1))
                 model.bias[head] -= rate * 0.1 * err.mean()
                 e = err[d][:, None]
                 grad[:, c : c + 1] = e * x
@@ -190,7 +197,13 @@ def fit(rows: list[tuple], labels: np.ndarray, factors: int = FACTORS, epochs: i
             at = fs[u]
             g2 = seen[at] + total * total
             seen[at] = g2
-            table[at] -= rate * total / np.sqrt(g2)
+            step = rate / np.sqrt(g2)
+            new = table[at] - step * total
+            word = at < WORD_BUCKETS
+            for c in (0, factors + 1):
+                v = new[word, c]
+                new[word, c] = np.sign(v) * np.maximum(np.abs(v) - l1 * step[word, c], 0)
+            table[at] = new
     return model
 
 
@@ -232,7 +245,12 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_c
         for b, v, s, m in zip(*(got.column(c).to_pylist() for c in ("bucket", "value", "stats", "meta")))
     ]
     y = np.stack([got.column("quality").to_numpy(), got.column("toxic").to_numpy()], axis=1).astype(np.float32) if rows else np.zeros((0, 2), np.float32)
-    return fit(rows, y)
+    del got
+    release()
+    model = fit(rows, y)
+    del rows
+    release()
+    return model
 
 
 def classify(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("lang",)) -> DataFrame:

@@ -1,7 +1,7 @@
 import random
 
 from prismora.llm import jaccard_join as J
-from prismora.llm._graph import components
+from prismora.operators.graph import connected
 
 from ..oracle import connect, rows_of, rows_of_sql
 from .common import empty, odd
@@ -61,5 +61,5 @@ def test_odd(spark):
 
 def test_components(spark):
     edges = [(1, 2), (2, 3), (5, 4), (7, 7), (None, 3), (9, 8), (8, 10), (10, 11), (11, 12)]
-    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
+    got = {r["node"]: r["root"] for r in connected(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 8: 8, 9: 8, 10: 8, 11: 8, 12: 8}
