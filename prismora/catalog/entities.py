@@ -61,7 +61,7 @@ def a15(spark, d):
     return r.withColumn("affiliations", F.array_join("affiliations", ","))
 
 
-A15_SQL = "with p as (select o_custkey, o_orderpriority, bool_or(o_orderkey % 3 = 0) has from orders group by 1, 2), a as (select o_custkey, count(*) identities, count_if(has) covered from p group by 1), s as (select o_custkey, string_agg(distinct o_orderstatus, ',' order by o_orderstatus) t from orders where o_orderkey % 3 = 0 group by 1) select o_custkey, identities, covered, coalesce(t, '') as affiliations, case when covered = 0 then 'none' when covered < identities then 'partial' else 'full' end as status from a left join s using (o_custkey)"
+A15_SQL = "with p as (select o_custkey, o_orderpriority, bool_or(o_orderkey % 3 = 0) has from orders group by 1, 2), a as (select o_custkey, count(*) identities, count_if(has)::bigint covered from p group by 1), s as (select o_custkey, string_agg(distinct o_orderstatus, ',' order by o_orderstatus) t from orders where o_orderkey % 3 = 0 group by 1) select o_custkey, identities, covered, coalesce(t, '') as affiliations, case when covered = 0 then 'none' when covered < identities then 'partial' else 'full' end as status from a left join s using (o_custkey)"
 
 
 def a16(spark, d):
@@ -242,16 +242,16 @@ def s12(spark, d):
 
 
 QUERIES = {
-    "a7_counters": (a7, "select count_if(event_type = 'view') as view, count_if(event_type = 'click') as click, count_if(event_type = 'signup') as signup, count_if(event_type = 'error') as error, count_if(event_type = 'purchase') as purchase, count(value) as filled from events"),
+    "a7_counters": (a7, "select count_if(event_type = 'view')::bigint as view, count_if(event_type = 'click')::bigint as click, count_if(event_type = 'signup')::bigint as signup, count_if(event_type = 'error')::bigint as error, count_if(event_type = 'purchase')::bigint as purchase, count(value) as filled from events"),
     "a9_majority_vote": (a9, A9_SQL), "a10_conflicts": (a10, "select o_custkey, count(distinct o_orderstatus || o_orderpriority)::int as facts from orders group by 1 having facts > 1"),
     "a11_preferred_spelling": (a11, "with x as (select lower(c_mktsegment) g, case when c_custkey % 3 = 0 then upper(c_mktsegment) else upper(c_mktsegment[1:1]) || lower(c_mktsegment[2:]) end name, count(*) n, min(c_custkey) p from customer group by 1, 2) select g, name, n from x qualify row_number() over (partition by g order by n desc, p) = 1"),
     "a12_evidence_sets": (a12, "select n_name as name, case when n_nationkey in (select s_nationkey from supplier) then 'nation,supplier' else 'nation' end as types, n_regionkey::varchar as countries from nation"),
     "a13_name_clusters": (a13, A13_SQL), "a14_aggregate": (a14, "select event_type, user_id % 10 as raw, string_agg(distinct (event_id % 3)::varchar, ',' order by (event_id % 3)::varchar) as statuses, count(*) as n from events group by 1, 2"),
-    "a15_coverage": (a15, A15_SQL), "a16_summary": (a16, "select count(*) as orders, count(distinct o_custkey || '|' || o_orderstatus) as pairs, count_if(o_totalprice > 100000) as large, count(distinct o_orderpriority) as priorities from orders"),
+    "a15_coverage": (a15, A15_SQL), "a16_summary": (a16, "select count(*) as orders, count(distinct o_custkey || '|' || o_orderstatus) as pairs, count_if(o_totalprice > 100000)::bigint as large, count(distinct o_orderpriority) as priorities from orders"),
     "a17_dominant_name": (a17, A17_SQL), "a18_code_union": (a18, "select user_id, string_agg(distinct event_type, '|' order by event_type) as codes from events group by 1"),
     "a19_ordered_anchors": (a19, "select user_id, string_agg(event_type, ',' order by t, i) as anchors from (select user_id, event_type, min(ts) t, arg_min(event_id, (ts, event_id)) i from events group by 1, 2) group by 1"),
     "a20_transitions": (a20, "select p || '→' || event_type as change, count(*) as n from (select event_type, lag(event_type) over (partition by user_id order by ts, event_id) p from events) where p <> event_type group by 1"),
-    "a21_missing": (a21, "select field, count_if(v is null) as missing from (select unnest(['quality', 'toxic', 'lang']) as field, unnest([quality::varchar, toxic::varchar, lang]) as v from documents left join labels using (doc_id)) group by 1"),
+    "a21_missing": (a21, "select field, count_if(v is null)::bigint as missing from (select unnest(['quality', 'toxic', 'lang']) as field, unnest([quality::varchar, toxic::varchar, lang]) as v from documents left join labels using (doc_id)) group by 1"),
     "a23_quantiles": (a23, "select event_type, round(median(value), 9) as median, round(quantile_disc(value, 0.95), 9) as p95 from events group by 1"),
     "j11_title_match": (j11, J11_SQL), "j12_same_work": (j12, None), "k13_containment": (k13, K13_SQL),
     "f12_excluded": (f12, "select c_custkey, case when c_custkey in (select o_custkey from orders) then 'indexed' else 'never' end as reason from customer where c_custkey in (select o_custkey from orders) or c_custkey in (select user_id from events where event_type = 'error')"),

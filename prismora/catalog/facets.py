@@ -152,7 +152,7 @@ def _sorted(sort: str):
     def run(spark, d):
         return E.with_position(E.page(corpus(spark, d), sort, 100), sort).select("id", "pos")
 
-    return run, sql(f"select id, row_number() over (order by {ORDER[sort]}) - 1 as pos from c qualify pos < 100")
+    return run, sql(f"select id, (row_number() over (order by {ORDER[sort]}) - 1)::int as pos from c qualify pos < 100")
 
 
 def o5(spark, d):

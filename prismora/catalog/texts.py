@@ -210,7 +210,7 @@ QUERIES = {
     "x27_clean_title": (x27, "select p_partkey, p_name as title from part"),
     "o11_even_sample": (o11, O11_SQL), "o12_budget_prefix": (o12, "select conv_id, turn, running from (select conv_id, turn, sum(length(text)) over (partition by conv_id order by turn rows unbounded preceding)::bigint as running from conversations) where running <= 1500"),
     "m8_jsonld": (m8, "select page_id, 'Article' as type, 'T' || page_id as title, 'Ada;Bo' as authors from pages"), "m9_meta": (m9, "select page_id, 'A & B' as title, 'https://h.example/x' as link from pages"),
-    "f13_live_lines": (f13, "select doc_id, count_if(not regexp_matches(line, '^\\s*(#|//)') and contains(line, '|')) as lines from (select doc_id, unnest(string_split(text, chr(10))) line from documents) group by doc_id"),
+    "f13_live_lines": (f13, "select doc_id, count_if(not regexp_matches(line, '^\\s*(#|//)') and contains(line, '|'))::bigint as lines from (select doc_id, unnest(string_split(text, chr(10))) line from documents) group by doc_id"),
     "f15_keyword_triage": (f15, "select doc_id from documents where list_has_any(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), ['stea', 'thre', 'ungen', 'ciónes'])"),
     "f16_audit_reasons": (f16, "select page_id, concat_ws(' + ', case when contains(url, 'utm_') then 'url hint' end, case when contains(lower(html), '<h1') then 'wording' end) as reasons from pages where contains(url, 'utm_') or contains(lower(html), '<h1')"),
 }
