@@ -174,7 +174,7 @@ def o14(spark, d):
     return frequency_sample(E.value_counts(corpus(spark, d), ("use_case",)), "value", "n", 3).select("value", "n", "third")
 
 
-# ------------------------------------------------------------------ search
+# == search
 
 _DOC_SQL = "d as (select doc_id as i, lower(strip_accents(regexp_extract(text, '^[^\\n.]{0,80}'))) as t, lower(strip_accents(text)) as s, source from documents), tok as (select distinct i, unnest(string_split_regex(s, '[^\\p{L}\\p{N}]+')) as token, 'text' as field from d union select distinct i, unnest(string_split_regex(lower(strip_accents(source)), '[^\\p{L}\\p{N}]+')), 'authors' from d)"
 

@@ -25,7 +25,7 @@ def _row(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(k, t) for k, t in fields.items()])
 
 
-# ------------------------------------------------------------------ URLs
+# == URLs
 
 
 def norm_url(url: Column) -> Column:
@@ -56,7 +56,7 @@ def norm_doi(doi: Column) -> Column:
 
 def doi_in(url: Column) -> Column:
     """The DOI inside a URL, without the view that publishers append; null without one."""
-    found = F.lower(F.regexp_replace(F.regexp_extract(url, r"(10\.\d{4,9}/[^\s?&#]+)", 1), r"\.+$", ""))
+    found = F.lower(F.regexp_replace(F.regexp_extract(url, r"\b10[.][0-9]{4,9}/[^#&?\s]+", 0), r"\.+$", ""))
     return F.nullif(F.regexp_replace(found, r"[./](epdf|pdf|abs|abstract|full-text|full|html|long|meta|short)$", ""), F.lit(""))
 
 
@@ -67,16 +67,16 @@ def arxiv_in(url: Column) -> Column:
 def url_lane(url: Column) -> Column:
     """How a URL's work can be looked up."""
     u = F.coalesce(url, F.lit(""))
-    return F.when(u.rlike(r"arxiv\.org/(pdf|abs)/"), "arxiv").when(u.rlike(r"10\.\d{4,9}/"), "doi_in_url").otherwise("title_only")
+    return F.when(u.rlike(r"arxiv\.org/(pdf|abs)/"), "arxiv").when(u.rlike(r"\b10[.][0-9]{4,9}/"), "doi_in_url").otherwise("title_only")
 
 
 def repo_of(url: Column) -> Column:
     """owner/name of a GitHub URL, null for others."""
-    m = F.regexp_replace(F.regexp_extract(url, r"(?i)^https?://(?:www\.)?github\.com/([^/?#\s]+/[^/?#\s]+)", 1), r"\.git$", "")
+    m = F.regexp_replace(F.regexp_extract(url, r"^(?i:https?://(?:www[.])?github[.]com)/([^\s#?/]+/[^\s#?/]+)", 1), "[.]git$", "")
     return F.nullif(m, F.lit(""))
 
 
-# ------------------------------------------------------------------ folding and tokens
+# == folding and tokens
 
 
 def fold_text(value: str | None) -> str | None:
@@ -103,7 +103,8 @@ def tokenize(folded: Column) -> Column:
     return F.filter(F.split(F.coalesce(folded, F.lit("")), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
-_PLAIN = str.maketrans({"ß": "ss", "ø": "o", "Ø": "O", "æ": "ae", "Æ": "Ae", "œ": "oe", "Œ": "Oe", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "þ": "th", "Þ": "Th"})
+_LOW_PLAIN = dict(zip("øłđðþßæœ", ("o", "l", "d", "d", "th", "ss", "ae", "oe")))
+_PLAIN = str.maketrans(_LOW_PLAIN | {k.upper(): v.title() for k, v in _LOW_PLAIN.items() if len(k.upper()) == 1})
 
 
 def comparison_key_of(value: str | None, transliterate: bool = True) -> str | None:
@@ -112,7 +113,7 @@ def comparison_key_of(value: str | None, transliterate: bool = True) -> str | No
         return None
     bare = unicodedata.normalize("NFKD", value.translate(_PLAIN) if transliterate else value)
     bare = "".join(c for c in bare if not unicodedata.combining(c)).casefold()
-    return " ".join(re.sub(r"[^\w]+", " ", bare).split())
+    return " ".join(re.findall(r"\w+", bare))
 
 
 @pandas_udf(T.StringType())
@@ -142,7 +143,7 @@ def squeeze(text: Column) -> Column:
 def clean_scraped_title(title: Column) -> Column:
     """A result title without its format mark and inline unicode commands."""
     bare = F.regexp_replace(F.coalesce(title, F.lit("")), r"(?i)^\s*\[(pdf|html|book|b|citation)\]\s*", "")
-    return F.trim(F.regexp_replace(bare, r"\$\\unicode\s*\{[^}]*\}\s*\$", " "))
+    return F.trim(F.regexp_replace(bare, r"[$]\\unicode *[{][^{}]*[}] *[$]", " "))
 
 
 def paragraphs(text: Column) -> Column:
@@ -150,7 +151,7 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda p: F.trim(p)), lambda p: p != "")
 
 
-# ------------------------------------------------------------------ scans
+# == scans
 
 
 def split_bibliography(text: Column) -> Column:
@@ -158,7 +159,8 @@ def split_bibliography(text: Column) -> Column:
     return _split_bibliography(text)
 
 
-_HEADING = re.compile(r"^[ \t]*(?:\d+[.)]?[ \t]*)?(?:bibliography|references?|works cited|literature cited)[ \t]*:?[ \t]*$", re.I | re.M)
+_GAP = "[\\t ]*"
+_HEADING = re.compile(f"^{_GAP}(?:[0-9]+[).]?{_GAP})?(?:bibliography|references?|works cited|literature cited){_GAP}:?{_GAP}$", re.I | re.M)
 
 
 @pandas_udf(_row(body=T.StringType(), bibliography=T.StringType()))
@@ -265,7 +267,7 @@ _BARE = re.compile(r'([:\[,]\s*)([A-Za-z_][\w-]*)(?=\s*[,}\]])')
 
 def mended(value: str) -> str | None:
     """The object as JSON, bare words quoted where it only fails for these; null if it still fails."""
-    quote = lambda m: m.group(0) if m.group(2) in ("true", "false", "null") else f'{m.group(1)}"{m.group(2)}"'
+    quote = lambda m: m[0] if m[2] in {"null", "true", "false"} else m[1] + json.dumps(m[2])
     for v in (value, _BARE.sub(quote, value)):
         try:
             return json.dumps(json.loads(v), ensure_ascii=False)
@@ -318,6 +320,7 @@ def person_names(value) -> list[str]:
     return []
 
 
+_LD_BLOCK = re.compile("<script[^<>]*application/ld[+]json[^<>]*>(.*?)</script", re.S | re.I)
 _ARTICLES = {"article", "scholarlyarticle", "newsarticle", "blogposting", "report", "techarticle", "thesis"}
 
 
@@ -327,7 +330,7 @@ def json_ld_article(page: pd.Series) -> pd.DataFrame:
     out = []
     for v in page:
         row = (None, None, None)
-        for block in re.findall(r'(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>', v or ""):
+        for block in _LD_BLOCK.findall(v or ""):
             try:
                 nodes = _nodes(json.loads(block))
             except ValueError:
@@ -345,7 +348,7 @@ def json_ld_article(page: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["type", "title", "authors"])
 
 
-# ------------------------------------------------------------------ similarity
+# == similarity
 
 
 @pandas_udf(T.DoubleType())
@@ -375,7 +378,7 @@ def title_match(candidate: Column, target: Column) -> Column:
     return F.when(c == "", None).when(c == t, "exact").when(longer | shorter, "prefix").when(word_jaccard(c, t) >= 0.75, "fuzzy")
 
 
-# ------------------------------------------------------------------ person names
+# == person names
 
 _MAIL = re.compile(r"\b[\w.%+-]+@[\w.-]+\.[a-z]{2,}\b", re.I)
 _TITLE = re.compile(r"^(?:prof(?:essor)?|dr|mrs|mr|ms)\.?\s+", re.I)
@@ -383,7 +386,7 @@ _DEGREE = r"(?:ph\.?d|m\.?sc|m\.?s|m\.?b\.?a|pmp)\.?"
 _DEGREES = re.compile(rf"(?:,\s*)+{_DEGREE}(?:\s*,\s*{_DEGREE})*\s*$", re.I)
 _LOW = frozenset("al bin da de del der di dos du la le van von".split())
 _NOT_PEOPLE = frozenset("ai bot enterprise group inc lab llc ltd ml platform team".split())
-_NOBODY = frozenset(["", ".", "=", "?", "unknown", "your name", "first last", "test user", "xxxx xxxx"])
+_NOBODY = frozenset(["your name", "unknown", "test user", "first last", "xxxx xxxx", *".=?", ""])
 _EASTERN = ("CJK", "HIRAGANA", "KATAKANA", "HANGUL")
 
 
@@ -395,7 +398,7 @@ def smart_title(value: str) -> str:
         return value
     if len(parts) < 2 or not (letters.islower() or letters.isupper()) or set("&|@") & set(value):
         return value
-    if any(p.strip(".,:;()[]{}").lower() in _NOT_PEOPLE for p in parts):
+    if any(p.strip("{}[]();:,.").lower() in _NOT_PEOPLE for p in parts):
         return value
     done = []
     for k, p in enumerate(parts):
@@ -422,7 +425,7 @@ def person_name_of(raw: str | None) -> tuple[str | None, str, list[str]]:
             notes.append(note)
     if name.count(",") == 1:
         family, given = map(tidy, name.split(","))
-        if all(re.fullmatch(r"[^\W\d_][^\d@|/]*", x) for x in (family, given)):
+        if all(x[:1].isalpha() and not re.search("[0-9/@|]", x) for x in (family, given)):
             name = f"{given} {family}"
             notes.append("order")
     if (cased := smart_title(name)) != name:

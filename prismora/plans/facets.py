@@ -70,7 +70,7 @@ class FacetQuery:
         return json.dumps([" ".join(self.text.split()).lower(), self.scope, self.min_importance, self.min_popularity, chosen, lit], sort_keys=True)
 
 
-# ------------------------------------------------------------------ predicates
+# == predicates
 
 
 def importance_floor(least: int, importance: str = "importance") -> Column:
@@ -113,7 +113,7 @@ def substring_contains(title: Column, summary: Column, text: str) -> Column:
     return F.contains(F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(summary, F.lit("")))), F.lit(needle)) if needle else F.lit(True)
 
 
-# ------------------------------------------------------------------ one pass
+# == one pass
 
 
 def masked(base: DataFrame, query: FacetQuery, select: tuple[str, ...], permit: tuple[str, ...] = PERMIT_FACETS, all_lit: Mapping[str, frozenset[str]] = ALL_LIT) -> tuple[DataFrame, dict[str, int]]:
@@ -158,7 +158,7 @@ def zero_filled(universe: DataFrame, counts: DataFrame) -> DataFrame:
     return universe.join(counts, ["facet", "value"], "left").select("facet", "value", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-# ------------------------------------------------------------------ order
+# == order
 
 
 def sort_keys(sort: str, title: str = "title", ordinal: str = "i") -> list[Column]:
@@ -231,7 +231,7 @@ def group_plan(results: DataFrame, visible: DataFrame, group: str, label) -> Dat
     return both.withColumn("pos", (F.row_number().over(Window.orderBy(*keys)) - 1).cast("int"))
 
 
-# ------------------------------------------------------------------ engine
+# == engine
 
 
 @dataclass

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import zipfile
+from pathlib import Path
 from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
@@ -100,10 +100,9 @@ def detail_of(detail: DataFrame, id_: str) -> DataFrame:
 def write_export(df: DataFrame, order: list, path: str) -> None:
     """The legacy export: one JSON array, one space of indent, a final line feed; written whole or not at all."""
     rows = [json.loads(r["j"]) for r in df.orderBy(*order).select(F.to_json(F.struct(*df.columns)).alias("j")).toLocalIterator()]
-    tmp = f"{path}.part"
-    with open(tmp, "w", encoding="utf-8") as f:
-        f.write(json.dumps(rows, indent=1, ensure_ascii=False) + "\n")
-    os.replace(tmp, path)
+    part = Path(f"{path}.part")
+    part.write_text(f"{json.dumps(rows, indent=1, ensure_ascii=False)}\n", "utf-8")
+    part.replace(path)
 
 
 def write_chunks(df: DataFrame, key: str, path: str, size: int = 120, first: int = 1) -> None:
@@ -115,17 +114,16 @@ def write_chunks(df: DataFrame, key: str, path: str, size: int = 120, first: int
 
 def read_sheet(path: str) -> list[dict[str, str]]:
     """Rows of the first sheet of a workbook, by its header row."""
-    ns = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
     with zipfile.ZipFile(path) as z:
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.text or "" for t in si.iter(f"{ns}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{ns}si")]
+            shared = ["".join(t.text or "" for t in si.iterfind(".//{*}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iterfind("{*}si")]
         rows = []
-        for row in ElementTree.fromstring(z.read("xl/worksheets/sheet1.xml")).iter(f"{ns}row"):
+        for row in ElementTree.fromstring(z.read("xl/worksheets/sheet1.xml")).iterfind(".//{*}row"):
             cells = {}
-            for c in row.iter(f"{ns}c"):
-                v = c.find(f"{ns}v")
-                inline = "".join(t.text or "" for t in c.iter(f"{ns}t"))
+            for c in row.iterfind("{*}c"):
+                v = c.find("{*}v")
+                inline = "".join(t.text or "" for t in c.iterfind(".//{*}t"))
                 text = inline if v is None else shared[int(v.text)] if c.get("t") == "s" else v.text
                 cells["".join(x for x in c.get("r", "") if x.isalpha())] = text or ""
             rows.append(cells)
