@@ -26,7 +26,7 @@ _KEY_BITS = 63
 _END = U64(0)  # closes each document, twice
 
 
-# ---------------------------------------------------------------- Elias-Fano
+# == Elias-Fano
 
 
 def ef_encode(values: np.ndarray) -> dict[str, np.ndarray]:
@@ -87,7 +87,7 @@ def ef_get(e: dict[str, np.ndarray], at: np.ndarray) -> np.ndarray:
     return ((select - at) << low) | _unpack(e["low"], at, low)
 
 
-# ---------------------------------------------------------------- files
+# == files
 
 
 def _save(path: str, arrays: dict[str, np.ndarray], extra: dict) -> None:
@@ -127,7 +127,7 @@ _VALUE = np.exp(-STEP * np.arange(256))
 _VALUE[255] = 0.0
 
 
-# ---------------------------------------------------------------- vocabulary (level 0)
+# == vocabulary (level 0)
 
 
 def _tokens(column):
@@ -220,7 +220,7 @@ class Words:
         return number, count
 
 
-# ---------------------------------------------------------------- trie (levels 1 to 3)
+# == trie (levels 1 to 3)
 
 
 @dataclass

@@ -12,7 +12,7 @@ from .common import ODD, empty, odd
 SF = "/root/testdata/sf0.001"
 
 
-# ------------------------------------------------------------------ lines
+# == lines
 
 
 def decoded(bitmap):
@@ -57,7 +57,7 @@ def test_dropped_lines(spark):
     assert line_dedup.drop_repeated_lines(empty(spark)).count() == 0 and line_dedup.line_bitmaps(empty(spark)).count() == 0
 
 
-# ------------------------------------------------------------------ packing
+# == packing
 
 
 def bins_by_hand(lengths, capacity):
@@ -125,7 +125,7 @@ def test_pack_table(spark):
     assert len({r["bin_id"] for r in got}) == len(bins_by_hand([r["n_tokens"] for r in got], 512))
 
 
-# ------------------------------------------------------------------ mixing
+# == mixing
 
 
 def test_mixture_equals_sql(spark):

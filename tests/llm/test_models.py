@@ -11,7 +11,7 @@ from .common import empty, odd
 SF = "/root/testdata/sf0.01"
 
 
-# ------------------------------------------------------------------ language model
+# == language model
 
 
 @pytest.mark.parametrize("top", [0, 1, 50, 5000])
@@ -86,7 +86,7 @@ def test_scores_odd(spark):
     assert ngram_lm.score(empty(spark), ngram_lm.build(empty(spark))).count() == 0
 
 
-# ------------------------------------------------------------------ language id
+# == language id
 
 
 def test_language_accuracy_on_held_out_rows(spark):
@@ -113,7 +113,7 @@ def test_language_odd(spark):
     assert {r["predicted_lang"] for r in language_id.identify(docs, none).collect()} == {"und"}
 
 
-# ------------------------------------------------------------------ quality
+# == quality
 
 
 def test_quality_on_held_out_rows(spark):
@@ -156,7 +156,7 @@ def test_quality_odd(spark):
     assert quality_fm.classify(empty(spark), none).count() == 0 and quality_fm.drop_rejected(empty(spark), none).count() == 0
 
 
-# ------------------------------------------------------------------ URLs
+# == URLs
 
 
 def test_url_features(spark):
