@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import comparison_key, norm_title, person_name, sequence_ratio, title_match, tokenize, word_jaccard, word_overlap
+from ..functions.text import comparison_key, norm_title, person_name, sequence_ratio, tokenize, word_jaccard, word_overlap
 
 
 def majority(votes: DataFrame, key: str, value: str, unknown: str = "unknown", hint: Column | None = None) -> DataFrame:
@@ -73,24 +73,50 @@ def dominant(counts: DataFrame, key: str, value: str, n: str = "n") -> DataFrame
     return out.select(key, F.col(f"a.{value}").alias(value), F.col(f"a.{n}").alias(n), clear.alias("dominant"), "listed")
 
 
-def title_links(left: DataFrame, right: DataFrame, left_id: str, left_title: str, right_id: str, right_title: str, blocks: int = 4) -> DataFrame:
+def title_links(left: DataFrame, right: DataFrame, left_id: str, left_title: str, right_id: str, right_title: str) -> DataFrame:
     """For each left title its best right one: exact, then prefix, then most shared words.
 
-    Candidates share one of the left title's `blocks` rarest words, so titles
-    that could reach the threshold meet without a cross join.
+    All titles that match meet, without a cross join: equal ones by an equi-join
+    on the title, prefixes by one on the heads of six words or more.  Where the
+    Jaccard similarity reaches 0.75, at most a quarter of a title's words are
+    missing from the other, so both share one of their floor(n / 4) + 1 rarest.
+    Of equal right titles only that of the least id takes part.
     """
     a = left.select(F.col(left_id).alias("l"), norm_title(F.col(left_title)).alias("lt")).where("lt <> ''")
-    b = right.select(F.col(right_id).alias("r"), norm_title(F.col(right_title)).alias("rt")).where("rt <> ''")
-    words = lambda df, i, t: df.select(i, t, F.explode(F.array_distinct(F.split(t, " "))).alias("w"))
-    known = words(b, "r", "rt")
-    rare = known.groupBy("w").agg(F.count("*").alias("df"))
-    w = Window.partitionBy("l").orderBy("df", "w")
-    keys = words(a, "l", "lt").join(rare, "w").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= blocks)
-    pairs = keys.select("l", "lt", "w").join(known, "w").select("l", "lt", "r", "rt").distinct()
-    how = title_match(F.col("rt"), F.col("lt"))
-    scored = pairs.withColumn("how", how).withColumn("score", word_jaccard(F.col("rt"), F.col("lt"))).where("how is not null")
+    b = right.select(F.col(right_id).alias("r"), norm_title(F.col(right_title)).alias("rt")).where("rt <> ''").groupBy("rt").agg(F.min("r").alias("r"))
+    targets = a.select("lt").distinct()
+    exact = targets.join(b, F.col("lt") == F.col("rt")).select("lt", "r", F.lit("exact").alias("how"), F.lit(1.0).alias("score"))
+
+    def heads(df: DataFrame, t: str) -> DataFrame:
+        words = F.split(t, " ")
+        ends = F.when(F.size(words) > 6, F.sequence(F.lit(6), F.size(words) - 1))
+        return df.withColumn("key", F.explode(F.transform(ends, lambda k: F.xxhash64(F.array_join(F.slice(words, 1, k), " ")))))
+
+    whole = lambda df, t: df.where(F.size(F.split(t, " ")) >= 6).withColumn("key", F.xxhash64(t))
+    longer = whole(targets, "lt").join(heads(b, "rt"), "key").where(F.col("rt").startswith(F.concat("lt", F.lit(" "))))
+    shorter = heads(targets, "lt").join(whole(b, "rt"), "key").where(F.col("lt").startswith(F.concat("rt", F.lit(" "))))
+    prefix = longer.unionByName(shorter).select("lt", "r", F.lit("prefix").alias("how"), word_jaccard(F.col("rt"), F.col("lt")).alias("score"))
+
+    words = lambda df, t: df.withColumn("w", F.explode(F.array_distinct(F.split(t, " "))))
+    df = words(b.select("rt"), "rt").groupBy("w").agg(F.count("*").alias("df"))
+
+    def rarest(df_: DataFrame, by: list[str], ws: str, at: str) -> DataFrame:
+        counted = words(df_, by[0]).join(df, "w", "left")  # words that the right side lacks count too
+        order = F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "w")))
+        own = counted.groupBy(*by).agg(order.getField("w").alias(ws))
+        return own.select(*by, ws, F.posexplode(F.slice(ws, F.lit(1), F.floor(F.size(ws) / 4).cast("int") + 1)).alias(at, "w"))
+
+    n, m = F.size("lw"), F.size("rw")
+    # What is left from the first shared word on bounds the shared words.
+    near = rarest(targets, ["lt"], "lw", "la").join(rarest(b, ["rt", "r"], "rw", "ra"), "w").where(7 * F.least(n - F.col("la"), m - F.col("ra")) >= 3 * (n + m))
+    shared = F.size(F.array_intersect("lw", "rw"))
+    fuzzy = near.select("lt", "r", F.lit("fuzzy").alias("how"), (shared / (n + m - shared)).alias("score")).where("score >= 0.75")
+
+    found = exact.unionByName(prefix).unionByName(fuzzy)
     rank = F.when(F.col("how") == "exact", 0).when(F.col("how") == "prefix", 1).otherwise(2)
-    return scored.groupBy("l").agg(F.min_by(F.struct("r", "how", "score"), F.struct(rank, -F.col("score"), F.col("r"))).alias("m")).select(F.col("l").alias(left_id), F.col("m.r").alias(right_id), "m.how", "m.score")
+    best = F.min_by(F.struct("r", "how", "score"), F.struct(rank, -F.col("score"), F.col("r"))).alias("m")
+    per_title = found.groupBy("lt").agg(best).select("lt", "m.*")
+    return a.join(per_title, "lt").groupBy("l").agg(best).select(F.col("l").alias(left_id), F.col("m.r").alias(right_id), "m.how", "m.score")
 
 
 def same_work(pairs: DataFrame, a: str, b: str) -> DataFrame:
