@@ -209,7 +209,7 @@ def k9(spark, d):
     li = table(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
     s = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     n = table(spark, d, "nation").select("n_nationkey", "n_name")
-    return li.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(n, F.col("s_nationkey") == F.col("n_nationkey"), "left").groupBy("l_partkey").agg(F.array_join(F.slice(F.array_sort(F.collect_set("s_name")), 1, 3), ";").alias("authors"), F.count_distinct("n_name").alias("affiliations"))
+    return li.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(n, F.col("s_nationkey") == F.col("n_nationkey"), "left").groupBy("l_partkey").agg(F.array_join(F.array_sort(F.collect_set("s_name")), ";").alias("authors"), F.count_distinct("n_name").alias("affiliations"))
 
 
 def k10(spark, d):

@@ -9,6 +9,7 @@ SF = "/root/testdata/sf0.01"
 
 WHOLE = {
     "k2_tiered": "select doc_id, n_chars, case when quality = 1 and text <> '' then 'full_text' when toxic = 1 then 'abstract_context' else 'metadata_only' end as tier from documents join labels using (doc_id)",
+    "k9_repo_authors": "select l_partkey, array_to_string(list_sort(list(distinct s_name)), ';') as authors, count(distinct n_name) as affiliations from lineitem join supplier on l_suppkey = s_suppkey left join nation on s_nationkey = n_nationkey group by 1",
 }
 
 
