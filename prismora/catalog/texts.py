@@ -41,7 +41,7 @@ def x7(spark, d):
 
 
 def x8(spark, d):
-    hits = X.pattern_hits(F.col("text"), {"the": r"\bthe\b", "der": r"\bder\b"}, most=3, around=1)
+    hits = X.pattern_hits(F.col("text"), {"the": r"\bthe\b", "der": r"\bder\b"})
     return table(spark, d, "documents").select("doc_id", F.explode(hits).alias("h")).select("doc_id", "h.code", "h.line", F.md5("h.text").alias("text"), F.md5(F.array_join("h.context", "|")).alias("context"))
 
 

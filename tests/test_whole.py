@@ -10,6 +10,11 @@ SF = "/root/testdata/sf0.01"
 WHOLE = {
     "k2_tiered": "select doc_id, n_chars, case when quality = 1 and text <> '' then 'full_text' when toxic = 1 then 'abstract_context' else 'metadata_only' end as tier from documents join labels using (doc_id)",
     "k9_repo_authors": "select l_partkey, array_to_string(list_sort(list(distinct s_name)), ';') as authors, count(distinct n_name) as affiliations from lineitem join supplier on l_suppkey = s_suppkey left join nation on s_nationkey = n_nationkey group by 1",
+    "x8_pattern_scan": """
+with l as (select doc_id, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) as n, string_split(text, chr(10)) as lines from documents),
+h as (select doc_id, code, t, n, lines, row_number() over (partition by doc_id, code order by n) as r from l, (values ('the', '\\bthe\\b'), ('der', '\\bder\\b')) v(code, p) where regexp_matches(t, p))
+select doc_id, code, n::int as line, md5(t) as text, md5(array_to_string(lines[greatest(n - 4, 1):n + 4], '|')) as context from h where r <= 12
+""",
 }
 
 
