@@ -95,6 +95,18 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return bits.select("doc_id", "text_hash", "n_lines", "n_kept", F.when(F.col("bits").startswith("0"), F.concat(F.lit("0,"), lengths)).otherwise(lengths).alias("bitmap"))
 
 
+def _one_of_each(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of each id and text, nulls being values like others; only rows that may repeat are shuffled."""
+    k = fresh(docs, "line_row")
+    row = F.xxhash64(F.col(id_col), F.col(id_col).isNull(), F.col(text_col), F.col(text_col).isNull())
+    twice = written(docs.select(row.alias(k)).groupBy(k).count().where("count > 1").select(k), "repeated-rows")
+    if twice.isEmpty():
+        return docs
+    keyed = docs.withColumn(k, row)
+    same = keyed.join(twice, k, "left_semi").dropDuplicates([id_col, text_col])
+    return keyed.join(twice, k, "left_anti").unionByName(same).drop(k)
+
+
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without the lines that line_bitmaps() doesn't keep.
 
@@ -103,6 +115,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     a row's id and text; documents with null or empty text stay.  A column
     n_chars, where there is one, is brought up to date; other columns stay.
     """
+    docs = _one_of_each(docs, id_col, text_col)
     maps = line_bitmaps(docs, id_col, text_col)
     h, i, b = fresh(docs, "line_hash"), fresh(docs, "line_id"), fresh(docs, "line_bitmap")
     changed = maps.where("n_kept < n_lines").select(F.col("doc_id").alias(i), F.col("text_hash").alias(h), F.col("bitmap").alias(b))
