@@ -84,18 +84,18 @@ def _survivors(n: int, threshold: float, folder: str, shards: int):
     def run(batches):
         lookup = SortedFiles(folder, _DF_BITS, shards)
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids, hashes = batch.column("doc_id"), batch.column("text_hash")
             held, size, first = [], 0, None
             for a, b, d, g in _document_sets(batch, n):
                 first = a if first is None else first
                 held.append((d + a, g))
                 size += len(g)
                 if size >= _FLUSH or b == batch.num_rows:
-                    yield one(lookup, ids, np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]), first, b)
+                    yield one(lookup, ids, hashes, np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]), first, b)
                     held, size, first = [], 0, None
         release()
 
-    def one(lookup, ids, d, g, first, last):
+    def one(lookup, ids, hashes, d, g, first, last):
         count = last - first
         d = d - first
         order = np.argsort(g)
@@ -123,11 +123,11 @@ def _survivors(n: int, threshold: float, folder: str, shards: int):
         at = np.flatnonzero(keep)
         return pa.RecordBatch.from_arrays(
             [
-                ids.take(pa.array(at + first)), pa.array(sig[at]), pa.array(size[at]),
+                ids.take(pa.array(at + first)), hashes.take(pa.array(at + first)), pa.array(sig[at]), pa.array(size[at]),
                 pa.array([g[cut[i] : cut[i + 1]].astype("<u8").tobytes() for i in at], pa.binary()),
                 pa.array([np.packbits(rare[cut[i] : cut[i + 1]]).tobytes() for i in at], pa.binary()), pa.array(rares[at]),
             ],
-            names=["doc_id", "sig", "size", "grams", "rare", "rares"],
+            names=["doc_id", "text_hash", "sig", "size", "grams", "rare", "rares"],
         )
 
     return run
@@ -334,22 +334,22 @@ def _put_labels(folder: str):
 def similar_sets(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(members, pairs) of classes of documents with equal n-gram sets.
 
-    members: doc_id and sig, the class, of each document that may have a
-    partner; pairs: classes a < b with common, the n-grams they share, and
+    members: doc_id, a hash of the text and sig, the class, of each document
+    that may have a partner; pairs: classes a < b with common, the n-grams they share, and
     their sizes, where the Jaccard similarity reaches the threshold.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
-    own = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("doc_id"), F.lower(F.col(f"`{text_col}`")).alias("text"))
+    own = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("doc_id"), F.lower(F.col(f"`{text_col}`")).alias("text"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_hash"))
     size = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).collect()[0][0]
     shards = int(-(-size // SHARD_BYTES)) or 1
     folder = local_path(new_folder(spark, "ngram-frequencies"))
     packed = own.select("text").mapInArrow(_frequencies(n, shards), "shard int, keys binary")
     packed.groupBy("shard").applyInArrow(_repeated(folder), "shard int, n bigint").agg(F.sum("n")).collect()
 
-    kept = written(own.mapInArrow(_survivors(n, threshold, folder, shards), f"doc_id {id_type}, sig bigint, size bigint, grams binary, rare binary, rares bigint"), "ngram-survivors")
+    kept = written(own.mapInArrow(_survivors(n, threshold, folder, shards), f"doc_id {id_type}, text_hash bigint, sig bigint, size bigint, grams binary, rare binary, rares bigint"), "ngram-survivors")
     grams, rares = kept.agg(F.coalesce(F.sum(F.octet_length("grams") / 8), F.lit(0)), F.coalesce(F.sum("rares"), F.lit(0))).collect()[0]
     ranges, parts = int(-(-rares // SHARD_GRAMS)) or 1, int(-(-grams // SHARD_GRAMS)) or 1
     near = kept.select("sig", "size", "grams", "rare").mapInArrow(_rarest(ranges), "shard int, keys binary, at binary, docs binary")
@@ -360,7 +360,7 @@ def similar_sets(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD,
     labels.groupBy(shard.alias("shard")).applyInArrow(_put_labels(folder), "n bigint").agg(F.sum("n")).collect()
     segments = kept.select("sig", "size", "grams", "rare").mapInArrow(_segments(folder, parts), "part bigint, keys binary, at binary, docs binary, rare binary")
     pairs = segments.groupBy("part").applyInArrow(_joined(threshold), "a bigint, b bigint, size_a bigint, size_b bigint, common bigint")
-    return kept.select("doc_id", "sig", "size"), pairs
+    return kept.select("doc_id", "text_hash", "sig", "size"), pairs
 
 
 def similar_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -380,7 +380,7 @@ def similar_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD,
     gives an empty result.  Other columns are not read.
     """
     members, pairs = similar_sets(docs, n, threshold, id_col, text_col)
-    members = members.distinct()
+    members = members.select("doc_id", "sig", "size").distinct()
     left, right = members.select(F.col("doc_id").alias("x"), F.col("sig").alias("a")), members.select(F.col("doc_id").alias("y"), F.col("sig").alias("b"))
     across = pairs.join(left, "a").join(right, "b").select("x", "y", "common", (F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))).alias("jaccard"))
     within = members.select(F.col("doc_id").alias("x"), "sig", F.col("size").alias("common")).join(members.select(F.col("doc_id").alias("y"), "sig"), "sig").where("x < y").select("x", "y", "common", F.lit(1.0).alias("jaccard"))
@@ -392,18 +392,23 @@ def drop_near_copies(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHO
     """One document, that of the least id, of each group that similar pairs connect; columns as given.
 
     Documents without n-grams and rows with a null id stay as they are; rows
-    that repeat an id and text are one group and one row of them stays.
+    that repeat an id and text are one group and one row of them stays.  Rows
+    with one id and different texts are different documents, told apart by a
+    hash of the text; of those in one group one stays.
     """
     members, pairs = similar_sets(docs, n, threshold, id_col, text_col)
     roots = connected(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    members = written(members.join(roots, members["sig"] == roots["node"], "left").select("doc_id", F.coalesce("root", "sig").alias("grp")), "ngram-groups")
-    least = members.groupBy("grp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1")
-    gone_id = fresh(docs, "near_copy_id")
-    gone = members.join(least, "grp").where("doc_id <> least").select(F.col("doc_id").alias(gone_id)).distinct()
-    stay = docs.join(gone, F.col(f"`{id_col}`") == F.col(gone_id), "left_anti")
-    # Only ids that occur twice in one group can repeat a row.
-    twice = members.groupBy("grp", "doc_id").count().where("count > 1").select("doc_id").distinct().withColumnRenamed("doc_id", gone_id)
+    members = written(members.join(roots, members["sig"] == roots["node"], "left").select("doc_id", "text_hash", F.coalesce("root", "sig").alias("grp")), "ngram-groups")
+    row = F.struct("doc_id", "text_hash")
+    least = members.groupBy("grp").agg(F.min(row).alias("least"), F.count("*").alias("n")).where("n > 1")
+    gone_id, gone_hash, h = fresh(docs, "near_copy_id"), fresh(docs, "near_copy_hash"), fresh(docs, "near_copy_text")
+    named = lambda df: df.select(F.col("doc_id").alias(gone_id), F.col("text_hash").alias(gone_hash)).distinct()
+    gone = named(members.join(least, "grp").where(row != F.col("least")))
+    on = (F.col(f"`{id_col}`") == F.col(gone_id)) & (F.col(h) == F.col(gone_hash))
+    stay = docs.withColumn(h, F.xxhash64(F.col(f"`{text_col}`"))).join(gone, on, "left_anti")
+    # Only documents that occur twice in one group can repeat a row.
+    twice = named(members.groupBy("grp", "doc_id", "text_hash").count().where("count > 1"))
     if twice.isEmpty():
-        return stay
-    same = stay.join(twice, F.col(f"`{id_col}`") == F.col(gone_id), "left_semi").dropDuplicates([id_col, text_col])
-    return stay.join(twice, F.col(f"`{id_col}`") == F.col(gone_id), "left_anti").unionByName(same)
+        return stay.drop(h)
+    same = stay.join(twice, on, "left_semi").dropDuplicates([id_col, text_col])
+    return stay.join(twice, on, "left_anti").unionByName(same).drop(h)
