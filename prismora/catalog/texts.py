@@ -118,7 +118,7 @@ def x15(spark, d):
 
 
 def x16(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(X.comparison_key(F.substring("text", 1, 200))).alias("key"))
+    return table(spark, d, "documents").select("doc_id", F.md5(X.comparison_key(F.col("text"))).alias("key"))
 
 
 def x17(spark, d):

@@ -22,3 +22,11 @@ select doc_id, code, n::int as line, md5(t) as text, md5(array_to_string(lines[g
 def test_whole_result(spark, name):
     expected, _ = rows_of_sql(connect(SF), WHOLE[name])
     assert rows_of(catalog.entries()[name][0](spark, SF)) == expected
+
+
+def test_comparison_key_of_whole_texts(spark):
+    from prismora.functions.text import comparison_key
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", F.md5(comparison_key(F.col("text"))).alias("key"))
+    assert rows_of(catalog.entries()["x16_comparison_key"][0](spark, "/root/testdata/sf0.001")) == rows_of(docs)
