@@ -7,12 +7,13 @@ import os
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import local_path, new_folder, planes, put_file, release, squeeze, unplanes, unsqueeze
-from ._text import U64, pieces, span_hashes, spans, text_buffer
+from ._text import U64, mix64, pieces, span_hashes, spans, text_buffer
 
 #: Absolute discount of bigrams and trigrams.
 DISCOUNT = 0.75
@@ -20,6 +21,10 @@ DISCOUNT = 0.75
 STEP = 0.08
 #: Text bytes that one shard of the trie holds, about.
 SHARD_BYTES = 16 << 20
+#: Times that a word may occur before its subtree is spread over several shards.
+HOT_WORD = 1 << 20
+#: Shards of one kind that a worker keeps mapped.
+OPEN_SHARDS = 4096
 _FLUSH = 1 << 20
 #: Bits of a packed sort key; wider trigrams are sorted by columns.
 _KEY_BITS = 63
@@ -45,12 +50,21 @@ def ef_encode(values: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _pack(v: np.ndarray, width: int) -> np.ndarray:
-    """Fixed-width bit packing, with room for an eight-byte read at the end."""
+    """Fixed-width bit packing (width 56 at most), with room for an eight-byte read at the end."""
     n = len(v)
     if not width or not n:
         return np.zeros(8, np.uint8)
-    bits = ((v[:, None] >> np.arange(width, dtype=np.uint64)) & U64(1)).astype(np.uint8)
-    return np.r_[np.packbits(bits.reshape(-1), bitorder="little"), np.zeros(8, np.uint8)]
+    # Eight values take `width` whole bytes; each of the eight lanes is written byte by byte.
+    lanes = np.zeros(-(-n // 8) * 8, U64)
+    lanes[:n] = v
+    lanes = lanes.reshape(-1, 8)
+    out = np.zeros((len(lanes), width), np.uint8)
+    for lane in range(8):
+        byte, bit = divmod(lane * width, 8)
+        x = lanes[:, lane] << U64(bit)
+        for k in range(-(-(bit + width) // 8)):
+            out[:, byte + k] |= (x >> U64(8 * k)).astype(np.uint8)
+    return np.r_[out.reshape(-1), np.zeros(8, np.uint8)]
 
 
 def _unpack(a: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
@@ -58,32 +72,32 @@ def _unpack(a: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     if not width:
         return np.zeros(len(at), np.int64)
     bit = at * width
-    byte = bit >> 3
-    out = np.zeros(len(at), U64)
-    for k in range((width + 14) // 8):
-        out |= a[byte + k].astype(U64) << U64(8 * k)
-    return ((out >> (bit & 7).astype(U64)) & U64((1 << width) - 1)).astype(np.int64)
-
-
-_BYTE_ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1).astype(np.int64)
-#: Place of the k-th one of a byte.
-_BYTE_SELECT = np.full((8, 256), 8, np.int64)
-for _b in range(256):
-    for _k, _i in enumerate([i for i in range(8) if _b >> i & 1]):
-        _BYTE_SELECT[_k, _b] = _i
+    eight = np.ndarray((len(a) - 7,), "<u8", buffer=a, strides=(1,))[bit >> 3]
+    bit &= 7
+    eight >>= bit.view(U64)
+    eight &= U64((1 << width) - 1)
+    return eight.view(np.int64)
+
+
+def _select(word: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Place of the k-th one of each 64-bit word, by halving."""
+    word, k = word.copy(), k.astype(np.uint8)
+    out = np.zeros(len(word), np.int64)
+    for half in (32, 16, 8, 4, 2, 1):
+        ones = np.bitwise_count(word & U64((1 << half) - 1))
+        above = ones <= k
+        k -= np.where(above, ones, np.uint8(0))
+        step = above * np.int64(half)
+        out += step
+        word >>= step.view(U64)
+    return out
 
 
 def ef_get(e: dict[str, np.ndarray], at: np.ndarray) -> np.ndarray:
     """The values at rising places."""
     low = int(e["head"][1])
     word = np.searchsorted(e["ones"], at.astype(np.uint32), side="right") - 1
-    rank = at - e["ones"][word].astype(np.int64)
-    octets = e["high"][word].view(np.uint8).reshape(-1, 8) if len(at) else np.zeros((0, 8), np.uint8)
-    counts = np.cumsum(_BYTE_ONES[octets], axis=1)
-    byte = (counts <= rank[:, None]).sum(1)
-    row = np.arange(len(at))
-    rank = rank - np.where(byte > 0, counts[row, np.maximum(byte - 1, 0)], 0)
-    select = word.astype(np.int64) * 64 + byte * 8 + _BYTE_SELECT[rank, octets[row, byte]]
+    select = word * 64 + _select(e["high"][word], at - e["ones"][word])
     return ((select - at) << low) | _unpack(e["low"], at, low)
 
 
@@ -103,7 +117,7 @@ def _save(path: str, arrays: dict[str, np.ndarray], extra: dict) -> None:
 
 
 def _load(path: str) -> tuple[dict[str, np.ndarray], dict]:
-    raw = np.memmap(path, np.uint8, "r")
+    raw = np.memmap(path, np.uint8, "r").view(np.ndarray)
     size = int.from_bytes(raw[:8].tobytes(), "little")
     head = json.loads(raw[8 : 8 + size].tobytes())
     out = {}
@@ -113,6 +127,22 @@ def _load(path: str) -> tuple[dict[str, np.ndarray], dict]:
     return out, head
 
 
+class Shards:
+    """Files of one kind by shard number, mapped when asked for; the one mapped first goes when there are too many."""
+
+    def __init__(self, folder: str, kind: str, made=lambda arrays, head: arrays):
+        self._path, self._made, self._open = f"{folder}/{kind}", made, {}
+
+    def get(self, shard: int):
+        """None where there is no such file."""
+        if shard not in self._open:
+            if len(self._open) >= OPEN_SHARDS:
+                self._open.pop(next(iter(self._open)))
+            path = f"{self._path}-{shard:07d}"
+            self._open[shard] = self._made(*_load(path)) if os.path.exists(path) else None
+        return self._open[shard]
+
+
 def _sub(arrays: dict[str, np.ndarray], prefix: str) -> dict[str, np.ndarray]:
     return {k[len(prefix) :]: a for k, a in arrays.items() if k.startswith(prefix)}
 
@@ -175,7 +205,7 @@ def _word_counts(shards: int):
     return run
 
 
-def _put_words(folder: str):
+def _put_words(folder: str, hot_word: int):
     def run(key, table):
         shard = key[0].as_py()
         words = np.concatenate([unsqueeze(x.as_py()) for x in table.column("words")])
@@ -184,9 +214,11 @@ def _put_words(folder: str):
         words, n = words[order], n[order].astype(np.int64)
         first = np.flatnonzero(np.r_[True, words[1:] != words[:-1]])
         n = np.add.reduceat(n, first)
-        _save(f"{folder}/words-{shard:07d}", {"word": words[first], "n": n}, {})
+        words = words[first]
+        _save(f"{folder}/words-{shard:07d}", {"word": words, "n": n}, {})
+        hot = np.flatnonzero((n > hot_word) & (words != _END))
         release()
-        return pa.table({"shard": pa.array([shard], pa.int32()), "types": pa.array([len(first)], pa.int64()), "tokens": pa.array([int(n.sum())], pa.int64())})
+        return pa.table({"shard": pa.array([shard], pa.int32()), "types": pa.array([len(words)], pa.int64()), "tokens": pa.array([int(n.sum())], pa.int64()), "hot": pa.array([hot], pa.list_(pa.int64())), "n": pa.array([n[hot]], pa.list_(pa.int64()))})
 
     return run
 
@@ -195,13 +227,7 @@ class Words:
     """Numbers of words: their rank by hash in the whole vocabulary, mapped shard by shard."""
 
     def __init__(self, folder: str, model: Model):
-        self.folder, self.model, self._open = folder, model, {}
-
-    def _shard(self, s: int):
-        if s not in self._open:
-            path = f"{self.folder}/words-{s:07d}"
-            self._open[s] = _load(path)[0] if os.path.exists(path) else None
-        return self._open[s]
+        self.model, self._files = model, Shards(folder, "words")
 
     def numbers(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number (-1 if unknown) and count of sorted hashes."""
@@ -210,7 +236,7 @@ class Words:
         cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(h) else []
         for i, j in zip(cuts, np.r_[cuts[1:], len(h)] if len(h) else []):
             s = int(shard[i])
-            if (a := self._shard(s)) is None:
+            if (a := self._files.get(s)) is None:
                 continue
             at = np.searchsorted(a["word"], h[i:j])
             at[at == len(a["word"])] = 0
@@ -230,6 +256,11 @@ class Model:
     #: Words before each vocabulary shard; the last entry is their number.
     first_word: np.ndarray
     tokens: int
+    #: Numbers (sorted) and counts of the words whose subtrees lie in several shards, and their back-off steps.
+    hot: np.ndarray
+    hot_count: np.ndarray
+    hot_back: np.ndarray
+    hot_word: int = HOT_WORD
 
     @property
     def types(self) -> int:
@@ -240,50 +271,64 @@ class Model:
         n = max(self.tokens, 1)
         return np.maximum(count - DISCOUNT, 0) / n + DISCOUNT * self.types / n / (self.types + 1)
 
-
-def _trie_shard(first: np.ndarray, shards: int) -> np.ndarray:
-    """Shard of a first word's subtree."""
-    x = (first.astype(np.uint64) + U64(1)) * U64(0x9E3779B97F4A7C15)
-    return ((x >> U64(44)) * U64(shards)) >> U64(20)
+    def is_hot(self, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the hot words are, and which of them each is."""
+        if not len(self.hot):
+            none = np.zeros(0, np.int64)
+            return none, none
+        at = np.minimum(np.searchsorted(self.hot, a), len(self.hot) - 1)
+        here = np.flatnonzero(self.hot[at] == a)
+        return here, at[here]
+
+    def shard(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Shard of the pair a b: that of a's subtree, or of the part of it that b falls into."""
+        x = (a.astype(np.uint64) + U64(1)) * U64(0x9E3779B97F4A7C15)
+        here, which = self.is_hot(a)
+        if len(here):
+            parts = (-(-self.hot_count // self.hot_word)).astype(np.uint64)[which]
+            x[here] = mix64(x[here] + (mix64(b[here].astype(np.uint64)) % parts))
+        return ((x >> U64(44)) * U64(self.shards)) >> U64(20)
+
+
+def _ranks(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rank of each value among the distinct ones, and these, sorted."""
+    codes, known = pd.factorize(x)
+    order = np.argsort(known)
+    rank = np.empty(len(known), np.int64)
+    rank[order] = np.arange(len(known))
+    return rank[codes], known[order]
 
 
 def _sorted_trigrams(a, b, c, n=None):
     """Distinct trigrams with summed counts (1 each by default), sorted.
 
-    Numbers are first replaced by their rank among those at hand; where three
-    ranks fit into 63 bits one packed key is sorted, else three columns.
+    Numbers that would make a packed key wider than 63 bits are first replaced
+    by their rank among those at hand, one column after another; where that
+    doesn't help, three columns are sorted.
     """
     if not len(a):
         return a, b, c, np.zeros(0, np.int64)
-    known = [np.unique(x) for x in (a, b, c)]
-    bits = [max(1, len(u).bit_length()) for u in known]
+    n = np.ones(len(a), np.int64) if n is None else n
+    cols, known = [a, b, c], [None, None, None]
+    bits = [max(1, int(x.max()).bit_length()) for x in cols]
+    for k in range(3):
+        if sum(bits) > _KEY_BITS:
+            cols[k], known[k] = _ranks(cols[k])
+            bits[k] = max(1, (len(known[k]) - 1).bit_length())
     if sum(bits) <= _KEY_BITS:
-        key = np.searchsorted(known[0], a)
-        for k, x in ((1, b), (2, c)):
-            key <<= bits[k]
-            key |= np.searchsorted(known[k], x)
-        if n is None:
-            key = np.sort(key)
-        else:
-            order = np.argsort(key)
-            key, n = key[order], n[order]
-            del order
+        key = (cols[0] << (bits[1] + bits[2])) | (cols[1] << bits[2]) | cols[2]
+        order = np.argsort(key)
+        key, n = key[order], n[order]
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        size = len(key)
         key = key[first]
-        out = [known[0][key >> (bits[1] + bits[2])], known[1][(key >> bits[2]) & ((1 << bits[1]) - 1)], known[2][key & ((1 << bits[2]) - 1)]]
+        out = [key >> (bits[1] + bits[2]), (key >> bits[2]) & ((1 << bits[1]) - 1), key & ((1 << bits[2]) - 1)]
+        out = [x if u is None else u[x] for u, x in zip(known, out)]
     else:
         order = np.lexsort((c, b, a))
-        a, b, c = a[order], b[order], c[order]
-        n = None if n is None else n[order]
+        a, b, c, n = a[order], b[order], c[order], n[order]
         first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])])
-        size, out = len(a), [a[first], b[first], c[first]]
-    return *out, np.diff(np.r_[first, size]) if n is None else np.add.reduceat(n.astype(np.int64), first)
-
-
-def _numbered(words: Words, h: np.ndarray) -> np.ndarray:
-    u, back = np.unique(h, return_inverse=True)
-    return words.numbers(u)[0][back]
+        out = [a[first], b[first], c[first]]
+    return *out, np.add.reduceat(n.astype(np.int64), first)
 
 
 def _trigrams(model: Model):
@@ -291,11 +336,24 @@ def _trigrams(model: Model):
 
     def run(batches):
         words = Words(model.folder, model)
-        held, size = [], 0
+        held, size, base = [], 0, 0
 
         def flush():
-            a, b, c, n = _sorted_trigrams(*(np.concatenate(x) for x in zip(*held)))
-            shard = _trie_shard(a, model.shards).astype(np.uint16 if model.shards <= 65536 else np.int64)
+            rank, known = _ranks(np.concatenate([h for _, h in held]))
+            doc = np.concatenate([d for d, _ in held])
+            inside = np.flatnonzero(doc[:-2] == doc[2:])
+            # Numbers rise with hashes, so ranks sort as numbers do.
+            number, bits = words.numbers(known)[0], max(1, (len(known) - 1).bit_length())
+            x, y, z = rank[inside], rank[inside + 1], rank[inside + 2]
+            if 3 * bits <= _KEY_BITS:
+                key = np.sort((x << (2 * bits)) | (y << bits) | z)
+                first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                n = np.diff(np.r_[first, len(key)])
+                key = key[first]
+                a, b, c = number[key >> (2 * bits)], number[(key >> bits) & ((1 << bits) - 1)], number[key & ((1 << bits) - 1)]
+            else:
+                a, b, c, n = _sorted_trigrams(number[x], number[y], number[z])
+            shard = model.shard(a, b).astype(np.uint16 if model.shards <= 65536 else np.int64)
             order = np.argsort(shard, kind="stable")
             a, b, c, n, shard = a[order], b[order], c[order], n[order], shard[order]
             cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
@@ -306,16 +364,15 @@ def _trigrams(model: Model):
             return pa.RecordBatch.from_arrays([pa.array(shard[cuts].astype(np.int32)), *(pa.array(list(x), pa.binary()) for x in zip(*packed))], names=["shard", "a", "b", "c", "more", "n"])
 
         for batch in batches:
-            for _, _, doc, h, _ in _tokens(batch.column("text")):
+            for lo, _, doc, h, _ in _tokens(batch.column("text")):
                 if not len(h):
                     continue
-                number = _numbered(words, h)
-                inside = doc[:-2] == doc[2:]
-                held.append((number[:-2][inside], number[1:-1][inside], number[2:][inside]))
-                size += int(inside.sum())
+                held.append((doc + (lo + base), h))
+                size += len(h)
                 if size >= _FLUSH:
                     yield flush()
                     held, size = [], 0
+            base += batch.num_rows
         if size:
             yield flush()
         release()
@@ -352,6 +409,9 @@ def _put_trie(model: Model, bits: int):
         at1 = np.flatnonzero(np.r_[True, a2[1:] != a2[:-1]])
         n1, kids1 = np.add.reduceat(n2, at1), np.diff(np.r_[at1, len(a2)])
         one = a2[at1]
+        # A hot word's successors lie in several shards; each of its occurrences begins a trigram.
+        here, which = model.is_hot(one)
+        n1[here] = model.hot_count[which]
         p3 = (n3 - DISCOUNT) / np.repeat(n2, kids2)
         p2 = (n2 - DISCOUNT) / np.repeat(n1, kids1)
         arrays = {"one": one, "back1": quantise(DISCOUNT * kids1 / n1), "two": _pack_by_parts(b2, bits), "p2": quantise(p2), "back2": quantise(DISCOUNT * kids2 / n2), "three": _pack_by_parts(c, bits), "p3": quantise(p3)}
@@ -361,7 +421,8 @@ def _put_trie(model: Model, bits: int):
         sizes = [len(one), len(a2), len(c)]
         del arrays, a, b, c, p3, n3
         release()
-        return pa.table({"shard": pa.array([shard], pa.int32()), "ones": pa.array(sizes[:1], pa.int64()), "twos": pa.array(sizes[1:2], pa.int64()), "threes": pa.array(sizes[2:], pa.int64())})
+        # Of a hot word: which it is, and its successors here; and one row for the shard.
+        return pa.table({"hot": pa.array([-1, *which], pa.int64()), "n": pa.array([sum(sizes), *kids1[here]], pa.int64())})
 
     return run
 
@@ -377,33 +438,32 @@ class Trie:
     """The levels of all shards; a shard is mapped when first asked for."""
 
     def __init__(self, model: Model):
-        self.model, self._open = model, {}
-
-    def _shard(self, s: int):
-        if s not in self._open:
-            path = f"{self.model.folder}/trie-{s:07d}"
-            if os.path.exists(path):
-                a, head = _load(path)
-                self._open[s] = (a, _sub(a, "to2_"), _sub(a, "to3_"), head["bits"])
-            else:
-                self._open[s] = None
-        return self._open[s]
+        self.model = model
+        self._files = Shards(model.folder, "trie", lambda a, head: (a, _sub(a, "to2_"), _sub(a, "to3_"), head["bits"]))
 
     @staticmethod
     def _successor(packed: np.ndarray, bits: int, lo: np.ndarray, hi: np.ndarray, want: np.ndarray) -> np.ndarray:
-        """In each context's range [lo, hi) the place of the first word number not below `want`, -1 unless equal."""
-        end = hi.copy()
-        lo = lo.copy()
-        active = np.flatnonzero(lo < hi)
-        while len(active):
-            mid = (lo[active] + hi[active]) >> 1
-            below = _unpack(packed, mid, bits) < want[active]
-            lo[active[below]] = mid[below] + 1
-            hi[active[~below]] = mid[~below]
-            active = active[lo[active] < hi[active]]
-        ok = lo < end
-        ok[ok] = _unpack(packed, lo[ok], bits) == want[ok]
-        return np.where(ok, lo, -1)
+        """In each context's range [lo, hi) the place of the word number `want`, -1 where it isn't.
+
+        The ranges are halved around the last number that doesn't exceed `want`;
+        a context of one successor needs the last comparison alone.
+        """
+        out = lo.copy()
+        at = np.flatnonzero(hi - lo > 1)
+        a, b, w = lo[at], hi[at], want[at]
+        while len(at):
+            mid = (a + b) >> 1
+            up = _unpack(packed, mid, bits) <= w
+            a = np.where(up, mid, a)
+            b = np.where(up, b, mid)
+            wide = b - a > 1
+            if not wide.all():
+                out[at[~wide]] = a[~wide]
+                at, a, b, w = at[wide], a[wide], b[wide], w[wide]
+        ok = lo < hi
+        ok[ok] = _unpack(packed, out[ok], bits) == want[ok]
+        out[~ok] = -1
+        return out
 
     def lookup(self, a: np.ndarray, b: np.ndarray, c: np.ndarray):
         """For sorted distinct trigrams: (p3, back2) of a b c, then (p2, back1) of a b.
@@ -412,11 +472,11 @@ class Trie:
         """
         m = len(a)
         p3, back2, p2, back1 = np.zeros(m), np.ones(m), np.zeros(m), np.ones(m)
-        shard = _trie_shard(a, self.model.shards).astype(np.int64)
+        shard = self.model.shard(a, b).astype(np.uint16 if self.model.shards <= 65536 else np.int64)
         order = np.argsort(shard, kind="stable")
-        cuts = np.flatnonzero(np.r_[True, np.diff(shard[order]) != 0]) if m else []
+        cuts = np.flatnonzero(np.r_[True, shard[order[1:]] != shard[order[:-1]]]) if m else []
         for i, j in zip(cuts, np.r_[cuts[1:], m] if m else []):
-            found = self._shard(int(shard[order[i]]))
+            found = self._files.get(int(shard[order[i]]))
             if found is None:
                 continue
             t, to2, to3, bits = found
@@ -442,6 +502,8 @@ class Trie:
             node3 = self._successor(t["three"], bits, lo2[of2], hi2[of2], z)
             has3 = node3 >= 0
             p3[at] = np.where(has3, _VALUE[t["p3"][np.where(has3, node3, 0)]], 0.0)
+        here, which = self.model.is_hot(a)
+        back1[here] = _VALUE[self.model.hot_back[which]]
         return p3, back2, p2, back1
 
 
@@ -458,14 +520,19 @@ def build(docs: DataFrame, text_col: str = "text") -> Model:
     folder = local_path(new_folder(spark, "ngram-trie"))
     counted = own.mapInArrow(_word_counts(shards), "shard int, words binary, n binary")
     sizes = np.zeros(shards + 1, np.int64)
-    tokens = 0
-    for r in counted.groupBy("shard").applyInArrow(_put_words(folder), "shard int, types bigint, tokens bigint").collect():
+    tokens, hot = 0, []
+    for r in counted.groupBy("shard").applyInArrow(_put_words(folder, HOT_WORD), "shard int, types bigint, tokens bigint, hot array<bigint>, n array<bigint>").collect():
         sizes[r["shard"] + 1] = r["types"]
         tokens += r["tokens"]
-    model = Model(folder, shards, np.cumsum(sizes), tokens)
+        hot += [(r["shard"], w, n) for w, n in zip(r["hot"], r["n"])]
+    first = np.cumsum(sizes)
+    hot = np.array(sorted((first[s] + w, n) for s, w, n in hot), np.int64).reshape(-1, 2)  # tokens / HOT_WORD at most
+    model = Model(folder, shards, first, tokens, hot[:, 0], hot[:, 1], np.zeros(len(hot), np.uint8), HOT_WORD)
     bits = max(1, int(model.types).bit_length())
     grams = own.mapInArrow(_trigrams(model), "shard int, a binary, b binary, c binary, more binary, n binary")
-    grams.groupBy("shard").applyInArrow(_put_trie(model, bits), "shard int, ones bigint, twos bigint, threes bigint").agg(F.sum("threes")).collect()
+    nodes = grams.groupBy("shard").applyInArrow(_put_trie(model, bits), "hot bigint, n bigint").groupBy("hot").agg(F.sum("n").alias("n")).collect()
+    kids = dict(map(tuple, nodes))
+    model.hot_back = quantise(DISCOUNT * np.array([kids[k] for k in range(len(hot))], float) / np.maximum(model.hot_count, 1))
     return model
 
 
@@ -504,7 +571,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def one(m, words, trie, doc, h, total, many):
         if not len(h):
             return
-        u, back = np.unique(h, return_inverse=True)
+        back, u = _ranks(h)
         number, count = words.numbers(u)
         p1 = m.unigram(count)[back]
         w = number[back]
@@ -517,8 +584,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         inside = np.flatnonzero(doc[:-2] == doc[2:]) if n > 2 else np.zeros(0, np.int64)
         # Ranks in this piece stand for words; three of them nearly always fit into one key.
         x, y, z = back[inside], back[inside + 1], back[inside + 2]
-        bits = max(1, len(u).bit_length())
-        order = np.argsort((x << (2 * bits)) | (y << bits) | z) if 3 * bits <= 63 else np.lexsort((z, y, x))
+        bits = max(1, (len(u) - 1).bit_length())
+        order = np.argsort((x << (2 * bits)) | (y << bits) | z) if 3 * bits <= _KEY_BITS else np.lexsort((z, y, x))
         inside = inside[order]
         a, b, c = w[inside], w[inside + 1], w[inside + 2]
         head = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])]) if len(a) else np.zeros(0, np.int64)

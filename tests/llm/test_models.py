@@ -74,6 +74,23 @@ def test_scores_against_brute_force(spark, monkeypatch):
     assert set(got) == set(want) and max(abs(got[k] - want[k]) for k in want) < ngram_lm.STEP
 
 
+def test_scores_with_hot_words_and_few_open_shards(spark, monkeypatch):
+    """Subtrees of frequent words in several shards, and fewer maps than shards, change no score."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plain = {r["doc_id"]: r["mean_logprob"] for r in ngram_lm.score(docs, ngram_lm.build(docs)).collect()}
+    monkeypatch.setattr(ngram_lm, "SHARD_BYTES", 1 << 14)
+    monkeypatch.setattr(ngram_lm, "OPEN_SHARDS", 2)
+    monkeypatch.setattr(ngram_lm, "HOT_WORD", 100)
+    model = ngram_lm.build(docs)
+    assert len(model.hot) > 20 and model.shards > 10
+    spread = {int(s) for s in model.shard(np.full(1000, model.hot[model.hot_count.argmax()]), np.arange(1000))}
+    assert len(spread) > 5
+    got = {r["doc_id"]: r["mean_logprob"] for r in ngram_lm.score(docs, model).collect()}
+    assert got == plain
+    want = reference_scores({r["doc_id"]: r["text"].split() for r in docs.collect()})
+    assert max(abs(got[k] - want[k]) for k in want) < ngram_lm.STEP
+
+
 def test_scores_odd(spark):
     docs = odd(spark)
     model = ngram_lm.build(docs)
