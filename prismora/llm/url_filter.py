@@ -16,6 +16,8 @@ from ._shared import written
 TRAIN_ROWS = 40_000
 TREES = 80
 DEPTH = 4
+#: Parts of the labelled URLs, by hash: a part's statistics are of the others, and it is held out once to find the number of trees.
+FOLDS = 5
 THRESHOLD = 0.5
 FEATURES = [
     "length", "host_length", "path_length", "query_length", "depth", "host_labels", "digit_ratio", "host_digits", "upper_ratio", "hyphens", "entropy",
@@ -61,35 +63,47 @@ def lexical(df: DataFrame, url: Column) -> DataFrame:
         "has_port": F.regexp_replace(u, r"^[A-Za-z][A-Za-z0-9+.-]*://", "").rlike(r"^[^/?#]*:[0-9]+"), "extension": F.length(F.regexp_extract(path, r"\.([A-Za-z0-9]{1,8})$", 1)),
         "longest_segment": F.coalesce(F.array_max(F.transform(segments, F.length)), F.lit(0)), "sign_ratio": of(u, "=&?%~+,;!$'()*@") / n,
     }
-    out = df.withColumns({f"f_{k}": (v.cast("int") if k in ("has_fragment", "secure", "has_port") else v).cast("double") for k, v in cols.items()})
+    out = df.withColumns({f"f_{k}": (v.cast("int") if k in ("has_fragment", "secure", "has_port") else v).cast("float") for k, v in cols.items()})
     return out.withColumns({"_suffix": F.coalesce(F.element_at(F.when(F.size(labels) > 0, labels), -1), F.lit("")), "_domain": F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".")})
 
 
-def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, rate: float = 0.1, bins: int = 64, l2: float = 5.0, least: int = 20) -> Trees:
-    """Histogram gradient boosting on the logistic loss with second-order leaves."""
-    n, f = x.shape
-    base = float(np.clip(y.mean() if n else 0.5, 1e-3, 1 - 1e-3))
-    base = float(np.log(base / (1 - base)))
+def _edges(x: np.ndarray, bins: int) -> list[np.ndarray]:
+    return [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1], method="lower")) for j in range(x.shape[1])]
+
+
+def _base(y: np.ndarray) -> float:
+    p = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
+    return float(np.log(p / (1 - p)))
+
+
+def _loss(margin: np.ndarray, y: np.ndarray) -> float:
+    return float(np.logaddexp(0, margin).sum() - margin @ y)
+
+
+def _boosted(code: np.ndarray, edges: list[np.ndarray], y: np.ndarray, fits: np.ndarray, trees: int, depth: int, rate: float, l2: float, least: int) -> tuple[Trees, list[float]]:
+    """Trees grown on the rows `fits`, and the loss on the others before the first tree and after each."""
+    n, f = code.shape
     inner = (1 << depth) - 1
-    out = Trees(base, np.zeros((trees, inner), np.int32), np.full((trees, inner), np.inf), np.zeros((trees, 1 << depth)))
-    if not n:
-        return out
-    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(f)]
-    code = np.stack([np.searchsorted(edges[j], x[:, j], side="left") for j in range(f)], axis=1)
-    margin = np.full(n, base)
+    out = Trees(_base(y[fits]), np.zeros((trees, inner), np.int32), np.full((trees, inner), np.inf, np.float32), np.zeros((trees, 1 << depth)))
+    # A row's bin of each feature, and the bin that a node splits above; a node without a split sends all to the left.
+    above = np.full((trees, inner), 1 << 30)
+    margin = np.full(n, out.base)
+    losses = [_loss(margin[~fits], y[~fits])]
+    mine = code[fits]
     for t in range(trees):
-        p = 1 / (1 + np.exp(-margin))
-        g, h = p - y, p * (1 - p)
+        p = 1 / (1 + np.exp(-margin[fits]))
+        g, h = p - y[fits], p * (1 - p)
         node = np.zeros(n, np.int64)
         for level in range(depth):
             width, first = 1 << level, (1 << level) - 1
             best = np.full(width, 1e-6)
+            own = node[fits]
             for j in range(f):
                 m = len(edges[j]) + 1
                 if m == 1:
                     continue
-                key = node * m + code[:, j]
-                gs, hs, cs = (np.bincount(key, weights=w, minlength=width * m).reshape(width, m).cumsum(1) for w in (g, h, np.ones(n)))
+                key = own * m + mine[:, j]
+                gs, hs, cs = (np.bincount(key, weights=w, minlength=width * m).reshape(width, m).cumsum(1) for w in (g, h, None))
                 gt, ht, ct = gs[:, -1:], hs[:, -1:], cs[:, -1:]
                 gain = gs**2 / (hs + l2) + (gt - gs) ** 2 / (ht - hs + l2) - gt**2 / (ht + l2)
                 gain[(cs < least) | (ct - cs < least)] = 0
@@ -100,11 +114,32 @@ def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEP
                 best[better] = value[better]
                 out.feature[t, first : first + width][better] = j
                 out.threshold[t, first : first + width][better] = edges[j][at[better]]
-            node = 2 * node + (x[np.arange(n), out.feature[t, first + node]] > out.threshold[t, first + node])
-        gs, hs = np.bincount(node, weights=g, minlength=1 << depth), np.bincount(node, weights=h, minlength=1 << depth)
+                above[t, first : first + width][better] = at[better]
+            node = 2 * node + (code[np.arange(n), out.feature[t, first + node]] > above[t, first + node])
+        own = node[fits]
+        gs, hs = np.bincount(own, weights=g, minlength=1 << depth), np.bincount(own, weights=h, minlength=1 << depth)
         out.leaf[t] = -rate * gs / (hs + l2)
         margin += out.leaf[t][node]
-    return out
+        losses.append(_loss(margin[~fits], y[~fits]))
+    return out, losses
+
+
+def fit_trees(x: np.ndarray, y: np.ndarray, fold: np.ndarray, trees: int = TREES, depth: int = DEPTH, rate: float = 0.1, bins: int = 64, l2: float = 5.0, least: int = 20) -> Trees:
+    """Histogram gradient boosting on the logistic loss with second-order leaves.
+
+    Each fold is held out once; the trees are as many, `trees` at most, as
+    give the least loss over all held-out rows.  Where addresses tell nothing
+    about labels these are few or none, and every score is near the base rate.
+    """
+    edges = _edges(x, bins) if len(x) else []
+    code = np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)], axis=1).astype(np.int32) if len(x) else np.zeros((0, x.shape[1]), np.int32)
+    parts = np.unique(fold)
+    if len(parts) > 1:
+        losses = np.sum([_boosted(code, edges, y, fold != k, trees, depth, rate, l2, least)[1] for k in parts], axis=0)
+        trees = int(losses.argmin())
+    else:
+        trees = 0  # nothing to hold out
+    return _boosted(code, edges, y, np.ones(len(y), bool), trees, depth, rate, l2, least)[0]
 
 
 def predict(model: Trees, x: np.ndarray) -> np.ndarray:
@@ -122,21 +157,24 @@ def predict(model: Trees, x: np.ndarray) -> np.ndarray:
 
 
 def _suffixes(pages: DataFrame, labelled: DataFrame, key: str) -> DataFrame:
-    """URLs with each suffix among all pages, and labelled URLs and good ones among these."""
+    """URLs with each suffix among all pages, and labelled URLs and good ones among these: of all, and of each fold."""
     k = f"_{key}"
     every = pages.groupBy(k).agg(F.count("*").alias(f"{key}_all"))
-    known = labelled.groupBy(k).agg(F.count("*").alias(f"{key}_n"), F.sum("good").alias(f"{key}_good"))
+    each = [F.struct(F.count_if(F.col("fold") == i).alias("n"), F.sum(F.when(F.col("fold") == i, F.col("good")).otherwise(0)).alias("good")) for i in range(FOLDS)]
+    known = labelled.groupBy(k).agg(F.count("*").alias(f"{key}_n"), F.sum("good").alias(f"{key}_good"), F.array(*each).alias(f"{key}_folds"))
     return every.join(known, k, "left")
 
 
-def _with_statistics(df: DataFrame, tables: dict[str, DataFrame], own: Column | None) -> DataFrame:
-    """The share of good URLs with the suffix, smoothed to the middle by ten; own: the row's own label, left out of it."""
+def _with_statistics(df: DataFrame, tables: dict[str, DataFrame], base: float, fold: Column | None) -> DataFrame:
+    """The share of good labelled URLs with the suffix, smoothed to the base rate by ten; fold: the row's own, whose labels are left out."""
     for key, table in tables.items():
-        df = df.join(table, f"_{key}", "left")
+        df = df.join(table if fold is not None else table.drop(f"{key}_folds"), f"_{key}", "left")
         good, n = F.coalesce(f"{key}_good", F.lit(0)), F.coalesce(f"{key}_n", F.lit(0))
-        if own is not None:
-            good, n = good - own, n - 1
-        df = df.withColumns({f"f_{key}_rate": (good + 5.0) / (n + 10.0), f"f_{key}_count": F.log1p(F.coalesce(f"{key}_all", F.lit(0)).cast("double"))})
+        if fold is not None:
+            own = F.get(f"{key}_folds", fold)
+            good, n = good - F.coalesce(own["good"], F.lit(0)), n - F.coalesce(own["n"], F.lit(0))
+        rate = (good + 10.0 * base) / (n + 10.0)
+        df = df.withColumns({f"f_{key}_rate": rate.cast("float"), f"f_{key}_count": F.log1p(F.coalesce(f"{key}_all", F.lit(0)).cast("double")).cast("float")})
     return df
 
 
@@ -146,25 +184,30 @@ def score_urls(pages: DataFrame, labelled: DataFrame, train_rows: int = TRAIN_RO
     labelled: columns url and good (0 or 1).  Suffix statistics (of the last
     host label and the last two) count all pages and all labelled URLs; the
     trees are fitted on at most train_rows labelled URLs, those of lowest
-    hash, each without its own label in the statistics.
-
-    Returns page_id, url_score and keep for each row.  A null or empty URL has
-    the features of an empty one; labelled rows with a null URL or label are
-    left out; without any labelled URL all scores are 0.5.  Rows that repeat
-    are scored alike; an empty table gives an empty result.  Of other columns
-    none is read.
+    hash, with statistics of the URLs outside their own fold: a row's label,
+    and that of its repeats, never comes into its own features.
+
+    Returns page_id, url_score and keep for each row; a score equal to the
+    threshold is kept.  A null or empty URL has the features of an empty one;
+    labelled rows with a null URL or label are left out; without any labelled
+    URL all scores are 0.5.  Rows that repeat are scored alike; an empty table
+    gives an empty result.  Of other columns none is read.
     """
     spark = pages.sparkSession
     rows = lexical(pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url")), F.col("url")).drop("url")
     rows = written(rows, "url-features")
     known = labelled.where("url is not null and good is not null").select("url", F.col("good").cast("int").alias("good"))
-    known = written(lexical(known.withColumn("h", F.xxhash64("url")), F.col("url")), "url-labelled")
+    known = known.withColumn("h", F.xxhash64("url")).withColumn("fold", F.pmod(F.shiftright("h", 8), F.lit(FOLDS)).cast("int"))
+    known = written(lexical(known, F.col("url")), "url-labelled")
     tables = {k: written(_suffixes(rows, known, k), f"url-{k}") for k in ("suffix", "domain")}
-    sample = _with_statistics(known.orderBy("h", "url", "good").limit(train_rows), tables, F.col("good"))
+    base = known.agg(F.coalesce(F.avg("good"), F.lit(0.5))).collect()[0][0]
+    sample = _with_statistics(known.orderBy("h", "url", "good").limit(train_rows), tables, base, F.col("fold"))
     names = [f"f_{k}" for k in FEATURES]
-    got = sample.select("h", "url", "good", *names).toArrow().sort_by([("h", "ascending"), ("url", "ascending"), ("good", "ascending")])  # train_rows rows at most
-    x = np.stack([got.column(c).to_numpy() for c in names], axis=1) if got.num_rows else np.zeros((0, len(names)))
-    shared = spark.sparkContext.broadcast(fit_trees(x, got.column("good").to_numpy().astype(float) if got.num_rows else np.zeros(0)))
+    # train_rows rows at most; rows of one hash differ in nothing but the label, short of a collision.
+    got = sample.select("h", "good", "fold", *names).toArrow().sort_by([("h", "ascending"), *((c, "ascending") for c in ("good", "f_length", "f_entropy"))])
+    x = np.stack([got.column(c).to_numpy() for c in names], axis=1) if got.num_rows else np.zeros((0, len(names)), np.float32)
+    y, fold = (got.column(c).to_numpy() if got.num_rows else np.zeros(0) for c in ("good", "fold"))
+    shared = spark.sparkContext.broadcast(fit_trees(x, y.astype(float), fold))
 
     def run(batches):
         for batch in batches:
@@ -173,7 +216,7 @@ def score_urls(pages: DataFrame, labelled: DataFrame, train_rows: int = TRAIN_RO
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(p), pa.array(p >= threshold)], names=["page_id", "url_score", "keep"])
 
     id_type = pages.schema[id_col].dataType.simpleString()
-    return _with_statistics(rows, tables, None).select("id", *names).mapInArrow(run, f"page_id {id_type}, url_score double, keep boolean")
+    return _with_statistics(rows, tables, base, None).select("id", *names).mapInArrow(run, f"page_id {id_type}, url_score double, keep boolean")
 
 
 def labelled_pages(pages: DataFrame, labels: DataFrame, url_col: str = "url") -> DataFrame:

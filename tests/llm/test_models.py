@@ -201,6 +201,60 @@ def test_url_accuracy_on_held_out_rows(spark):
     assert (got["keep"] == (got["good"] == 1)).mean() > 0.97
 
 
+def test_boosting_against_brute_force():
+    """One tree of one split: that of the greatest gain over all features and cuts; predictions follow from the bins alone."""
+    r = np.random.default_rng(3)
+    x = r.integers(0, 12, (400, 3)).astype(np.float32)
+    y = ((x[:, 1] > 6) ^ (r.random(400) < 0.1)).astype(float)
+    model = url_filter._boosted(*coded(x), y, np.ones(400, bool), 1, 1, 0.1, 5.0, 20)[0]
+    p = y.mean()
+    g, h = p - y, np.full(400, p * (1 - p))
+    gain = {}
+    for j in range(3):
+        for cut in np.unique(x[:, j])[:-1]:
+            low = x[:, j] <= cut
+            if min(low.sum(), (~low).sum()) >= 20:
+                gain[j, cut] = g[low].sum() ** 2 / (h[low].sum() + 5) + g[~low].sum() ** 2 / (h[~low].sum() + 5) - g.sum() ** 2 / (h.sum() + 5)
+    best = max(gain, key=gain.get)
+    assert (model.feature[0, 0], model.threshold[0, 0]) == best
+    low = x[:, best[0]] <= best[1]
+    margin = math.log(p / (1 - p)) + np.where(low, -0.1 * g[low].sum() / (h[low].sum() + 5), -0.1 * g[~low].sum() / (h[~low].sum() + 5))
+    assert url_filter.predict(model, x) == pytest.approx(1 / (1 + np.exp(-margin)))
+
+
+def coded(x):
+    edges = url_filter._edges(x, 64)
+    return np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)], axis=1), edges
+
+
+@pytest.mark.parametrize("domains", [1, 3, 20])
+@pytest.mark.parametrize("informative", [False, True])
+def test_url_domains_that_tell_nothing(spark, domains, informative):
+    """A row's label doesn't leak through its domain's statistics: held-out accuracy is the base rate, or what another feature gives."""
+    r = np.random.default_rng(domains)
+    good = r.random(6000) < 0.7
+    sign = np.where(r.random(6000) < 0.9, good, ~good) if informative else r.random(6000) < 0.5
+    rows = [(i, f"https://site{r.integers(domains)}.org/{'p' * int(r.integers(1, 9))}/{i}{'' if sign[i] else '?id=7&x=1'}", int(good[i])) for i in range(6000)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, good int")
+    got = url_filter.score_urls(pages.drop("good"), pages.where("page_id % 3 <> 0").select("url", "good")).join(pages, "page_id").toPandas()
+    held = got["page_id"] % 3 == 0
+    right = got["keep"] == (got["good"] == 1)
+    base = got[held]["good"].mean()
+    assert right[held].mean() >= (0.88 if informative else base - 0.005)
+    assert got["keep"].mean() == pytest.approx(0.66 if informative else 1, abs=0.04)
+
+
+def test_url_filter_keeps_at_the_base_rate_of_the_pages(spark):
+    """The addresses of the test tables say nothing about quality: held-out accuracy is that of keeping all."""
+    pages, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("pages", "labels"))
+    known = url_filter.labelled_pages(pages, labels).withColumn("held", F.pmod(F.xxhash64("url", F.lit(5)), F.lit(3)) == 0)
+    got = url_filter.score_urls(pages, known.where("not held").select("url", "good"))
+    right = got.join(pages, "page_id").join(known.where("held"), "url").toPandas()
+    assert len(right) > 200 and (right["keep"] == (right["good"] == 1)).mean() >= right["good"].mean() - 0.01
+    whole = url_filter.score_urls(pages, known.select("url", "good")).toPandas()
+    assert whole["keep"].mean() > 0.95 and whole["url_score"].mean() == pytest.approx(known.toPandas()["good"].mean(), abs=0.05)
+
+
 def test_url_odd(spark):
     pages = spark.createDataFrame([(1, None), (2, ""), (3, "http://a.b/" + "y" * 50_000), (3, "http://a.b/1"), (None, "http://a.b/1")], "page_id bigint, url string").withColumns({c: F.lit(0) for c in ("h", "good", "_suffix", "f_length")})
     labelled = spark.createDataFrame([("http://a.b/1", 1), ("http://a.b/1", 0), (None, 1), ("x", None)], "url string, good int")
