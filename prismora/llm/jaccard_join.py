@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,11 +19,12 @@ from ._text import U64, mix64, ngram_sets, words
 
 NGRAM = 3
 THRESHOLD = 0.5
-#: Ranges that the n-gram order is cut into for counting.
+#: Ranges that the global n-gram order is cut into.
 FRAGMENTS = 4
-#: Text bytes, and n-grams of documents, that one task of a reduction gets.
+#: Text bytes, and n-grams and documents, that one task of a reduction gets.
 SHARD_BYTES = 24 << 20
 SHARD_GRAMS = 2 << 20
+UNIT_DOCS = 4096
 _FLUSH = 1 << 20
 _DF_BITS = 48
 
@@ -61,8 +64,39 @@ def _frequencies(n: int, shards: int):
     return run
 
 
+def _df_class(df: np.ndarray) -> np.ndarray:
+    """Document frequencies up to 16 each for itself, then sixteen classes an octave; rises with the frequency."""
+    return np.floor(16 * np.log2(df)).astype(np.int32)
+
+
+def _order_key(df: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Place in the global order of n-grams: by document frequency, then by hash."""
+    return (np.minimum(df, (1 << 24) - 1).astype(np.uint64) << U64(40)) | (g >> U64(24))
+
+
+def _fragment_ends(postings: dict[int, int], fragments: int) -> np.ndarray:
+    """Places that cut the global order into fragments of about equal numbers of postings.
+
+    postings: n-grams times documents in each class of document frequencies.
+    """
+    classes = sorted(postings)
+    total, done, out = sum(postings.values()), 0, []
+    df = np.arange(2, 1 << 24)
+    first = np.searchsorted(_df_class(df), [*classes, *(c + 1 for c in classes)]) + 2 if classes else []
+    for k, c in enumerate(classes):
+        lo, hi = int(first[k]), int(first[k + len(classes)])
+        while len(out) < fragments - 1 and (done + postings[c]) * fragments >= total * (len(out) + 1):
+            share = (total * (len(out) + 1) / fragments - done) / postings[c]
+            out.append(int(lo + share * max(hi - lo, 1)) << 40 if hi - lo != 1 else (lo << 40) + int(share * (1 << 40)))
+        done += postings[c]
+    return np.array(out + [1 << 63] * (fragments - 1 - len(out)), U64)
+
+
 def _repeated(folder: str):
-    """Reduce side: the n-grams of a range that two documents or more have, with their number, as a file."""
+    """Reduce side: the n-grams of a range that two documents or more have, with their number, as a file.
+
+    Returns how many postings they have in each class of document frequencies.
+    """
 
     def run(key, table):
         shard = key[0].as_py()
@@ -71,15 +105,22 @@ def _repeated(folder: str):
         times = np.diff(np.r_[first, len(keys)])
         more = times > 1
         put_shard(folder, shard, keys[first[more]], times[more].astype(np.uint32))
+        classes, at = np.unique(_df_class(times[more]), return_inverse=True)
+        postings = np.bincount(at, weights=times[more], minlength=len(classes)).astype(np.int64)
         del keys, first, times
         release()
-        return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([int(more.sum())], pa.int64())})
+        return pa.table({"class": pa.array(classes, pa.int32()), "n": pa.array(postings, pa.int64())})
 
     return run
 
 
-def _survivors(n: int, threshold: float, folder: str, shards: int):
-    """Documents that enough repeated n-grams leave a chance of a partner."""
+def _survivors(n: int, threshold: float, folder: str, shards: int, cuts: np.ndarray):
+    """Documents that enough repeated n-grams leave a chance of a partner.
+
+    Their repeated n-grams are in the global order, with the place where each
+    fragment ends in them; the first `rares` are those of which two similar
+    documents have one in common.
+    """
 
     def run(batches):
         lookup = SortedFiles(folder, _DF_BITS, shards)
@@ -112,55 +153,56 @@ def _survivors(n: int, threshold: float, folder: str, shards: int):
         sig = mix64(sums + size.astype(U64)).view(np.int64)
         more &= keep[d]
         d, g, df = d[more], g[more], df[more]
-        cut = np.searchsorted(d, np.arange(count + 1))
-        # The rarest n-grams, by document frequency and hash: two similar documents have one of these in common.
-        # Those that occur once come first and have no partner, so they only shorten the rest.
-        length = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1 - (size - again)
         order = np.lexsort((g, df, d))
-        rare = np.empty(len(g), bool)
-        rare[order] = np.arange(len(g)) - cut[d] < length[d]
-        rares = np.bincount(d[rare], minlength=count)
+        g, df = g[order], df[order]  # d is sorted as it is
+        cut = np.searchsorted(d, np.arange(count + 1))
+        # N-grams that occur once come first in the order and have no partner, so they only shorten the prefix.
+        prefix = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1 - (size - again)
+        frag = np.searchsorted(cuts, _order_key(df, g), side="right")
+        ends = np.cumsum(np.bincount(d * (len(cuts) + 1) + frag, minlength=count * (len(cuts) + 1)).reshape(count, -1), axis=1)
         at = np.flatnonzero(keep)
+        rares = np.clip(prefix, 0, np.diff(cut))
         return pa.RecordBatch.from_arrays(
             [
                 ids.take(pa.array(at + first)), hashes.take(pa.array(at + first)), pa.array(sig[at]), pa.array(size[at]),
-                pa.array([g[cut[i] : cut[i + 1]].astype("<u8").tobytes() for i in at], pa.binary()),
-                pa.array([np.packbits(rare[cut[i] : cut[i + 1]]).tobytes() for i in at], pa.binary()), pa.array(rares[at]),
+                pa.array([g[cut[i] : cut[i + 1]].astype("<u8").tobytes() for i in at], pa.binary()), pa.array([x.astype("<u4").tobytes() for x in ends[at]], pa.binary()), pa.array(rares[at]),
             ],
-            names=["doc_id", "text_hash", "sig", "size", "grams", "rare", "rares"],
+            names=["doc_id", "text_hash", "sig", "size", "grams", "ends", "rares"],
         )
 
     return run
 
 
-def _unpack(batch):
-    """Row number, hash and rareness of the n-grams in a batch of survivors."""
+def _unpack(batch) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams in a batch of survivors, one document after another, and where each document's begin."""
     raw = [x.as_py() for x in batch.column("grams")]
-    count = np.array([len(x) // 8 for x in raw], np.int64)
-    rare = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=n) for x, n in zip(batch.column("rare"), count)]
-    return np.repeat(np.arange(len(raw)), count), np.frombuffer(b"".join(raw), "<u8"), np.concatenate(rare).astype(bool) if rare else np.zeros(0, bool)
+    return np.frombuffer(b"".join(raw), "<u8"), np.cumsum([0, *(len(x) // 8 for x in raw)])
 
 
-def _postings_blob(keys: np.ndarray, row: np.ndarray, sig: np.ndarray, size: np.ndarray) -> tuple[bytes, bytes, bytes]:
-    """Sorted keys; for each the place of its document in the list of documents; that list."""
+def _postings_blob(keys: np.ndarray, row: np.ndarray, facts: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Sorted keys; for each the place of its document in the list of documents; that list, a column of facts each."""
     at, back = np.unique(row, return_inverse=True)
-    return squeeze(keys), back.astype("<u2" if len(at) <= 65536 else "<u4").tobytes(), np.stack([sig[at], size[at]]).astype("<i8").tobytes()
+    return squeeze(keys), back.astype("<u2" if len(at) <= 65536 else "<u4").tobytes(), facts[:, at].astype("<i8").tobytes()
+
 
+def _postings(table, facts: int):
+    """The blobs of a group together: n-gram number and document number of each posting, once each and by document; facts by document.
 
-def _postings(table, *more: str):
-    """The blobs of a group together: keys, place in the documents, and these (signature and size) once each."""
-    keys, place, docs, rest, base = [], [], [], [], 0
-    for k, at, d, *x in zip(*(table.column(c) for c in ("keys", "at", "docs", *more))):
+    The first fact is the signature; documents are numbered by it.
+    """
+    keys, place, docs, base = [], [], [], 0
+    for k, at, d in zip(*(table.column(c) for c in ("keys", "at", "docs"))):
         keys.append(unsqueeze(k.as_py()))
         raw = at.as_py()
-        place.append(np.frombuffer(raw, "<u2" if len(raw) == 2 * len(keys[-1]) else "<u4").astype(np.uint32) + np.uint32(base))
-        docs.append(np.frombuffer(d.as_py(), "<i8").reshape(2, -1))
-        rest.append([np.unpackbits(np.frombuffer(y.as_py(), np.uint8), count=len(keys[-1])).astype(bool) for y in x])
+        place.append(np.frombuffer(raw, "<u2" if len(raw) == 2 * len(keys[-1]) else "<u4").astype(np.int64) + base)
+        docs.append(np.frombuffer(d.as_py(), "<i8").reshape(facts, -1))
         base += docs[-1].shape[1]
     both = np.concatenate(docs, axis=1)
-    sig, first, back = np.unique(both[0], return_index=True, return_inverse=True)
-    place = back.astype(np.uint32)[np.concatenate(place)]
-    return np.concatenate(keys), place, sig, both[1][first], *(np.concatenate(x) for x in zip(*rest))
+    _, first, back = np.unique(both[0], return_index=True, return_inverse=True)
+    gram, known = pd.factorize(np.concatenate(keys))
+    # A document's n-grams are of one row or, where its set has several rows, of equal ones.
+    code = np.unique(back[np.concatenate(place)] * np.int64(len(known)) + gram)
+    return code % max(len(known), 1), code // max(len(known), 1), both[:, first], len(known)
 
 
 def _rarest(shards: int):
@@ -168,14 +210,16 @@ def _rarest(shards: int):
 
     def run(batches):
         for batch in batches:
-            row, g, rare = _unpack(batch)
-            keys, rows = g[rare], row[rare]
-            size, sig = batch.column("size").to_numpy(), batch.column("sig").to_numpy()
+            g, begin = _unpack(batch)
+            rares = batch.column("rares").to_numpy()
+            at, _ = _spans_of(begin, np.arange(len(rares)), rares)
+            keys, rows = g[at], np.repeat(np.arange(len(rares)), rares)
+            facts = batch.column("sig").to_numpy()[None, :]
             by = np.argsort(keys)
             keys, rows = keys[by], rows[by]
             shard = shard_of(keys, 64, shards)
             cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(keys) else np.zeros(0, np.int64)
-            blobs = [_postings_blob(keys[i:j], rows[i:j], sig, size) for i, j in zip(cuts, np.r_[cuts[1:], len(keys)])]
+            blobs = [_postings_blob(keys[i:j], rows[i:j], facts) for i, j in zip(cuts, np.r_[cuts[1:], len(keys)])]
             yield pa.RecordBatch.from_arrays([pa.array(shard[cuts].astype(np.int32)), *(pa.array([x[k] for x in blobs], pa.binary()) for k in range(3))], names=["shard", "keys", "at", "docs"])
 
     return run
@@ -200,122 +244,207 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 def _links(key, table):
     """From each document to the least one that shared rarest n-grams connect it with in this range."""
-    keys, place, sig, _ = _postings(table)
-    order = np.argsort(keys)
-    keys, place = keys[order], place[order].astype(np.int64)
-    start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    length = np.diff(np.r_[start, len(keys)])
+    gram, place, (sig,), _ = _postings(table, 1)
+    order = np.argsort(gram, kind="stable")
+    gram, place = gram[order], place[order]
+    start = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+    length = np.diff(np.r_[start, len(gram)])
     root = _forest(place[np.repeat(start, length)], place, len(sig))
     linked = np.flatnonzero(root != np.arange(len(sig)))
-    del keys, place, order
+    del gram, place, order
     release()
     return pa.table({"u": pa.array(sig[linked]), "v": pa.array(sig[root[linked]])})
 
 
-def _segments(folder: str, parts: int):
-    """The n-grams of the survivors that have a component, by part of the components."""
+def _spans_of(begin: np.ndarray, which: np.ndarray, length: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the first entries (all by default) of these rows one after another, and where each row's begin."""
+    s = begin[which]
+    m = begin[which + 1] - s if length is None else length
+    head = np.cumsum(m) - m
+    return np.arange(m.sum()) - np.repeat(head, m) + np.repeat(s, m), head
+
+
+@dataclass
+class Units:
+    """What meets in one task: a part of the small components, or two blocks of a large one.
+
+    Codes below `parts` are parts; each large component has a code for each
+    of its blocks from `code` on, and a unit for each pair of them from `unit`.
+    """
+
+    parts: int
+    code: np.ndarray
+    blocks: np.ndarray
+    unit: np.ndarray
+
+    @classmethod
+    def of(cls, parts: int, blocks: list[int]) -> Units:
+        b = np.array(blocks, np.int64)
+        return cls(parts, parts + np.cumsum(b) - b, b, parts + np.cumsum(b * (b + 1) // 2) - b * (b + 1) // 2)
+
+    def spread(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Document, unit and side, a row for each unit that a document takes part in.
+
+        Documents of one side are not paired with each other, as another unit
+        does that; side -1 is paired with all.
+        """
+        small = np.flatnonzero((code >= 0) & (code < self.parts))
+        large = np.flatnonzero(code >= self.parts)
+        which = np.searchsorted(self.code, code[large], side="right") - 1
+        b = self.blocks[which]
+        doc, i, first, b = (np.repeat(x, b) for x in (large, code[large] - self.code[which], self.unit[which], b))
+        j = np.arange(len(doc)) - np.repeat(np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64), self.blocks[which])
+        lo, hi = np.minimum(i, j), np.maximum(i, j)
+        unit = first + lo * b - lo * (lo - 1) // 2 + hi - lo
+        return np.r_[small, doc], np.r_[code[small], unit], np.r_[np.full(len(small), -1), np.where(i == j, -1, i)]
+
+
+def _by_unit(folder: str, units: Units, fragments: int, prefix: bool):
+    """The survivors' n-grams by unit: of the prefixes, or of all by fragment of the global order.
+
+    Facts of a document are signature, size and side with prefixes; else
+    signature, size and its n-grams before and after the fragment.
+    """
 
     def run(batches):
-        lookup = SortedFiles(folder, 64, parts)
+        lookup = SortedFiles(folder, 64, units.parts)
         for batch in batches:
-            row, g, rare = _unpack(batch)
-            sig, size = batch.column("sig").to_numpy(), batch.column("size").to_numpy()
+            g, begin = _unpack(batch)
+            sig, size, rares = (batch.column(c).to_numpy() for c in ("sig", "size", "rares"))
+            ends = np.frombuffer(b"".join(x.as_py() for x in batch.column("ends")), "<u4").astype(np.int64).reshape(len(sig), -1)
             order = np.argsort(sig.view(np.uint64))
-            part = np.empty(len(sig), np.int64)
-            part[order] = lookup.get(sig.view(np.uint64)[order], -1)
-            keep = part[row] >= 0
-            row, g, rare = row[keep], g[keep], rare[keep]
-            if not len(g):
-                continue
-            order = np.lexsort((g, part[row]))
-            row, g, rare = row[order], g[order], rare[order]
-            unit = part[row]
-            cuts = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
-            ends = np.r_[cuts[1:], len(g)]
-            blobs = [(*_postings_blob(g[i:j], row[i:j], sig, size), np.packbits(rare[i:j]).tobytes()) for i, j in zip(cuts, ends)]
-            yield pa.RecordBatch.from_arrays([pa.array(unit[cuts]), *(pa.array([x[k] for x in blobs], pa.binary()) for k in range(4))], names=["part", "keys", "at", "docs", "rare"])
+            code = np.empty(len(sig), np.int64)
+            code[order] = lookup.get(sig.view(np.uint64)[order], -1)
+            doc, unit, side = units.spread(code)
+            length = rares[doc] if prefix else np.diff(begin)[doc]
+            # Documents of large components go to many units: some at a time.
+            stop = np.cumsum(length)
+            lo = 0
+            while lo < len(doc):
+                hi = max(lo + 1, int(np.searchsorted(stop, (stop[lo - 1] if lo else 0) + _FLUSH, side="right")))
+                yield one(g, begin, sig, size, ends, doc[lo:hi], unit[lo:hi], side[lo:hi], length[lo:hi])
+                lo = hi
+        release()
+
+    def one(g, begin, sig, size, ends, doc, unit, side, length):
+        at, head = _spans_of(begin, doc, length)
+        row = np.repeat(np.arange(len(doc)), length)
+        cell = unit[row]
+        if not prefix:
+            rank = np.arange(len(at)) - np.repeat(head, length)
+            cell = cell * fragments + (rank[:, None] >= ends[doc[row], :-1]).sum(1)
+        keys = g[at]
+        order = np.lexsort((keys, cell))
+        keys, row, cell = keys[order], row[order], cell[order]
+        cuts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
+        blobs = []
+        for i, j in zip(cuts, np.r_[cuts[1:], len(cell)]):
+            if prefix:
+                facts = np.stack([sig[doc], size[doc], side])
+            else:
+                f = int(cell[i] % fragments)
+                facts = np.stack([sig[doc], size[doc], ends[doc, f - 1] if f else np.zeros(len(doc), np.int64), ends[doc, -1] - ends[doc, f]])
+            blobs.append(_postings_blob(keys[i:j], row[i:j], facts))
+        of = cell[cuts]
+        where = [pa.array(of)] if prefix else [pa.array(of // fragments), pa.array((of % fragments).astype(np.int32))]
+        names = ["unit"] if prefix else ["unit", "fragment"]
+        return pa.RecordBatch.from_arrays([*where, *(pa.array([x[k] for x in blobs], pa.binary()) for k in range(3))], names=[*names, "keys", "at", "docs"])
 
     return run
 
 
-def _spans_of(begin: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all entries of these rows one after another, and where each row's begin."""
-    s = begin[which]
-    m = begin[which + 1] - s
-    head = np.cumsum(m) - m
-    return np.arange(m.sum()) - np.repeat(head, m) + np.repeat(s, m), head
-
+def _candidates(threshold: float):
+    """The pairs of a unit that share an n-gram of both prefixes and whose sizes may reach the threshold.
 
-def _joined(threshold: float):
-    """All similar pairs of a part: candidates by shared rarest n-grams, overlaps by fragment, summed per pair."""
+    Some at a time: the signatures of the documents, rising; for each left one
+    how many partners it has; these by their place.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, place, sig, size, rare = _postings(pa.Table.from_batches(list(batches)), "rare")
+        table = pa.Table.from_batches(list(batches))
+        unit = table.column("unit")[0].as_py()
+        gram, place, (sig, size, side), grams = _postings(table, 3)
+        del table
         n = len(sig)
-        gram = np.unique(keys, return_inverse=True)[1]
-        grams = int(gram.max()) + 1 if len(gram) else 0
-        order = np.lexsort((gram, place))
-        place, gram, rare = place[order].astype(np.int64), gram[order], rare[order]
-        new = np.r_[True, (place[1:] != place[:-1]) | (gram[1:] != gram[:-1])]
-        place, gram, rare = place[new], gram[new], rare[new]
-        del keys, order, new
-        # Who has an n-gram among its rarest, by n-gram; and the rarest of each document.
-        rd, rg = place[rare], gram[rare]
-        begin_r = np.searchsorted(rd, np.arange(n + 1))
-        by = np.argsort(rg, kind="stable")
-        who, begin_w = rd[by], np.searchsorted(rg[by], np.arange(grams + 1))
-        # The order of n-grams is cut into ranges; each has the documents' n-grams of its own.
-        edges = [grams * f // FRAGMENTS for f in range(FRAGMENTS + 1)]
-        cut = []
-        for lo, hi in zip(edges, edges[1:]):
-            here = (gram >= lo) & (gram < hi)
-            cut.append((gram[here], np.searchsorted(place[here], np.arange(n + 1))))
-        del place, gram, rare, rd, by
-        flag = np.zeros(grams + 1, bool)
-
-        def counted(left, first, right):
-            """Overlaps of pairs: left documents, where the partners of each begin, partners."""
-            total = np.zeros(len(right), np.int64)
-            for own, begin in cut:
-                for a, i, j in zip(left, first, np.r_[first[1:], len(right)]):
-                    mine = own[begin[a] : begin[a + 1]]
-                    if not len(mine):
-                        continue
-                    flag[mine] = True
-                    for lo in range(i, j, 4096):
-                        hi = min(lo + 4096, j)
-                        at, head = _spans_of(begin, right[lo:hi])
-                        some = begin[right[lo:hi] + 1] > begin[right[lo:hi]]
-                        if len(at):
-                            total[lo:hi][some] += np.add.reduceat(flag[own[at]].astype(np.int64), head[some])
-                    flag[mine] = False
-            return total
-
-        def told(left, first, right):
-            a = np.repeat(left, np.diff(np.r_[first, len(right)]))
-            common = counted(left, first, right)
-            near = common >= threshold * (size[a] + size[right] - common) - 1e-9
-            a, b, common = a[near], right[near], common[near]
-            return pa.RecordBatch.from_arrays([pa.array(sig[a]), pa.array(sig[b]), pa.array(size[a]), pa.array(size[b]), pa.array(common)], names=["a", "b", "size_a", "size_b", "common"])
-
-        left, first, right, waiting = [], [], [], 0
+        begin = np.searchsorted(place, np.arange(n + 1))
+        by = np.argsort(gram, kind="stable")
+        who, begin_w = place[by], np.searchsorted(gram[by], np.arange(grams + 1))
+        seen = np.zeros(n, bool)
+
+        def told(left, count, right):
+            a, b = np.array(left), np.concatenate(right)
+            some = np.unique(np.r_[a, b])
+            blob = [x.tobytes() for x in (sig[some].astype("<i8"), np.searchsorted(some, a).astype("<u4"), np.array(count, "<u4"))]
+            blob.append(pa.compress(np.searchsorted(some, b).astype("<u4").tobytes(), codec="zstd", asbytes=True))
+            return pa.RecordBatch.from_arrays([pa.array([unit]), *(pa.array([x], pa.binary()) for x in blob), pa.array([len(b)])], names=["unit", "sigs", "a", "count", "b", "n"])
+
+        left, count, right, waiting = [], [], [], 0
         for a in range(n):
-            at, _ = _spans_of(begin_w, rg[begin_r[a] : begin_r[a + 1]])
-            b = who[at]
-            b = np.unique(b[b > a])
+            at, _ = _spans_of(begin_w, gram[begin[a] : begin[a + 1]])
+            seen[who[at]] = True
+            b = np.flatnonzero(seen[a + 1 :]) + (a + 1)
+            seen[:] = False
             b = b[np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b]) - 1e-9]
+            if side[a] >= 0:
+                b = b[side[b] != side[a]]
             if len(b):
                 left.append(a)
-                first.append(waiting)
+                count.append(len(b))
                 right.append(b)
                 waiting += len(b)
-            if waiting >= 1 << 17:
-                yield told(np.array(left), np.array(first), np.concatenate(right))
-                left, first, right, waiting = [], [], [], 0
+            if waiting >= 1 << 18:
+                yield told(left, count, right)
+                left, count, right, waiting = [], [], [], 0
         if waiting:
-            yield told(np.array(left), np.array(first), np.concatenate(right))
-        del who, cut, flag
+            yield told(left, count, right)
+        release()
+
+    return run
+
+
+_PARTIAL = {"a": pa.int64(), "b": pa.int64(), "size_a": pa.int64(), "size_b": pa.int64(), "common": pa.int64()}
+
+
+def _partial(threshold: float):
+    """N-grams that the pairs of a unit share in one fragment.
+
+    A pair is left out where all it could share before and after the fragment
+    would not bring it to the threshold: its sum falls short then, too.
+    """
+
+    def run(segments: pa.Table, pairs: pa.Table) -> pa.Table:
+        out = [[] for _ in _PARTIAL]
+        if segments.num_rows and pairs.num_rows:
+            gram, place, (sig, size, before, after), grams = _postings(segments, 4)
+            begin = np.searchsorted(place, np.arange(len(sig) + 1))
+            flag = np.zeros(grams, bool)
+            for sigs, a, count, b, n in zip(*(pairs.column(c).to_pylist() for c in ("sigs", "a", "count", "b", "n"))):
+                known = np.frombuffer(sigs, "<i8")
+                at = np.minimum(np.searchsorted(sig, known), len(sig) - 1)
+                at[sig[at] != known] = -1  # no n-gram in this fragment
+                a, count = at[np.frombuffer(a, "<u4")], np.frombuffer(count, "<u4").astype(np.int64)
+                b = at[np.frombuffer(pa.decompress(b, decompressed_size=4 * n, codec="zstd", asbytes=True), "<u4")]
+                both = np.repeat(a >= 0, count) & (b >= 0)
+                a, b = np.repeat(a, count)[both], b[both]
+                if not len(a):
+                    continue
+                total = np.zeros(len(b), np.int64)
+                cuts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+                for i, j in zip(cuts, np.r_[cuts[1:], len(a)]):
+                    mine = gram[begin[a[i]] : begin[a[i] + 1]]
+                    flag[mine] = True
+                    for lo in range(i, j, 4096):
+                        hi = min(lo + 4096, j)
+                        theirs, head = _spans_of(begin, b[lo:hi])
+                        total[lo:hi] = np.add.reduceat(flag[gram[theirs]].view(np.int8).astype(np.int64), head)
+                    flag[mine] = False
+                most = total + np.minimum(before[a], before[b]) + np.minimum(after[a], after[b])
+                at = np.flatnonzero((total > 0) & (most >= threshold * (size[a] + size[b] - most) - 1e-9))
+                for to, x in zip(out, (sig[a], sig[b], size[a], size[b], total)):
+                    to.append(x[at])
+        got = pa.table({c: pa.array(np.concatenate(x) if x else [], kind) for (c, kind), x in zip(_PARTIAL.items(), out)})
         release()
+        return got
 
     return run
 
@@ -347,20 +476,45 @@ def similar_sets(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD,
     shards = int(-(-size // SHARD_BYTES)) or 1
     folder = local_path(new_folder(spark, "ngram-frequencies"))
     packed = own.select("text").mapInArrow(_frequencies(n, shards), "shard int, keys binary")
-    packed.groupBy("shard").applyInArrow(_repeated(folder), "shard int, n bigint").agg(F.sum("n")).collect()
+    classes = packed.groupBy("shard").applyInArrow(_repeated(folder), "class int, n bigint").groupBy("class").agg(F.sum("n")).collect()  # some hundred
+    cuts = _fragment_ends(dict(map(tuple, classes)), FRAGMENTS)
 
-    kept = written(own.mapInArrow(_survivors(n, threshold, folder, shards), f"doc_id {id_type}, text_hash bigint, sig bigint, size bigint, grams binary, rare binary, rares bigint"), "ngram-survivors")
-    grams, rares = kept.agg(F.coalesce(F.sum(F.octet_length("grams") / 8), F.lit(0)), F.coalesce(F.sum("rares"), F.lit(0))).collect()[0]
-    ranges, parts = int(-(-rares // SHARD_GRAMS)) or 1, int(-(-grams // SHARD_GRAMS)) or 1
-    near = kept.select("sig", "size", "grams", "rare").mapInArrow(_rarest(ranges), "shard int, keys binary, at binary, docs binary")
+    kept = written(own.mapInArrow(_survivors(n, threshold, folder, shards, cuts), f"doc_id {id_type}, text_hash bigint, sig bigint, size bigint, grams binary, ends binary, rares bigint"), "ngram-survivors")
+    grams, rares, rows = kept.agg(F.coalesce(F.sum(F.octet_length("grams") / 8), F.lit(0)), F.coalesce(F.sum("rares"), F.lit(0)), F.count("*")).collect()[0]
+    ranges, parts = int(-(-rares // SHARD_GRAMS)) or 1, int(max(-(-grams // SHARD_GRAMS), -(-rows // (4 * UNIT_DOCS)))) or 1
+    near = kept.select("sig", "grams", "rares").mapInArrow(_rarest(ranges), "shard int, keys binary, at binary, docs binary")
     roots = connected(near.groupBy("shard").applyInArrow(_links, "u bigint, v bigint"))
-    labels = roots.select("node", F.pmod(F.xxhash64("root"), F.lit(parts)).alias("part"))
-    folder = local_path(new_folder(spark, "ngram-parts"))
+    units, labels = _units(kept, roots, parts)
+    folder = local_path(new_folder(spark, "ngram-units"))
     shard = F.shiftright(F.shiftrightunsigned("node", 44) * parts, 20)
     labels.groupBy(shard.alias("shard")).applyInArrow(_put_labels(folder), "n bigint").agg(F.sum("n")).collect()
-    segments = kept.select("sig", "size", "grams", "rare").mapInArrow(_segments(folder, parts), "part bigint, keys binary, at binary, docs binary, rare binary")
-    pairs = segments.groupBy("part").applyInArrow(_joined(threshold), "a bigint, b bigint, size_a bigint, size_b bigint, common bigint")
-    return kept.select("doc_id", "text_hash", "sig", "size"), pairs
+
+    own = kept.select("sig", "size", "grams", "ends", "rares")
+    found = own.mapInArrow(_by_unit(folder, units, FRAGMENTS, True), "unit bigint, keys binary, at binary, docs binary").groupBy("unit").applyInArrow(_candidates(threshold), "unit bigint, sigs binary, a binary, count binary, b binary, n bigint")
+    everywhere = found.withColumn("fragment", F.explode(F.array(*map(F.lit, range(FRAGMENTS)))))
+    segments = own.mapInArrow(_by_unit(folder, units, FRAGMENTS, False), "unit bigint, fragment int, keys binary, at binary, docs binary")
+    partial = segments.groupBy("unit", "fragment").cogroup(everywhere.groupBy("unit", "fragment")).applyInArrow(_partial(threshold), ", ".join(f"{c} bigint" for c in _PARTIAL))
+    pairs = partial.groupBy("a", "b", "size_a", "size_b").agg(F.sum("common").alias("common"))
+    return kept.select("doc_id", "text_hash", "sig", "size"), pairs.where(F.col("common") >= threshold * (F.col("size_a") + F.col("size_b") - F.col("common")) - 1e-9)
+
+
+def _units(kept: DataFrame, roots: DataFrame, parts: int) -> tuple[Units, DataFrame]:
+    """Units, and the code of each document that has a partner.
+
+    Components of more than SHARD_GRAMS n-grams or UNIT_DOCS documents are cut
+    into blocks by hash, so that two blocks together keep to these numbers.
+    """
+    spark = kept.sparkSession
+    weights = kept.groupBy("sig").agg(F.max(F.octet_length("grams") / 8).alias("m"))
+    sums = roots.join(weights, F.col("node") == F.col("sig")).groupBy("root").agg(F.sum("m").alias("m"), F.count("*").alias("n"))
+    large = sums.where((F.col("m") > SHARD_GRAMS) | (F.col("n") > UNIT_DOCS)).orderBy("root").collect()  # as many as fill a unit
+    blocks = [int(max(-(-2 * r["m"] // SHARD_GRAMS), -(-2 * r["n"] // UNIT_DOCS), 2)) for r in large]
+    units = Units.of(parts, blocks)
+    code = F.pmod(F.xxhash64("root"), F.lit(parts))
+    if not large:
+        return units, roots.select("node", code.alias("part"))
+    cut = spark.createDataFrame([(r["root"], int(c), b) for r, c, b in zip(large, units.code, blocks)], "root bigint, code bigint, blocks bigint")
+    return units, roots.join(cut, "root", "left").select("node", F.coalesce(F.col("code") + F.pmod(F.xxhash64("node"), F.col("blocks")), code).alias("part"))
 
 
 def similar_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -369,9 +523,13 @@ def similar_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD,
     The texts are lower-cased and cut at white space; a text of fewer than n
     words has one gram.  Exact: n-grams are ordered by document frequency and
     hash, and documents that share none of their rarest are passed over, as
-    are those with too few n-grams that occur twice; of the rest, the n-gram
-    order is cut into fragments, overlaps are counted in each apart and summed
-    per pair.  Documents with equal sets are one class throughout.
+    are those with too few n-grams that occur twice.  The global order is cut
+    into fragments; each document's n-grams of a fragment travel apart, tasks
+    count what pairs share in one fragment, and the counts are summed per
+    pair.  What no chain of shared rare n-grams connects doesn't meet; large
+    connected components are cut into blocks, and each two of these meet, so
+    no task holds more than a fragment of two blocks.  Documents with equal
+    sets are one class throughout.
 
     Returns doc_a < doc_b, common, and jaccard.  Null and empty texts have no
     n-grams and no partner; rows with a null id are left out, and rows that

@@ -1,5 +1,7 @@
 import random
+from collections import Counter
 
+import numpy as np
 from prismora.llm import jaccard_join as J
 from prismora.operators.graph import connected
 
@@ -41,6 +43,59 @@ def test_pairs_against_brute_force(spark, monkeypatch):
     assert got == by_hand(rows, 3, 0.5) and len(got) > 100
 
 
+def test_one_giant_chain_is_cut_into_bounded_units(spark, monkeypatch):
+    """Each document is similar to the next alone, yet all are connected: no task gets the component."""
+    monkeypatch.setattr(J, "SHARD_GRAMS", 2500)
+    monkeypatch.setattr(J, "UNIT_DOCS", 60)
+    seen = []
+    units_of = J._units
+
+    def spy(kept, roots, parts):
+        units, labels = units_of(kept, roots, parts)
+        seen.append((units, labels.groupBy("part").count().collect(), kept.count()))
+        return units, labels
+
+    monkeypatch.setattr(J, "_units", spy)
+    word = lambda i: f"w{i}"
+    rows = [(i, " ".join(word(k) for k in range(15 * i, 15 * i + 60))) for i in range(300)]
+    rows += [(1000 + i, " ".join(f"x{i}_{k}" for k in range(40)) + f" y{j}") for i in range(5) for j in range(2)]
+    got = {(x["doc_a"], x["doc_b"]): x["common"] for x in J.similar_pairs(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == by_hand(rows, 3, 0.5) and len(got) >= 299
+    (units, sizes, kept), = seen
+    assert kept >= 300 and len(units.blocks) == 1 and units.blocks[0] >= 10
+    assert max(r["count"] for r in sizes if r["part"] >= units.parts) * 2 <= 2 * J.UNIT_DOCS
+
+
+def test_units_cover_each_pair_once():
+    units = J.Units.of(3, [2, 4])
+    code = np.array([0, 1, 1, 3, 4, 5, 5, 6, 7, 8, -1])
+    doc, unit, side = units.spread(code)
+    met = Counter()
+    for x in range(len(doc)):
+        for y in range(len(doc)):
+            if doc[x] < doc[y] and unit[x] == unit[y] and (side[x] < 0 or side[x] != side[y]):
+                met[doc[x], doc[y]] += 1
+    whole = lambda c: c if c < 3 else 3 if c < 5 else 4
+    want = {(a, b) for a in range(10) for b in range(a + 1, 10) if whole(code[a]) == whole(code[b])}
+    assert met == dict.fromkeys(want, 1)
+
+
+def test_fragments_are_balanced_ranges_of_one_order():
+    r = np.random.default_rng(0)
+    df = np.r_[np.full(4000, 2), r.integers(2, 50, 1000), [3000, 2**30]]
+    g = r.integers(0, 2**63, len(df)).astype(np.uint64)
+    postings = Counter()
+    for c, n in zip(J._df_class(df).tolist(), df.tolist()):
+        postings[c] += n if n < 2**30 else 1
+    cuts = J._fragment_ends(dict(postings), 4)
+    frag = np.searchsorted(cuts, J._order_key(df, g), side="right")
+    order = np.lexsort((g, df))
+    assert (np.diff(frag[order]) >= 0).all() and set(frag) == {0, 1, 2, 3}
+    weight = np.bincount(frag, weights=np.minimum(df, 3000))
+    assert weight.max() < 0.4 * weight.sum()
+    assert (J._fragment_ends({}, 4) == 1 << 63).all()
+
+
 def test_pairs_equal_sql(spark):
     from prismora.llm.queries import OP3_SQL
 
