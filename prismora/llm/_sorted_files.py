@@ -59,3 +59,18 @@ class SortedFiles:
             hit = k[at] == keys[i:j]
             out[i:j][hit] = v[at[hit]]
         return out
+
+    def all(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places among sorted keys, and values, of all entries there are of them; files may hold a key several times."""
+        at, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        shard = shard_of(keys, self.bits, self.shards)
+        cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(keys) else []
+        for i, j in zip(cuts, np.r_[cuts[1:], len(keys)] if len(keys) else []):
+            if (got := self._shard(int(shard[i]))) is None:
+                continue
+            k, v = got
+            lo = np.searchsorted(k, keys[i:j], side="left")
+            n = np.searchsorted(k, keys[i:j], side="right") - lo
+            at.append(np.repeat(np.arange(i, j), n))
+            found.append(v[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)])
+        return np.concatenate(at), np.concatenate(found)

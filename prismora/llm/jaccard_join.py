@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -205,22 +204,29 @@ def _postings(table, facts: int):
     return code % max(len(known), 1), code // max(len(known), 1), both[:, first], len(known)
 
 
-def _rarest(shards: int):
-    """The rarest n-grams of each survivor by range of the hash."""
+def _rarest(shards: int, folder: str | None = None, parts: int = 0):
+    """The rarest n-grams of each survivor by range of the hash; with a folder of codes, of those that have one, and this."""
 
     def run(batches):
+        lookup = SortedFiles(folder, 64, parts) if folder else None
         for batch in batches:
             g, begin = _unpack(batch)
-            rares = batch.column("rares").to_numpy()
-            at, _ = _spans_of(begin, np.arange(len(rares)), rares)
-            keys, rows = g[at], np.repeat(np.arange(len(rares)), rares)
-            facts = batch.column("sig").to_numpy()[None, :]
+            sig, rares = batch.column("sig").to_numpy(), batch.column("rares").to_numpy()
+            facts, doc = sig[None, :], np.arange(len(sig))
+            if lookup:
+                order = np.argsort(sig.view(np.uint64))
+                code = np.empty(len(sig), np.int64)
+                code[order] = lookup.get(sig.view(np.uint64)[order], -1)
+                facts, doc = np.stack([sig, code]), np.flatnonzero(code >= 0)
+            at, _ = _spans_of(begin, doc, rares[doc])
+            keys, rows = g[at], np.repeat(doc, rares[doc])
             by = np.argsort(keys)
             keys, rows = keys[by], rows[by]
             shard = shard_of(keys, 64, shards)
             cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(keys) else np.zeros(0, np.int64)
             blobs = [_postings_blob(keys[i:j], rows[i:j], facts) for i, j in zip(cuts, np.r_[cuts[1:], len(keys)])]
             yield pa.RecordBatch.from_arrays([pa.array(shard[cuts].astype(np.int32)), *(pa.array([x[k] for x in blobs], pa.binary()) for k in range(3))], names=["shard", "keys", "at", "docs"])
+        release()
 
     return run
 
@@ -264,42 +270,38 @@ def _spans_of(begin: np.ndarray, which: np.ndarray, length: np.ndarray | None =
     return np.arange(m.sum()) - np.repeat(head, m) + np.repeat(s, m), head
 
 
-@dataclass
-class Units:
-    """What meets in one task: a part of the small components, or two blocks of a large one.
+def _sketches(batches):
+    """Of each survivor its n-grams, and the least hash of those in its prefix, which near copies mostly share."""
+    for batch in batches:
+        g, begin = _unpack(batch)
+        rares = batch.column("rares").to_numpy()
+        at, head = _spans_of(begin, np.arange(len(rares)), rares)
+        low = np.minimum.reduceat(mix64(g[at]), head) if len(at) else np.zeros(0, U64)
+        yield pa.RecordBatch.from_arrays([batch.column("sig"), pa.array(np.diff(begin)), pa.array(low.view(np.int64))], names=["sig", "m", "low"])
+
+
+def _meetings(key, table):
+    """Each document with the blocks of all that share a prefix n-gram of this range with it."""
+    gram, place, (sig, code), grams = _postings(table, 2)
+    blocks, own = np.unique(code, return_inverse=True)
+    by = np.argsort(gram, kind="stable")
+    gram, place = gram[by], place[by]
+    held = np.unique(gram * len(blocks) + own[place])
+    begin, held = np.searchsorted(held // len(blocks), np.arange(grams + 1)), held % len(blocks)
+    stop = np.cumsum(begin[gram + 1] - begin[gram])
+    out, lo = np.zeros(0, np.int64), 0
+    while lo < len(gram):
+        hi = max(lo + 1, int(np.searchsorted(stop, (stop[lo - 1] if lo else 0) + _FLUSH, side="right")))
+        at, _ = _spans_of(begin, gram[lo:hi])
+        doc = np.repeat(place[lo:hi], begin[gram[lo:hi] + 1] - begin[gram[lo:hi]])
+        out = np.union1d(out, doc * len(blocks) + held[at])
+        lo = hi
+    doc, other = out // len(blocks), out % len(blocks)
+    release()
+    return pa.table({"node": pa.array(sig[doc]), "own": pa.array(code[doc]), "other": pa.array(blocks[other])})
 
-    Codes below `parts` are parts; each large component has a code for each
-    of its blocks from `code` on, and a unit for each pair of them from `unit`.
-    """
 
-    parts: int
-    code: np.ndarray
-    blocks: np.ndarray
-    unit: np.ndarray
-
-    @classmethod
-    def of(cls, parts: int, blocks: list[int]) -> Units:
-        b = np.array(blocks, np.int64)
-        return cls(parts, parts + np.cumsum(b) - b, b, parts + np.cumsum(b * (b + 1) // 2) - b * (b + 1) // 2)
-
-    def spread(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Document, unit and side, a row for each unit that a document takes part in.
-
-        Documents of one side are not paired with each other, as another unit
-        does that; side -1 is paired with all.
-        """
-        small = np.flatnonzero((code >= 0) & (code < self.parts))
-        large = np.flatnonzero(code >= self.parts)
-        which = np.searchsorted(self.code, code[large], side="right") - 1
-        b = self.blocks[which]
-        doc, i, first, b = (np.repeat(x, b) for x in (large, code[large] - self.code[which], self.unit[which], b))
-        j = np.arange(len(doc)) - np.repeat(np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64), self.blocks[which])
-        lo, hi = np.minimum(i, j), np.maximum(i, j)
-        unit = first + lo * b - lo * (lo - 1) // 2 + hi - lo
-        return np.r_[small, doc], np.r_[code[small], unit], np.r_[np.full(len(small), -1), np.where(i == j, -1, i)]
-
-
-def _by_unit(folder: str, units: Units, fragments: int, prefix: bool):
+def _by_unit(folder: str, parts: int, fragments: int, prefix: bool):
     """The survivors' n-grams by unit: of the prefixes, or of all by fragment of the global order.
 
     Facts of a document are signature, size and side with prefixes; else
@@ -307,15 +309,14 @@ def _by_unit(folder: str, units: Units, fragments: int, prefix: bool):
     """
 
     def run(batches):
-        lookup = SortedFiles(folder, 64, units.parts)
+        lookup = SortedFiles(folder, 64, parts)
         for batch in batches:
             g, begin = _unpack(batch)
             sig, size, rares = (batch.column(c).to_numpy() for c in ("sig", "size", "rares"))
             ends = np.frombuffer(b"".join(x.as_py() for x in batch.column("ends")), "<u4").astype(np.int64).reshape(len(sig), -1)
             order = np.argsort(sig.view(np.uint64))
-            code = np.empty(len(sig), np.int64)
-            code[order] = lookup.get(sig.view(np.uint64)[order], -1)
-            doc, unit, side = units.spread(code)
+            doc, place = lookup.all(sig.view(np.uint64)[order])
+            doc, unit, side = order[doc], place >> 2, (place & 3) - 1
             length = rares[doc] if prefix else np.diff(begin)[doc]
             # Documents of large components go to many units: some at a time.
             stop = np.cumsum(length)
@@ -484,37 +485,56 @@ def similar_sets(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD,
     ranges, parts = int(-(-rares // SHARD_GRAMS)) or 1, int(max(-(-grams // SHARD_GRAMS), -(-rows // (4 * UNIT_DOCS)))) or 1
     near = kept.select("sig", "grams", "rares").mapInArrow(_rarest(ranges), "shard int, keys binary, at binary, docs binary")
     roots = connected(near.groupBy("shard").applyInArrow(_links, "u bigint, v bigint"))
-    units, labels = _units(kept, roots, parts)
-    folder = local_path(new_folder(spark, "ngram-units"))
-    shard = F.shiftright(F.shiftrightunsigned("node", 44) * parts, 20)
-    labels.groupBy(shard.alias("shard")).applyInArrow(_put_labels(folder), "n bigint").agg(F.sum("n")).collect()
+    folder = _by_node(_places(kept, roots, parts, ranges), parts, "ngram-units")
 
     own = kept.select("sig", "size", "grams", "ends", "rares")
-    found = own.mapInArrow(_by_unit(folder, units, FRAGMENTS, True), "unit bigint, keys binary, at binary, docs binary").groupBy("unit").applyInArrow(_candidates(threshold), "unit bigint, sigs binary, a binary, count binary, b binary, n bigint")
+    found = own.mapInArrow(_by_unit(folder, parts, FRAGMENTS, True), "unit bigint, keys binary, at binary, docs binary").groupBy("unit").applyInArrow(_candidates(threshold), "unit bigint, sigs binary, a binary, count binary, b binary, n bigint")
     everywhere = found.withColumn("fragment", F.explode(F.array(*map(F.lit, range(FRAGMENTS)))))
-    segments = own.mapInArrow(_by_unit(folder, units, FRAGMENTS, False), "unit bigint, fragment int, keys binary, at binary, docs binary")
+    segments = own.mapInArrow(_by_unit(folder, parts, FRAGMENTS, False), "unit bigint, fragment int, keys binary, at binary, docs binary")
     partial = segments.groupBy("unit", "fragment").cogroup(everywhere.groupBy("unit", "fragment")).applyInArrow(_partial(threshold), ", ".join(f"{c} bigint" for c in _PARTIAL))
     pairs = partial.groupBy("a", "b", "size_a", "size_b").agg(F.sum("common").alias("common"))
     return kept.select("doc_id", "text_hash", "sig", "size"), pairs.where(F.col("common") >= threshold * (F.col("size_a") + F.col("size_b") - F.col("common")) - 1e-9)
 
 
-def _units(kept: DataFrame, roots: DataFrame, parts: int) -> tuple[Units, DataFrame]:
-    """Units, and the code of each document that has a partner.
+def _by_node(labels: DataFrame, parts: int, what: str) -> str:
+    """Files of (node, part) rows, by node."""
+    folder = local_path(new_folder(labels.sparkSession, what))
+    shard = F.shiftright(F.shiftrightunsigned("node", 44) * parts, 20)
+    labels.groupBy(shard.alias("shard")).applyInArrow(_put_labels(folder), "n bigint").agg(F.sum("n")).collect()
+    return folder
+
+
+def _places(kept: DataFrame, roots: DataFrame, parts: int, ranges: int) -> DataFrame:
+    """(node, part): where each document that may have a partner takes part, as four times the unit and one more than the side.
 
-    Components of more than SHARD_GRAMS n-grams or UNIT_DOCS documents are cut
-    into blocks by hash, so that two blocks together keep to these numbers.
+    Small components go by hash into units 0 to parts - 1, with side -1: each
+    is paired with all.  A component of more than SHARD_GRAMS n-grams or
+    UNIT_DOCS documents is cut into blocks of half of that, near copies
+    together where they share their least prefix hash; two blocks make a unit,
+    in which the documents of one are paired with those of the other, and a
+    document goes only to units where a prefix n-gram of its own awaits it.
     """
     spark = kept.sparkSession
-    weights = kept.groupBy("sig").agg(F.max(F.octet_length("grams") / 8).alias("m"))
-    sums = roots.join(weights, F.col("node") == F.col("sig")).groupBy("root").agg(F.sum("m").alias("m"), F.count("*").alias("n"))
-    large = sums.where((F.col("m") > SHARD_GRAMS) | (F.col("n") > UNIT_DOCS)).orderBy("root").collect()  # as many as fill a unit
-    blocks = [int(max(-(-2 * r["m"] // SHARD_GRAMS), -(-2 * r["n"] // UNIT_DOCS), 2)) for r in large]
-    units = Units.of(parts, blocks)
-    code = F.pmod(F.xxhash64("root"), F.lit(parts))
+    sets = kept.select("sig", "grams", "rares").mapInArrow(_sketches, "sig bigint, m bigint, low bigint").dropDuplicates(["sig"])
+    placed = written(roots.join(sets, F.col("node") == F.col("sig")).select("node", "root", "m", "low"), "ngram-components")
+    small = F.pmod(F.xxhash64("root"), F.lit(parts)) * 4
+    large = placed.groupBy("root").agg(F.sum("m").alias("m"), F.count("*").alias("n")).where((F.col("m") > SHARD_GRAMS) | (F.col("n") > UNIT_DOCS)).collect()  # each fills a unit
     if not large:
-        return units, roots.select("node", code.alias("part"))
-    cut = spark.createDataFrame([(r["root"], int(c), b) for r, c, b in zip(large, units.code, blocks)], "root bigint, code bigint, blocks bigint")
-    return units, roots.join(cut, "root", "left").select("node", F.coalesce(F.col("code") + F.pmod(F.xxhash64("node"), F.col("blocks")), code).alias("part"))
+        return placed.select("node", small.alias("part"))
+    of = lambda m, n: int(max(-(-2 * m // SHARD_GRAMS), -(-2 * n // UNIT_DOCS)))
+    cut = spark.createDataFrame([(r["root"], of(r["m"], r["n"])) for r in large], "root bigint, blocks bigint")
+    inside = placed.join(cut, "root").select("node", "root", "m", F.pmod(F.xxhash64("low"), F.col("blocks")).alias("block"))
+    sizes = inside.groupBy("root", "block").agg(F.sum("m").alias("m"), F.count("*").alias("n")).orderBy("root", "block").collect()  # two a unit's worth
+    splits = [of(r["m"], r["n"]) for r in sizes]
+    first = np.cumsum([0, *splits]).tolist()
+    codes = spark.createDataFrame([(r["root"], r["block"], a, b) for r, a, b in zip(sizes, first, splits)], "root bigint, block bigint, first bigint, splits bigint")
+    coded = inside.join(codes, ["root", "block"]).select("node", (F.col("first") + F.pmod(F.xxhash64("node"), F.col("splits"))).alias("part"))
+    folder = _by_node(coded, parts, "ngram-blocks")
+    near = kept.select("sig", "grams", "rares").mapInArrow(_rarest(ranges, folder, parts), "shard int, keys binary, at binary, docs binary")
+    met = near.groupBy("shard").applyInArrow(_meetings, "node bigint, own bigint, other bigint").distinct()
+    unit = F.lit(parts) + F.least("own", "other") * first[-1] + F.greatest("own", "other")
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    return placed.join(cut, "root", "left_anti").select("node", small.alias("part")).unionByName(met.select("node", (unit * 4 + side).alias("part")))
 
 
 def similar_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -527,9 +547,9 @@ def similar_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD,
     into fragments; each document's n-grams of a fragment travel apart, tasks
     count what pairs share in one fragment, and the counts are summed per
     pair.  What no chain of shared rare n-grams connects doesn't meet; large
-    connected components are cut into blocks, and each two of these meet, so
-    no task holds more than a fragment of two blocks.  Documents with equal
-    sets are one class throughout.
+    connected components are cut into blocks, two of which meet where they
+    share such n-grams, so no task holds more than a fragment of two blocks.
+    Documents with equal sets are one class throughout.
 
     Returns doc_a < doc_b, common, and jaccard.  Null and empty texts have no
     n-grams and no partner; rows with a null id are left out, and rows that

@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 from prismora.llm import jaccard_join as J
 from prismora.operators.graph import connected
+from pyspark.sql import functions as F
 
 from ..oracle import connect, rows_of, rows_of_sql
 from .common import empty, odd
@@ -48,36 +49,40 @@ def test_one_giant_chain_is_cut_into_bounded_units(spark, monkeypatch):
     monkeypatch.setattr(J, "SHARD_GRAMS", 2500)
     monkeypatch.setattr(J, "UNIT_DOCS", 60)
     seen = []
-    units_of = J._units
+    places = J._places
 
-    def spy(kept, roots, parts):
-        units, labels = units_of(kept, roots, parts)
-        seen.append((units, labels.groupBy("part").count().collect(), kept.count()))
-        return units, labels
+    def spy(*args):
+        seen.append(J.written(places(*args), "test-places"))
+        return seen[-1]
 
-    monkeypatch.setattr(J, "_units", spy)
+    monkeypatch.setattr(J, "_places", spy)
     word = lambda i: f"w{i}"
     rows = [(i, " ".join(word(k) for k in range(15 * i, 15 * i + 60))) for i in range(300)]
     rows += [(1000 + i, " ".join(f"x{i}_{k}" for k in range(40)) + f" y{j}") for i in range(5) for j in range(2)]
     got = {(x["doc_a"], x["doc_b"]): x["common"] for x in J.similar_pairs(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == by_hand(rows, 3, 0.5) and len(got) >= 299
-    (units, sizes, kept), = seen
-    assert kept >= 300 and len(units.blocks) == 1 and units.blocks[0] >= 10
-    assert max(r["count"] for r in sizes if r["part"] >= units.parts) * 2 <= 2 * J.UNIT_DOCS
-
-
-def test_units_cover_each_pair_once():
-    units = J.Units.of(3, [2, 4])
-    code = np.array([0, 1, 1, 3, 4, 5, 5, 6, 7, 8, -1])
-    doc, unit, side = units.spread(code)
-    met = Counter()
-    for x in range(len(doc)):
-        for y in range(len(doc)):
-            if doc[x] < doc[y] and unit[x] == unit[y] and (side[x] < 0 or side[x] != side[y]):
-                met[doc[x], doc[y]] += 1
-    whole = lambda c: c if c < 3 else 3 if c < 5 else 4
-    want = {(a, b) for a in range(10) for b in range(a + 1, 10) if whole(code[a]) == whole(code[b])}
-    assert met == dict.fromkeys(want, 1)
+    units = seen[0].groupBy((F.col("part") / 4).cast("bigint").alias("unit")).count().collect()
+    assert len(units) > 20 and max(r["count"] for r in units) <= 1.5 * J.UNIT_DOCS
+    assert seen[0].groupBy("node").count().agg(F.max("count")).first()[0] <= 7  # it meets its neighbours' blocks alone
+
+
+def test_large_groups_of_copies_over_blocks(spark, monkeypatch):
+    """Groups of near copies that a common passage connects; all pairs are found once."""
+    monkeypatch.setattr(J, "SHARD_GRAMS", 3000)
+    monkeypatch.setattr(J, "UNIT_DOCS", 30)
+    r = random.Random(3)
+    rows, passage = [], " ".join(f"p{k}" for k in range(40))
+    for group in range(4):
+        body = [f"g{group}_{k}" for k in range(30)]
+        for _ in range(40):
+            w = list(body)
+            for _ in range(r.randrange(0, 3)):
+                w[r.randrange(30)] = f"e{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w) + (f" {passage}" if r.random() < 0.5 else "")))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [(x["doc_a"], x["doc_b"], x["common"]) for x in J.similar_pairs(df).collect()]
+    want = by_hand(rows, 3, 0.5)
+    assert len(got) == len(want) > 1000 and {(a, b): c for a, b, c in got} == want
 
 
 def test_fragments_are_balanced_ranges_of_one_order():
