@@ -118,24 +118,30 @@ def _survivors(n: int, threshold: float, folder: str, shards: int, cuts: np.ndar
 
     Their repeated n-grams are in the global order, with the place where each
     fragment ends in them; the first `rares` are those of which two similar
-    documents have one in common.
+    documents have one in common.  `row` is a number of the row alone, the
+    same when a task is repeated.
     """
 
     def run(batches):
+        from pyspark import TaskContext
+
         lookup = SortedFiles(folder, _DF_BITS, shards)
+        base = TaskContext.get().partitionId() << 40
         for batch in batches:
             ids, hashes = batch.column("doc_id"), batch.column("text_hash")
+            rows = mix64(np.arange(base, base + batch.num_rows, dtype=np.uint64)).view(np.int64)
+            base += batch.num_rows
             held, size, first = [], 0, None
             for a, b, d, g in _document_sets(batch, n):
                 first = a if first is None else first
                 held.append((d + a, g))
                 size += len(g)
                 if size >= _FLUSH or b == batch.num_rows:
-                    yield one(lookup, ids, hashes, np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]), first, b)
+                    yield one(lookup, ids, hashes, rows, np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]), first, b)
                     held, size, first = [], 0, None
         release()
 
-    def one(lookup, ids, hashes, d, g, first, last):
+    def one(lookup, ids, hashes, rows, d, g, first, last):
         count = last - first
         d = d - first
         order = np.argsort(g)
@@ -164,9 +170,9 @@ def _survivors(n: int, threshold: float, folder: str, shards: int, cuts: np.ndar
         return pa.RecordBatch.from_arrays(
             [
                 ids.take(pa.array(at + first)), hashes.take(pa.array(at + first)), pa.array(sig[at]), pa.array(size[at]),
-                pa.array([g[cut[i] : cut[i + 1]].astype("<u8").tobytes() for i in at], pa.binary()), pa.array([x.astype("<u4").tobytes() for x in ends[at]], pa.binary()), pa.array(rares[at]),
+                pa.array([g[cut[i] : cut[i + 1]].astype("<u8").tobytes() for i in at], pa.binary()), pa.array([x.astype("<u4").tobytes() for x in ends[at]], pa.binary()), pa.array(rares[at]), pa.array(rows[at + first]),
             ],
-            names=["doc_id", "text_hash", "sig", "size", "grams", "ends", "rares"],
+            names=["doc_id", "text_hash", "sig", "size", "grams", "ends", "rares", "row"],
         )
 
     return run
@@ -204,20 +210,17 @@ def _postings(table, facts: int):
     return code % max(len(known), 1), code // max(len(known), 1), both[:, first], len(known)
 
 
-def _rarest(shards: int, folder: str | None = None, parts: int = 0):
-    """The rarest n-grams of each survivor by range of the hash; with a folder of codes, of those that have one, and this."""
+def _rarest(shards: int, folder: str, parts: int):
+    """The rarest n-grams of the survivors whose row has a value in the folder, with this, by range of the hash."""
 
     def run(batches):
-        lookup = SortedFiles(folder, 64, parts) if folder else None
+        lookup = SortedFiles(folder, 64, parts)
         for batch in batches:
             g, begin = _unpack(batch)
             sig, rares = batch.column("sig").to_numpy(), batch.column("rares").to_numpy()
-            facts, doc = sig[None, :], np.arange(len(sig))
-            if lookup:
-                order = np.argsort(sig.view(np.uint64))
-                code = np.empty(len(sig), np.int64)
-                code[order] = lookup.get(sig.view(np.uint64)[order], -1)
-                facts, doc = np.stack([sig, code]), np.flatnonzero(code >= 0)
+            doc, value = _found(lookup, batch)
+            facts = np.stack([sig, np.zeros(len(sig), np.int64)])
+            facts[1, doc] = value
             at, _ = _spans_of(begin, doc, rares[doc])
             keys, rows = g[at], np.repeat(doc, rares[doc])
             by = np.argsort(keys)
@@ -231,6 +234,14 @@ def _rarest(shards: int, folder: str | None = None, parts: int = 0):
     return run
 
 
+def _found(lookup: SortedFiles, batch) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a batch, and values, of all that the folder has for its rows."""
+    row = batch.column("row").to_numpy().view(np.uint64)
+    order = np.argsort(row)
+    at, value = lookup.all(row[order])
+    return order[at], value
+
+
 def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """The least reachable node of each of n nodes over the edges a-b."""
     root = np.arange(n)
@@ -250,7 +261,7 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 def _links(key, table):
     """From each document to the least one that shared rarest n-grams connect it with in this range."""
-    gram, place, (sig,), _ = _postings(table, 1)
+    gram, place, (sig, _), _ = _postings(table, 2)
     order = np.argsort(gram, kind="stable")
     gram, place = gram[order], place[order]
     start = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
@@ -270,14 +281,22 @@ def _spans_of(begin: np.ndarray, which: np.ndarray, length: np.ndarray | None =
     return np.arange(m.sum()) - np.repeat(head, m) + np.repeat(s, m), head
 
 
-def _sketches(batches):
-    """Of each survivor its n-grams, and the least hash of those in its prefix, which near copies mostly share."""
-    for batch in batches:
-        g, begin = _unpack(batch)
-        rares = batch.column("rares").to_numpy()
-        at, head = _spans_of(begin, np.arange(len(rares)), rares)
-        low = np.minimum.reduceat(mix64(g[at]), head) if len(at) else np.zeros(0, U64)
-        yield pa.RecordBatch.from_arrays([batch.column("sig"), pa.array(np.diff(begin)), pa.array(low.view(np.int64))], names=["sig", "m", "low"])
+def _sketches(folder: str, parts: int):
+    """Of each set its n-grams, and the least hash of those in its prefix, which near copies mostly share."""
+
+    def run(batches):
+        lookup = SortedFiles(folder, 64, parts)
+        for batch in batches:
+            g, begin = _unpack(batch)
+            doc, _ = _found(lookup, batch)
+            rares = batch.column("rares").to_numpy()[doc]
+            doc, rares = doc[rares > 0], rares[rares > 0]
+            at, head = _spans_of(begin, doc, rares)
+            low = np.minimum.reduceat(mix64(g[at]), head) if len(at) else np.zeros(0, U64)
+            sig, row = (batch.column(c).to_numpy()[doc] for c in ("sig", "row"))
+            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(row), pa.array(np.diff(begin)[doc]), pa.array(low.view(np.int64))], names=["sig", "row", "m", "low"])
+
+    return run
 
 
 def _meetings(key, table):
@@ -314,9 +333,8 @@ def _by_unit(folder: str, parts: int, fragments: int, prefix: bool):
             g, begin = _unpack(batch)
             sig, size, rares = (batch.column(c).to_numpy() for c in ("sig", "size", "rares"))
             ends = np.frombuffer(b"".join(x.as_py() for x in batch.column("ends")), "<u4").astype(np.int64).reshape(len(sig), -1)
-            order = np.argsort(sig.view(np.uint64))
-            doc, place = lookup.all(sig.view(np.uint64)[order])
-            doc, unit, side = order[doc], place >> 2, (place & 3) - 1
+            doc, place = _found(lookup, batch)
+            unit, side = place >> 2, (place & 3) - 1
             length = rares[doc] if prefix else np.diff(begin)[doc]
             # Documents of large components go to many units: some at a time.
             stop = np.cumsum(length)
@@ -480,14 +498,17 @@ def similar_sets(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD,
     classes = packed.groupBy("shard").applyInArrow(_repeated(folder), "class int, n bigint").groupBy("class").agg(F.sum("n")).collect()  # some hundred
     cuts = _fragment_ends(dict(map(tuple, classes)), FRAGMENTS)
 
-    kept = written(own.mapInArrow(_survivors(n, threshold, folder, shards, cuts), f"doc_id {id_type}, text_hash bigint, sig bigint, size bigint, grams binary, ends binary, rares bigint"), "ngram-survivors")
-    grams, rares, rows = kept.agg(F.coalesce(F.sum(F.octet_length("grams") / 8), F.lit(0)), F.coalesce(F.sum("rares"), F.lit(0)), F.count("*")).collect()[0]
+    kept = written(own.mapInArrow(_survivors(n, threshold, folder, shards, cuts), f"doc_id {id_type}, text_hash bigint, sig bigint, size bigint, grams binary, ends binary, rares bigint, row bigint"), "ngram-survivors")
+    # Of documents with equal sets one row stands for all.
+    sets = written(kept.groupBy("sig").agg(F.min_by(F.struct("row", (F.octet_length("grams") / 8).alias("m"), "rares"), "row").alias("r")).select("r.*"), "ngram-sets")
+    grams, rares, rows = sets.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum("rares"), F.lit(0)), F.count("*")).collect()[0]
     ranges, parts = int(-(-rares // SHARD_GRAMS)) or 1, int(max(-(-grams // SHARD_GRAMS), -(-rows // (4 * UNIT_DOCS)))) or 1
-    near = kept.select("sig", "grams", "rares").mapInArrow(_rarest(ranges), "shard int, keys binary, at binary, docs binary")
+    folder = _by_node(sets.select(F.col("row").alias("node"), F.lit(0).cast("bigint").alias("part")), parts, "ngram-rows")
+    own = kept.select("sig", "size", "grams", "ends", "rares", "row")
+    near = own.mapInArrow(_rarest(ranges, folder, parts), "shard int, keys binary, at binary, docs binary")
     roots = connected(near.groupBy("shard").applyInArrow(_links, "u bigint, v bigint"))
-    folder = _by_node(_places(kept, roots, parts, ranges), parts, "ngram-units")
+    folder = _by_node(_places(own, roots, folder, parts, ranges), parts, "ngram-units")
 
-    own = kept.select("sig", "size", "grams", "ends", "rares")
     found = own.mapInArrow(_by_unit(folder, parts, FRAGMENTS, True), "unit bigint, keys binary, at binary, docs binary").groupBy("unit").applyInArrow(_candidates(threshold), "unit bigint, sigs binary, a binary, count binary, b binary, n bigint")
     everywhere = found.withColumn("fragment", F.explode(F.array(*map(F.lit, range(FRAGMENTS)))))
     segments = own.mapInArrow(_by_unit(folder, parts, FRAGMENTS, False), "unit bigint, fragment int, keys binary, at binary, docs binary")
@@ -504,8 +525,8 @@ def _by_node(labels: DataFrame, parts: int, what: str) -> str:
     return folder
 
 
-def _places(kept: DataFrame, roots: DataFrame, parts: int, ranges: int) -> DataFrame:
-    """(node, part): where each document that may have a partner takes part, as four times the unit and one more than the side.
+def _places(kept: DataFrame, roots: DataFrame, folder: str, parts: int, ranges: int) -> DataFrame:
+    """(node, part): where each row that may have a partner takes part, as four times the unit and one more than the side.
 
     Small components go by hash into units 0 to parts - 1, with side -1: each
     is paired with all.  A component of more than SHARD_GRAMS n-grams or
@@ -515,8 +536,8 @@ def _places(kept: DataFrame, roots: DataFrame, parts: int, ranges: int) -> DataF
     document goes only to units where a prefix n-gram of its own awaits it.
     """
     spark = kept.sparkSession
-    sets = kept.select("sig", "grams", "rares").mapInArrow(_sketches, "sig bigint, m bigint, low bigint").dropDuplicates(["sig"])
-    placed = written(roots.join(sets, F.col("node") == F.col("sig")).select("node", "root", "m", "low"), "ngram-components")
+    sets = kept.mapInArrow(_sketches(folder, parts), "sig bigint, row bigint, m bigint, low bigint")
+    placed = written(roots.join(sets, F.col("node") == F.col("sig")).select(F.col("row").alias("node"), "root", "m", "low"), "ngram-components")
     small = F.pmod(F.xxhash64("root"), F.lit(parts)) * 4
     large = placed.groupBy("root").agg(F.sum("m").alias("m"), F.count("*").alias("n")).where((F.col("m") > SHARD_GRAMS) | (F.col("n") > UNIT_DOCS)).collect()  # each fills a unit
     if not large:
@@ -530,7 +551,7 @@ def _places(kept: DataFrame, roots: DataFrame, parts: int, ranges: int) -> DataF
     codes = spark.createDataFrame([(r["root"], r["block"], a, b) for r, a, b in zip(sizes, first, splits)], "root bigint, block bigint, first bigint, splits bigint")
     coded = inside.join(codes, ["root", "block"]).select("node", (F.col("first") + F.pmod(F.xxhash64("node"), F.col("splits"))).alias("part"))
     folder = _by_node(coded, parts, "ngram-blocks")
-    near = kept.select("sig", "grams", "rares").mapInArrow(_rarest(ranges, folder, parts), "shard int, keys binary, at binary, docs binary")
+    near = kept.withColumn("sig", F.col("row")).mapInArrow(_rarest(ranges, folder, parts), "shard int, keys binary, at binary, docs binary")
     met = near.groupBy("shard").applyInArrow(_meetings, "node bigint, own bigint, other bigint").distinct()
     unit = F.lit(parts) + F.least("own", "other") * first[-1] + F.greatest("own", "other")
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
