@@ -13,8 +13,8 @@ from ._shared import written
 from ._text import word_counts
 
 CAPACITY = 2048
-#: Classes of one length are numbered in so many independent parts.
-SALTS = 16
+#: Pieces of one length are numbered in independent parts of about so many.
+PART_ROWS = 1 << 17
 _RANK_BITS = 40
 
 
@@ -107,7 +107,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text
     document), n_tokens, bin_id and bin_offset.  Bins are numbered from 0; the
     plan (see plan_bins) is exact for the whole table and is found from the
     histogram of lengths; rows meet it through their rank in their length,
-    by hash part, doc_id and piece.
+    by hash part, doc_id and piece.  A length has as many parts as its number
+    of pieces asks for, so the many full pieces of long documents are spread.
 
     Documents with null, empty or white text have one row with n_tokens 0 and
     a null bin.  Repeated rows and ids are packed as often as they occur;
@@ -118,30 +119,33 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text
         raise ValueError("capacity must be positive")
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
-    counted = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_lengths, f"doc_id {id_type}, n_tokens bigint")
+    counted = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(_lengths, f"doc_id {id_type}, n_tokens bigint")
     counted = written(counted, "pack-lengths")
     c = F.lit(capacity).cast("bigint")
     pieces = counted.select("doc_id", "n_tokens", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.ceil(F.col("n_tokens") / c) - 1, F.lit(0).cast("bigint")))).alias("piece"))
     pieces = pieces.select("doc_id", "piece", (F.col("piece") * c).alias("start"), F.least(F.col("n_tokens") - F.col("piece") * c, c).alias("n_tokens"))
-    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    counts = pieces.where("n_tokens > 0").groupBy("n_tokens", "salt").count().collect()  # at most capacity x SALTS rows
+    sizes = dict(map(tuple, pieces.groupBy("n_tokens").count().collect()))  # capacity + 1 rows at most
+    parts = [-(-sizes.get(n, 0) // PART_ROWS) or 1 for n in range(capacity + 1)]
+    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.get(F.lit(parts), F.col("n_tokens").cast("int"))).cast("int"))
+    counts = pieces.where("n_tokens > 0").groupBy("n_tokens", "salt").count().collect()  # a row for each part: capacity + pieces / PART_ROWS at most
     histogram: dict[int, int] = {}
     offset = {}
     for n, salt, count in sorted(map(tuple, counts)):
         offset[n, salt] = histogram.get(n, 0)
         histogram[n] = histogram.get(n, 0) + count
     plan, _ = plan_bins(histogram, capacity)
-    before = np.zeros((capacity + 1, SALTS), np.int64)
+    first_part = np.cumsum([0, *parts])
+    before = np.zeros(first_part[-1], np.int64)
     for (n, salt), k in offset.items():
-        before[n, salt] = k
-    shared = spark.sparkContext.broadcast((plan, before))
+        before[first_part[n] + salt] = k
+    shared = spark.sparkContext.broadcast((plan, before, first_part))
 
     def place(batches):
-        rows, first = shared.value
+        rows, first, first_part = shared.value
         keys = (rows[:, 0] << _RANK_BITS) | rows[:, 1]
         for batch in batches:
             n = batch.column("n_tokens").to_numpy()
-            rank = first[n, batch.column("salt").to_numpy()] + batch.column("rn").to_numpy() - 1
+            rank = first[first_part[n] + batch.column("salt").to_numpy()] + batch.column("rn").to_numpy() - 1
             none = n == 0
             if len(rows):
                 r = rows[np.maximum(np.searchsorted(keys, (n << _RANK_BITS) | rank, side="right") - 1, 0)]
