@@ -64,7 +64,8 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     and one result row; rows with one id and different texts are told apart by
     text_hash.  Other columns are not read.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.posexplode_outer(F.split(F.col(text_col), "\n")).alias("pos", "line"))
+    i, t = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    rows = docs.select(i.alias("doc_id"), F.xxhash64(t).alias("text_hash"), F.posexplode_outer(F.split(t, "\n")).alias("pos", "line"))
     blank = F.coalesce(F.trim(F.regexp_replace("line", r"[\t\r\f\x0B]", " ")) == "", F.lit(True))
     rows = rows.select(
         "doc_id", "text_hash", "pos", blank.alias("blank"),
@@ -79,8 +80,8 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lasts = flags.groupBy("part").agg(F.max_by(F.struct("last1", "last2"), F.struct("h1", "h2")).alias("last"))
     ends = {r["part"]: (r["last"]["last1"], r["last"]["last2"]) for r in lasts.collect()}
     order = sorted(ends)
-    begun = {b for a, b in zip(order, order[1:])}
-    late = [r["part"] for r in heads.collect() if r["part"] in begun and ends[order[order.index(r["part"]) - 1]] == (r["h1"], r["h2"])]
+    earlier = dict(zip(order[1:], order))
+    late = [r["part"] for r in heads.collect() if r["part"] in earlier and ends[earlier[r["part"]]] == (r["h1"], r["h2"])]  # a row a range
     keep = F.col("keep")
     if late:
         keep = keep & ~(F.col("head") & F.col("part").isin(late))
@@ -98,7 +99,8 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def _one_of_each(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row of each id and text, nulls being values like others; only rows that may repeat are shuffled."""
     k = fresh(docs, "line_row")
-    row = F.xxhash64(F.col(id_col), F.col(id_col).isNull(), F.col(text_col), F.col(text_col).isNull())
+    i, t = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    row = F.xxhash64(i, i.isNull(), t, t.isNull())
     twice = written(docs.select(row.alias(k)).groupBy(k).count().where("count > 1").select(k), "repeated-rows")
     if twice.isEmpty():
         return docs
@@ -114,26 +116,26 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Documents that had lines and keep none but blank ones go, as do repeats of
     a row's id and text; documents with null or empty text stay.  A column
     n_chars, where there is one, is brought up to date; other columns stay.
+    Of an empty table nothing is left.  The work is linear in the lines of a
+    document, however long it is and however often kept and dropped lines take
+    turns.
     """
     docs = _one_of_each(docs, id_col, text_col)
     maps = line_bitmaps(docs, id_col, text_col)
     h, i, b = fresh(docs, "line_hash"), fresh(docs, "line_id"), fresh(docs, "line_bitmap")
+    own_id, own_text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     changed = maps.where("n_kept < n_lines").select(F.col("doc_id").alias(i), F.col("text_hash").alias(h), F.col("bitmap").alias(b))
     # The id may be null and the join is null-safe through the pair of hashes.
     k = fresh(docs, "line_key")
     changed = changed.select(F.xxhash64(i, F.col(i).isNull(), h).alias(k), F.col(h), F.col(b))
-    left = docs.withColumn(h, F.xxhash64(F.col(text_col))).withColumn(k, F.xxhash64(F.col(id_col), F.col(id_col).isNull(), F.col(h)))
+    left = docs.withColumn(h, F.xxhash64(own_text)).withColumn(k, F.xxhash64(own_id, own_id.isNull(), F.col(h)))
     left = left.join(changed, [k, h], "left")
-    n = fresh(docs, "line_runs")
-    ends = F.aggregate(F.col(n), F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-    e = fresh(docs, "line_ends")
-    lines = F.split(F.col(text_col), "\n")
-    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.floor((F.size(e) - 2) / 2).cast("int")), lambda j: F.slice(lines, F.element_at(F.col(e), j * 2 + 1) + 1, F.element_at(F.col(e), j * 2 + 2) - F.element_at(F.col(e), j * 2 + 1))))
-    left = left.withColumn(n, F.transform(F.split(b, ","), lambda x: x.cast("int"))).withColumn(e, ends)
-    text = F.when(F.col(b).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    out = left.withColumn(text_col, text)
-    out = out.where(F.col(b).isNull() | (F.trim(F.regexp_replace(F.col(text_col), r"\s", " ")) != ""))
+    # A flag for each line, then the lines whose flag is set: array_join leaves nulls out.
+    flags = F.flatten(F.transform(F.split(b, ","), lambda x, j: F.array_repeat(j % 2 == 0, x.cast("int"))))
+    kept = F.zip_with(F.split(own_text, "\n"), flags, lambda line, flag: F.when(flag, line))
+    out = left.withColumn(text_col, F.when(F.col(b).isNull(), own_text).otherwise(F.array_join(kept, "\n")))
+    out = out.where(F.col(b).isNull() | own_text.rlike(r"\S"))
     if "n_chars" in docs.columns and text_col != "n_chars":
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col(b).isNull(), F.col("n_chars")).otherwise(F.length(text_col).cast(kind)))
+        out = out.withColumn("n_chars", F.when(F.col(b).isNull(), F.col("n_chars")).otherwise(F.length(own_text).cast(kind)))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
