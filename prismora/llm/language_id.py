@@ -30,9 +30,9 @@ class Model:
 
 
 def _lower() -> np.ndarray:
-    """Lower-case code points below 0x250, where one letter stays one letter."""
-    table = np.arange(0x250, dtype=np.uint32)
-    for c in range(0x250):
+    """Lower-case code points of the basic plane, where one letter stays one letter."""
+    table = np.arange(0x10000, dtype=np.uint32)
+    for c in range(0x10000):
         if len(low := chr(c).lower()) == 1:
             table[c] = ord(low)
     return table
@@ -53,7 +53,7 @@ def char_grams(text) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndar
         starts = np.cumsum((part & 0xC0) != 0x80)
         co = np.r_[0, starts[o[1:] - 1]] if o[0] == 0 and o[1] > 0 else np.r_[0, np.where(o[1:] > 0, starts[np.maximum(o[1:] - 1, 0)], 0)]
         cp = np.frombuffer(part.tobytes().decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
-        cp = np.where(cp < 0x250, _LOWER[np.minimum(cp, 0x24F)], cp)
+        cp = np.where(cp < 0x10000, _LOWER[np.minimum(cp, 0xFFFF)], cp)
         doc = np.repeat(np.arange(b - a, dtype=np.uint32), np.diff(co))
         keys = []
         h = np.zeros(len(cp), np.uint32)
@@ -153,7 +153,8 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id",
     """Fit on at most train_rows of the rows with a label and a text; document frequencies are of all rows.
 
     The sample is the rows of lowest hashed id (ties by text hash), so it is
-    the same at every run.
+    the same at every run; rows of it that repeat an id and text count once,
+    with the first of their labels.
     """
     df, n = document_frequencies(docs, text_col)
     idf = np.log((1 + n) / (1 + df)) + 1
@@ -164,6 +165,7 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id",
     if cut is None:
         return Model([UNKNOWN], np.zeros((BUCKETS, 1), np.float32), np.zeros(1), idf, 1.0)
     own = own.where(F.struct("k", "t") <= F.struct(F.lit(cut["k"]).alias("k"), F.lit(cut["t"]).alias("t")))
+    own = own.groupBy("k", "t").agg(F.min(F.struct("label", "text")).alias("r")).select("k", "t", "r.label", "r.text")  # train_rows rows at most
 
     def extract(batches):
         for batch in batches:
@@ -188,8 +190,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     Null and empty texts, and all texts where there was nothing to learn from,
     get 'und' and probability 0.  Each row is judged by itself on its whole
-    text: repeated rows get equal results; ties go to the first language in
-    alphabetical order.  Returns doc_id, predicted_lang and probability; other
+    text, capitals of the basic plane lowered: repeated rows get equal results;
+    ties go to the first language in alphabetical order.  Returns doc_id, predicted_lang and probability; other
     columns are not read.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
