@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._names import fresh
@@ -216,13 +216,16 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_c
 
     labels: doc_id, quality and toxic (0 or 1; a null counts as quality 1 and
     toxic 0).  Of an id's several label rows the lowest (quality, toxic)
-    counts.  The sample is the labelled ids of lowest hash, the same at every
-    run; features are made on the executors.
+    counts, and of its several texts the one of least hash.  The sample is the
+    labelled ids of lowest hash, the same at every run; features are made on
+    the executors.
     """
     own = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.struct(F.coalesce(F.col("quality").cast("int"), F.lit(1)).alias("quality"), F.coalesce(F.col("toxic").cast("int"), F.lit(0)).alias("toxic"))).alias("label"))
     own = own.select("doc_id", "label.quality", "label.toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     # The labelled side has train_rows rows at most, whatever the input.
-    joined = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *_meta(docs, meta_cols)).join(F.broadcast(own), "doc_id")
+    joined = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{text_col}`")).alias("h"), *_meta(docs, meta_cols)).join(F.broadcast(own), "doc_id")
+
+    kept = ["quality", "toxic", "bucket", "value", "stats", "meta"]
 
     def extract(batches):
         names = [f"meta{k}" for k in range(len(meta_cols))]
@@ -231,14 +234,15 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_c
                 cut = np.searchsorted(d, np.arange(b - a + 1))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(a, b - a).cast(pa.string()), batch.column("quality").slice(a, b - a), batch.column("toxic").slice(a, b - a),
+                        batch.column("doc_id").slice(a, b - a).cast(pa.string()), batch.column("h").slice(a, b - a), batch.column("quality").slice(a, b - a), batch.column("toxic").slice(a, b - a),
                         pa.array([bucket[i:j].astype("<u4").tobytes() for i, j in zip(cut, cut[1:])], pa.binary()), pa.array([value[i:j].astype("<f4").tobytes() for i, j in zip(cut, cut[1:])], pa.binary()),
                         pa.array([s.tobytes() for s in stats.astype("<f4")], pa.binary()), pa.array([m.astype("<i8").tobytes() for m in meta], pa.binary()),
                     ],
-                    names=["doc_id", "quality", "toxic", "bucket", "value", "stats", "meta"],
+                    names=["doc_id", "h", *kept],
                 )
 
-    got = joined.mapInArrow(extract, "doc_id string, quality int, toxic int, bucket binary, value binary, stats binary, meta binary").toArrow()
+    each = joined.mapInArrow(extract, "doc_id string, h bigint, quality int, toxic int, bucket binary, value binary, stats binary, meta binary")
+    got = each.groupBy("doc_id").agg(F.min(F.struct("h", *kept)).alias("r")).select("doc_id", *[f"r.{c}" for c in kept]).toArrow()  # train_rows rows at most
     got = got.sort_by([("doc_id", "ascending"), ("bucket", "ascending"), ("value", "ascending")])
     rows = [
         (np.frombuffer(b, "<u4"), np.frombuffer(v, "<f4"), np.frombuffer(s, "<f4"), np.frombuffer(m, "<i8"))
@@ -287,21 +291,28 @@ def drop_rejected(docs: DataFrame, model: Model, threshold: float = THRESHOLD, t
     """The rows that classify() keeps, columns as given.
 
     The verdict is a vectorised function of text and metadata, so nothing is
-    joined or shuffled.
+    joined or shuffled.  Null and empty texts and null metadata are judged as
+    classify() says; a score equal to the threshold is kept; each row is
+    judged by itself, so of rows that repeat all stay or none; of an empty
+    table nothing is left.
     """
-    from pyspark.sql.functions import arrow_udf
-    from pyspark.sql.types import BooleanType
+    k = fresh(docs, "quality_keep")
+    return docs.withColumn(k, _judged(docs, model, lambda p: (p[:, 0] >= threshold) & (p[:, 1] <= threshold), "boolean", text_col, meta_cols)).where(F.col(k)).drop(k)
+
 
+def with_quality(docs: DataFrame, model: Model, name: str, text_col: str = "text", meta_cols: tuple[str, ...] = ("lang",)) -> DataFrame:
+    """docs with each row's quality times the chance that it isn't toxic; rows are judged as in classify()."""
+    return docs.withColumn(name, _judged(docs, model, lambda p: p[:, 0] * (1 - p[:, 1]), "double", text_col, meta_cols))
+
+
+def _judged(docs: DataFrame, model: Model, verdict, kind: str, text_col: str, meta_cols: tuple[str, ...]) -> Column:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @arrow_udf(BooleanType())
-    def kept(text: pa.Array, *meta: pa.Array) -> pa.Array:
+    @F.arrow_udf(kind)
+    def judged(text: pa.Array, *meta: pa.Array) -> pa.Array:
         out = np.zeros((len(text), 2))
         for a, b, d, bucket, value, stats, tags in features(text, list(meta)):
             out[a:b] = score(shared.value, d, bucket, value, stats, tags)
-        p = 1 / (1 + np.exp(-np.clip(out, -30, 30)))
-        return pa.array((p[:, 0] >= threshold) & (p[:, 1] <= threshold))
+        return pa.array(verdict(1 / (1 + np.exp(-np.clip(out, -30, 30)))))
 
-    k = fresh(docs, "quality_keep")
-    tags = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in meta_cols]
-    return docs.withColumn(k, kept(F.col(f"`{text_col}`"), *tags)).where(F.col(k)).drop(k)
+    return judged(F.col(f"`{text_col}`"), *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in meta_cols])
