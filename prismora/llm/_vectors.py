@@ -34,8 +34,8 @@ class VectorFiles:
         for i, j in zip(cuts, np.r_[cuts[1:], len(rows)] if len(rows) else []):
             at = order[i:j]
             got = self._file(kind, int(files[at[0]]))[rows[at] & ((1 << _ROW_BITS) - 1)]
-            if out is None:
-                out = np.empty((len(rows), *got.shape[1:]), got.dtype)
+            if out is None or out.dtype.itemsize < got.dtype.itemsize:  # longer texts than so far
+                out = np.empty((len(rows), *got.shape[1:]), got.dtype) if out is None else out.astype(got.dtype)
             out[at] = got
         return np.zeros((0, 1), np.float32) if out is None else out
 
@@ -43,7 +43,21 @@ class VectorFiles:
         return self._get("x", rows)
 
     def ids(self, rows: np.ndarray) -> np.ndarray:
-        return self._get("id", rows)
+        return self._get("id", rows) if len(rows) else np.zeros(0, np.int64)
+
+
+def id_type(df: DataFrame, id_col: str) -> str:
+    """bigint for integers, string for texts; other ids are an error."""
+    kind = df.schema[id_col].dataType.simpleString()
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return "bigint"
+    if kind == "string":
+        return kind
+    raise TypeError(f"{id_col}: ids are integers or texts, not {kind}")
+
+
+def arrow_ids(ids: np.ndarray, kind: str) -> pa.Array:
+    return pa.array(ids.tolist(), pa.string()) if kind == "string" else pa.array(ids.astype(np.int64))
 
 
 def dimension(df: DataFrame, id_col: str, vector_col: str) -> int:
@@ -62,9 +76,9 @@ def put_vectors(df: DataFrame, id_col: str, vector_col: str, hashes, names: str,
     same file again.
     """
     spark = df.sparkSession
-    dim = dimension(df, id_col, vector_col)
+    dim, kind = dimension(df, id_col, vector_col), id_type(df, id_col)
     v = F.col(f"`{vector_col}`")
-    own = df.where(F.col(f"`{id_col}`").isNotNull() & (F.size(v) == dim)).select(F.col(f"`{id_col}`").cast("bigint").alias("id"), v.cast("array<float>").alias("v"))
+    own = df.where(F.col(f"`{id_col}`").isNotNull() & (F.size(v) == dim)).select(F.col(f"`{id_col}`").cast(kind).alias("id"), v.cast("array<float>").alias("v"))
     own = own.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0))
     own = own.groupBy("id").agg(F.min("v").alias("v")).sortWithinPartitions("id")
     folder = local_path(new_folder(spark, what))
@@ -78,14 +92,14 @@ def put_vectors(df: DataFrame, id_col: str, vector_col: str, hashes, names: str,
                 flat = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
                 flat /= np.abs(flat).max(1, keepdims=True)
                 rows.append((flat / np.sqrt((flat * flat).sum(1, keepdims=True))).astype(np.float32))
-                ids.append(batch.column("id").to_numpy())
+                ids.append(np.array(batch.column("id").to_pylist(), str) if kind == "string" else batch.column("id").to_numpy())
         if not rows:
             return
         x, i = np.concatenate(rows), np.concatenate(ids)
-        for kind, a in (("x", x), ("id", i)):
+        for what, a in (("x", x), ("id", i)):
             out = io.BytesIO()
             np.save(out, a, allow_pickle=False)
-            put_file(f"{folder}/{kind}-{k:07d}.npy", out.getvalue())
+            put_file(f"{folder}/{what}-{k:07d}.npy", out.getvalue())
         row = (np.int64(k) << _ROW_BITS) + np.arange(len(x))
         for lo in range(0, len(x), 4096):
             cols = hashes(x[lo : lo + 4096])

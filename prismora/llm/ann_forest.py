@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import written
-from ._vectors import VectorFiles, put_vectors
+from ._vectors import VectorFiles, arrow_ids, id_type, put_vectors
 
 K = 10
 TREES = 64
@@ -80,7 +80,8 @@ def nearest(df: DataFrame, k: int = K, trees: int = TREES, miss: float = MISS, s
     limit on candidates, and as many as the recall needs.
 
     Returns vec_id, neighbor_id, rank (from 1) and cosine; ties are ordered by
-    row.  Null ids and null, zero, non-finite or odd-length vectors neither
+    row.  Ids are integers (bigint in the result) or texts, others a TypeError.
+    Null ids and null, zero, non-finite or odd-length vectors neither
     ask nor answer; of rows that repeat an id the least vector counts; equal
     vectors of different ids are neighbours.  With k vectors or fewer each has
     all others.  An empty table gives an empty result.  Other columns are not
@@ -91,6 +92,7 @@ def nearest(df: DataFrame, k: int = K, trees: int = TREES, miss: float = MISS, s
         h = hash_strings(x, trees, seed)
         return [pa.ListArray.from_arrays(pa.array(np.arange(0, h.size + 1, trees, dtype=np.int32)), pa.array(h.reshape(-1)))]
 
+    kind = id_type(df, id_col)
     folder, _, rows = put_vectors(df, id_col, vector_col, strings, "hashes array<bigint>", "ann-vectors")
     n = rows.count()
     base = max(0, int(np.ceil(np.log2(max(n, 1) / BLOCK))))
@@ -179,7 +181,7 @@ def nearest(df: DataFrame, k: int = K, trees: int = TREES, miss: float = MISS, s
     def finish(key, table):
         files = VectorFiles(folder)
         got = merge(key, table)
-        ids = files.ids(got.column("query").to_numpy()), files.ids(got.column("near").to_numpy())
+        ids = [arrow_ids(files.ids(got.column(c).to_numpy()), kind) for c in ("query", "near")]
         return pa.table({"vec_id": ids[0], "neighbor_id": ids[1], "rank": got.column("rank"), "cosine": np.clip(got.column("cosine").to_numpy(), -1, 1).astype(np.float64)})
 
-    return both.groupBy(groups).applyInArrow(finish, "vec_id bigint, neighbor_id bigint, rank int, cosine double")
+    return both.groupBy(groups).applyInArrow(finish, f"vec_id {kind}, neighbor_id {kind}, rank int, cosine double")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ._shared import release
 from ._text import U64, mix64
-from ._vectors import VectorFiles, put_vectors
+from ._vectors import VectorFiles, arrow_ids, id_type, put_vectors
 
 THRESHOLD = 0.9
 TABLES = 40
@@ -41,7 +41,8 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, tables: int = T
     the defaults a pair at cosine 0.9 is missed with probability 0.07, at 0.95
     with 1e-3, at 0.99 with 1e-9.
 
-    Returns vec_a < vec_b and cosine.  Null ids and null, zero, non-finite or
+    Returns vec_a < vec_b and cosine.  Ids are integers (bigint in the result)
+    or texts, others a TypeError.  Null ids and null, zero, non-finite or
     odd-length vectors have no pairs; of rows that repeat an id the least
     vector counts; equal vectors of different ids are pairs with cosine 1.  An
     empty table gives an empty result.  Other columns are not read.
@@ -51,6 +52,7 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, tables: int = T
         k = bucket_keys(x, tables, hashes, width, seed)
         return [pa.ListArray.from_arrays(pa.array(np.arange(0, k.size + 1, tables, dtype=np.int32)), pa.array(k.reshape(-1)))]
 
+    kind = id_type(df, id_col)
     folder, _, rows = put_vectors(df, id_col, vector_col, keys, "keys array<bigint>", "dedup-vectors")
     parts = max(1, -(-rows.count() // PART_ROWS))
     spread = rows.select("row", F.posexplode("keys").alias("table", "key")).withColumn("part", F.pmod("key", F.lit(parts)))
@@ -105,9 +107,9 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, tables: int = T
                 sl = slice(lo, lo + 65536)
                 first[sl] = ~(k[back[: len(i)][sl]] == k[back[len(i) :][sl]]).any(1)
             i, j, s = i[first], j[first], s[first]
-        ids = files.ids(row) if len(row) else np.zeros(0, np.int64)
+        ids = files.ids(row)
         a, b = ids[i], ids[j]
         release()
-        return pa.table({"vec_a": np.minimum(a, b), "vec_b": np.maximum(a, b), "cosine": np.minimum(s, 1).astype(np.float64)})
+        return pa.table({"vec_a": arrow_ids(np.where(a < b, a, b), kind), "vec_b": arrow_ids(np.where(a < b, b, a), kind), "cosine": np.minimum(s, 1).astype(np.float64)})
 
-    return spread.groupBy("table", "part").applyInArrow(pairs, "vec_a bigint, vec_b bigint, cosine double").where(F.col("cosine") >= threshold)
+    return spread.groupBy("table", "part").applyInArrow(pairs, f"vec_a {kind}, vec_b {kind}, cosine double").where(F.col("cosine") >= threshold)

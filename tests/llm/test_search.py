@@ -40,6 +40,33 @@ def test_dedup_odd(spark):
     assert embedding_dedup.near_duplicates(df.where("false")).count() == 0
 
 
+def test_dedup_equals_sql_where_there_are_pairs(spark):
+    import duckdb
+    from prismora.llm.queries import OP6_SQL
+
+    r = np.random.default_rng(2)
+    x = np.repeat(r.standard_normal((40, 16)), 6, axis=0) + 0.01 * r.standard_normal((240, 16))
+    df = as_table(spark, x)
+    embeddings = df.toArrow()  # noqa: F841, read by name
+    want = {(a, b): c for a, b, c in duckdb.sql(OP6_SQL.replace("round(", "(").replace("::double, 4)", "::double)")).fetchall()}
+    got = {(p["vec_a"], p["vec_b"]): p["cosine"] for p in embedding_dedup.near_duplicates(df).collect()}
+    assert len(want) >= 600 and got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-4
+
+
+def test_ids_may_be_texts(spark):
+    df = spark.createDataFrame([(f"v{'x' * (i % 7)}{i}", [float(v) for v in row]) for i, row in enumerate(planted(80, 8))], "vec_id string, embedding array<float>")
+    number = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(planted(80, 8))], "vec_id int, embedding array<float>")
+    name = lambda i: f"v{'x' * (i % 7)}{i}"
+    pairs = {frozenset((name(r["vec_a"]), name(r["vec_b"]))) for r in embedding_dedup.near_duplicates(number).collect()}
+    got = embedding_dedup.near_duplicates(df).collect()
+    assert {frozenset((r["vec_a"], r["vec_b"])) for r in got} == pairs and len(pairs) == len(got) > 10 and all(r["vec_a"] < r["vec_b"] for r in got)
+    near = {(name(r["vec_id"]), r["rank"], round(r["cosine"], 5)) for r in ann_forest.nearest(number, 3).collect()}
+    assert {(r["vec_id"], r["rank"], round(r["cosine"], 5)) for r in ann_forest.nearest(df, 3).collect()} == near
+    for f in (embedding_dedup.near_duplicates, ann_forest.nearest):
+        with pytest.raises(TypeError):
+            f(number.withColumn("vec_id", F.lit(1.5)))
+
+
 def test_dedup_many_copies(spark):
     df = spark.range(150).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"))
     assert embedding_dedup.near_duplicates(df).count() == 150 * 149 // 2
