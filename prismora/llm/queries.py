@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from . import ann_forest, embedding_dedup, jaccard_join, language_id, line_dedup, ngram_lm, packing, quality_fm, source_mixing, url_filter
 
 
-
-
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -52,7 +50,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_mixing.mixture(_table(spark, sf_dir, "documents"))
+    """Weights: the share of good labels in a document's source and language, times its text's cleanness."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    good = F.count_if((F.col("quality") == 1) & (F.col("toxic") == 0))
+    rate = docs.select("doc_id", "source", "lang").join(labels, "doc_id").groupBy("source", "lang").agg(((good + 1.0) / (F.count("*") + 2.0)).alias("rate")).select(F.col("source").alias("s"), F.col("lang").alias("l"), "rate")
+    weighted = docs.join(rate, docs["source"].eqNullSafe(F.col("s")) & docs["lang"].eqNullSafe(F.col("l")), "left")
+    return source_mixing.mixture(weighted.withColumn("weight", F.coalesce("rate", F.lit(0.5)) * source_mixing.quality_weight(F.col("text"))), weight_col="weight")
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,6 +101,7 @@ select doc_id, n_lines, n_kept,
 from bits
 """
 
+#: With the weights that an operator without a weight column takes.
 OP9_SQL = r"""
 with d as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\v\f\r]+')) as n_tokens,
@@ -118,9 +122,31 @@ from r
 """
 
 
+OP9_WEIGHTED_SQL = r"""
+with rate as (
+  select source, lang, (count_if(quality = 1 and toxic = 0) + 1.0::double) / (count(*) + 2.0::double) as rate from documents join labels using (doc_id) group by source, lang
+), d as (
+  select doc_id, d.source, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\v\f\r]+')) as n_tokens,
+    -ln((('0x' || substr(md5('0|' || coalesce(doc_id::varchar, 'null')), 1, 13))::bigint + 1) / 4503599627370497.0::double)
+      / greatest(0.01, coalesce(rate, 0.5::double) * greatest(0.05, coalesce(1 - 8.0::double * ((length(text) - length(translate(text, '|%&$#*!~^', ''))) / nullif(length(text), 0)::double), 1.0))) as key
+  from documents d left join rate on d.source is not distinct from rate.source and d.lang is not distinct from rate.lang
+), s as (
+  select source, sum(n_tokens)::double as tokens, pow(sum(n_tokens)::double, 0.7) as share from d group by source
+), b as (
+  select source, tokens::bigint as tokens, floor((select max(tokens / share) from s where share > 0) * share + 0.5)::bigint as budget from s
+), r as (
+  select d.*, b.tokens, b.budget, sum(n_tokens) over (partition by d.source order by (n_tokens = 0), key, doc_id) as running
+  from d left join b on d.source is not distinct from b.source
+)
+select doc_id, source, n_tokens, (case when n_tokens = 0 then 0 else budget // tokens end)::int as epochs,
+  (case when n_tokens = 0 then 0 else budget // tokens + case when running <= budget % tokens then 1 else 0 end end)::int as copies
+from r
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_jaccard_join": OP3_SQL, "op6_embedding_near_dedup": OP6_SQL, "op7_line_dedup": OP7_SQL, "op9_source_mixing": OP9_SQL}
+    return {"op3_ngram_jaccard_join": OP3_SQL, "op6_embedding_near_dedup": OP6_SQL, "op7_line_dedup": OP7_SQL, "op9_source_mixing": OP9_WEIGHTED_SQL}

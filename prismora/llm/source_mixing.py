@@ -17,6 +17,8 @@ ALPHA = 0.7
 #: Parts of the key range whose token sums are found first.
 BUCKETS = 4096
 NOISE = "|%&$#*!~^"
+#: What lower weights count as.
+LEAST_WEIGHT = 0.01
 
 
 def _count(batches):
@@ -32,12 +34,19 @@ def quality_weight(text) -> Column:
     return F.greatest(F.lit(0.05), F.coalesce(1 - F.lit(8.0) * (noise / F.nullif(chars, F.lit(0))), F.lit(1.0)))
 
 
-def _with_key(df: DataFrame, seed: int, doc_id, text, source, names: tuple[str, str, str]) -> DataFrame:
+def _weight(text, weight_col: str | None) -> Column:
+    if weight_col is None:
+        return quality_weight(text)
+    w = F.col(f"`{weight_col}`").cast("double")
+    return F.greatest(F.lit(LEAST_WEIGHT), F.when(F.isnan(w), 1.0).otherwise(F.coalesce(w, F.lit(1.0))))
+
+
+def _with_key(df: DataFrame, seed: int, doc_id, weight, source, names: tuple[str, str, str]) -> DataFrame:
     """df with the sampling key, its range and the null-safe source, under the given names."""
     key, bucket, skey = names
     digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint") + 1) / F.lit(float(2**52 + 1))
-    df = df.withColumn(key, -F.log(u) / quality_weight(text))
+    df = df.withColumn(key, -F.log(u) / weight)
     df = df.withColumn(bucket, F.least(F.floor((1 - F.exp(-F.col(key))) * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
     return df.withColumn(skey, F.concat(F.when(source.isNull(), "n").otherwise("s"), F.coalesce(source.cast("string"), F.lit(""))))
 
@@ -65,25 +74,27 @@ def _cuts(rows: DataFrame, targets: Mapping[str, float] | None, total_tokens: in
     return written(cut.join(last, "skey", "left").select("skey", "cut_bucket", F.col("epochs").cast("int").alias("epochs"), "cut"), "mix-cuts")
 
 
-def _rows(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
-    own = _with_key(own, seed, F.col("doc_id"), F.col("text"), F.col("source"), ("key", "bucket", "skey"))
+def _rows(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str, weight_col: str | None) -> DataFrame:
+    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), F.col(f"`{text_col}`").alias("text"), _weight(F.col(f"`{text_col}`"), weight_col).alias("weight"))
+    own = _with_key(own, seed, F.col("doc_id"), F.col("weight"), F.col("source"), ("key", "bucket", "skey")).drop("weight")
     types = {c: own.schema[c].dataType.simpleString() for c in ("doc_id", "source", "key", "bucket", "skey")}
     return written(own.mapInArrow(_count, ", ".join(f"{c} {t}" for c, t in types.items()) + ", n_tokens bigint"), "mix-rows")
 
 
-def mixture(docs: DataFrame, targets: Mapping[str, float] | None = None, total_tokens: int | None = None, alpha: float = ALPHA, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mixture(docs: DataFrame, targets: Mapping[str, float] | None = None, total_tokens: int | None = None, alpha: float = ALPHA, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None) -> DataFrame:
     """How often each document goes into a mixture with the target weights.
 
     targets: weight of each source (others get 0); by default tokens ** alpha.
     total_tokens: tokens of the mixture; by default as many as give every
     source one complete epoch at least.
+    weight_col: the documents' quality weights, a classifier's scores say; a
+    null or NaN counts as 1, less than LEAST_WEIGHT as that.  Without such a
+    column a text's share of noise signs gives them.
 
     A source's budget is its share of total_tokens, rounded.  It holds as many
     complete epochs as fit; the rest is filled by Efraimidis-Spirakis
     sampling without replacement: each document has the exponential key
-    -ln(u) / weight, u from a hash of seed and id, weight its text's quality;
-    by rising key, documents are taken as long as their running tokens stay in
+    -ln(u) / weight, u from a hash of seed and id; by rising key, documents are taken as long as their running tokens stay in
     the rest.  The running sums are two-level (sums of key ranges, then the
     rows of the one range with the cut), so a hot source spreads over many
     tasks and no source is sorted as a whole.
@@ -94,7 +105,7 @@ def mixture(docs: DataFrame, targets: Mapping[str, float] | None = None, total_t
     and key are taken together or not at all.  An empty table gives an empty
     result.  Other columns are not read.
     """
-    rows = _rows(docs, seed, id_col, text_col, source_col)
+    rows = _rows(docs, seed, id_col, text_col, source_col, weight_col)
     cuts = _cuts(rows.where("n_tokens > 0"), targets, total_tokens, alpha)
     placed = rows.join(cuts, "skey", "left")
     taken = (F.col("bucket") < F.col("cut_bucket")) | ((F.col("bucket") == F.col("cut_bucket")) & (F.struct("key", "doc_id") <= F.col("cut")))
@@ -103,18 +114,21 @@ def mixture(docs: DataFrame, targets: Mapping[str, float] | None = None, total_t
     return placed.select("doc_id", "source", "n_tokens", epochs.cast("int").alias("epochs"), copies.cast("int").alias("copies"))
 
 
-def mix(docs: DataFrame, targets: Mapping[str, float] | None = None, total_tokens: int | None = None, alpha: float = ALPHA, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, targets: Mapping[str, float] | None = None, total_tokens: int | None = None, alpha: float = ALPHA, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None) -> DataFrame:
     """The documents, each row as often as mixture() says; columns as given.
 
     A row's copies follow from its own key and its source's cut, so the texts
-    meet a table of one row a source and aren't shuffled for it.
+    meet a table of one row a source and aren't shuffled for it.  Null ids and
+    sources, ties, repeated rows and weights are treated as mixture() says;
+    documents with null, empty or white text go; of an empty table nothing is
+    left.
     """
-    cuts = _cuts(_rows(docs, seed, id_col, text_col, source_col).where("n_tokens > 0"), targets, total_tokens, alpha)
+    cuts = _cuts(_rows(docs, seed, id_col, text_col, source_col, weight_col).where("n_tokens > 0"), targets, total_tokens, alpha)
     key, bucket, skey = (fresh(docs, f"mix_{x}") for x in ("key", "bucket", "skey"))
     b, e, c, n = (fresh(docs, f"mix_{x}") for x in ("cut_bucket", "epochs", "cut", "copies"))
     cuts = cuts.select(F.col("skey").alias(skey), F.col("cut_bucket").alias(b), F.col("epochs").alias(e), F.col("cut").alias(c))
     text = F.col(f"`{text_col}`")
-    left = _with_key(docs.where(text.rlike(r"[^ \t\n\x0B\f\r]")), seed, F.col(f"`{id_col}`"), text, F.col(f"`{source_col}`"), (key, bucket, skey)).join(cuts, skey)
+    left = _with_key(docs.where(text.rlike(r"[^ \t\n\x0B\f\r]")), seed, F.col(f"`{id_col}`"), _weight(text, weight_col), F.col(f"`{source_col}`"), (key, bucket, skey)).join(cuts, skey)
     same = F.struct(F.col(key).alias("key"), F.col(f"`{id_col}`").alias("doc_id")) <= F.col(c)
     taken = (F.col(bucket) < F.col(b)) | ((F.col(bucket) == F.col(b)) & same)
     left = left.withColumn(n, F.col(e) + F.when(taken, 1).otherwise(0)).where(F.col(n) > 0)

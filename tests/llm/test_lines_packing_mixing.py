@@ -1,4 +1,6 @@
+import hashlib
 import math
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -57,6 +59,29 @@ def test_dropped_lines(spark):
     assert line_dedup.drop_repeated_lines(empty(spark)).count() == 0 and line_dedup.line_bitmaps(empty(spark)).count() == 0
 
 
+def test_lines_of_a_long_text_by_turns(spark):
+    """Kept and dropped lines take turns 30,000 times; the stage is linear in them."""
+    n = 30_000
+    first = "\n".join(f"old line {i}" for i in range(n))
+    second = "\n".join(x for i in range(n) for x in (f"new line {i}", f"old line {n - 1 - i}"))
+    docs = spark.createDataFrame([(1, first), (2, second)], "doc_id bigint, text string")
+    start = time.time()
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_lines(docs).collect()}
+    assert got == {1: first, 2: "\n".join(f"new line {i}" for i in range(n))}
+    assert time.time() - start < 60
+
+
+def test_names_with_dots(spark):
+    docs = spark.createDataFrame([(1, "a b\nc d", "s"), (2, "a b\ne f g", "t"), (2, "a b\ne f g", "t"), (None, None, None)], ["my.id", "my.text", "my.source"])
+    names = {"id_col": "my.id", "text_col": "my.text"}
+    assert {r["doc_id"]: r["bitmap"] for r in line_dedup.line_bitmaps(docs, **names).collect()} == {1: "2", 2: "0,1,1", None: ""}
+    got = line_dedup.drop_repeated_lines(docs, **names)
+    assert got.columns == docs.columns and sorted(str(r["my.text"]) for r in got.collect()) == ["None", "a b\nc d", "e f g"]
+    assert packing.pack(docs, **names).agg(F.sum("n_tokens")).first()[0] == 14
+    assert source_mixing.mixture(docs, source_col="my.source", **names).count() == 4
+    assert source_mixing.mix(docs, source_col="my.source", **names).columns == docs.columns
+
+
 # == packing
 
 
@@ -125,9 +150,36 @@ def test_pack_table(spark):
     assert len({r["bin_id"] for r in got}) == len(bins_by_hand([r["n_tokens"] for r in got], 512))
 
 
+def test_pack_in_many_parts(spark, monkeypatch):
+    """However many parts a length is numbered in, the bins are those of the plan and no two pieces meet."""
+    monkeypatch.setattr(packing, "PART_ROWS", 3)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = packing.pack(docs, 64).where("bin_id is not null").collect()
+    slots = [(r["bin_id"], r["bin_offset"] + k) for r in got for k in range(r["n_tokens"])]
+    assert len(slots) == len(set(slots)) and max(s for _, s in slots) < 64
+    assert len({r["bin_id"] for r in got}) == len(bins_by_hand([r["n_tokens"] for r in got], 64))
+
+
 # == mixing
 
 
+def test_query_equals_sql(spark):
+    from prismora.llm.queries import OP9_WEIGHTED_SQL, op9_source_mixing
+
+    assert rows_of(op9_source_mixing(spark, SF)) == rows_of_sql(connect(SF), OP9_WEIGHTED_SQL)[0]
+
+
+def test_weight_column(spark):
+    """Keys are -ln(u) / weight; null and NaN count as 1, small and negative weights as the least."""
+    weights = [None, float("nan"), 1.0, 0.0, -3.0, 0.01, 0.4, 5.0]
+    docs = spark.createDataFrame([(i, "w " * 7, "s", weights[i % 8]) for i in range(800)], "doc_id bigint, text string, source string, weight double")
+    got = {r["doc_id"] for r in source_mixing.mixture(docs, {"s": 1.0}, 700, weight_col="weight").where("copies > 0").collect()}
+    key = lambda i: -math.log((int(hashlib.md5(f"0|{i}".encode()).hexdigest()[:13], 16) + 1) / (2**52 + 1)) / [1, 1, 1, 0.01, 0.01, 0.01, 0.4, 5][i % 8]
+    assert got == set(sorted(range(800), key=key)[:100])
+    mixed = source_mixing.mix(docs, {"s": 1.0}, 700, weight_col="weight")
+    assert mixed.columns == docs.columns and {r["doc_id"] for r in mixed.collect()} == got
+
+
 def test_mixture_equals_sql(spark):
     from prismora.llm.queries import OP9_SQL
 

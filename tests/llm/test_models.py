@@ -120,6 +120,89 @@ def test_document_frequencies_are_of_all_rows(spark):
     assert n == 11 and sorted(df[df > 0].tolist()) == [9, 9, 10]
 
 
+def grams_by_hand(text):
+    """Bucket counts of the 1- to 3-grams of a text's lower-cased characters."""
+    out, low = Counter(), [ord(c.lower()) if len(c.lower()) == 1 and ord(c) < 0x10000 else ord(c) for c in text]
+    for n in (1, 2, 3):
+        for i in range(len(low) - n + 1):
+            h = 0
+            for c in low[i : i + n]:
+                h = (h * 0x01000193 + c) % 2**32
+            out[((h * 0x9E3779B1 + n * 0x85EBCA6B) % 2**32) >> (32 - language_id.BUCKET_BITS)] += 1
+    return out
+
+
+def test_language_against_brute_force(spark):
+    """Features, TF-IDF, logits and calibrated probabilities of the query's model, text by text."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    model = language_id.train(docs)
+    counts = {r["doc_id"]: grams_by_hand(r["text"]) for r in docs.collect()}
+    df = Counter(b for c in counts.values() for b in c)
+    idf = {b: math.log((1 + len(counts)) / (1 + n)) + 1 for b, n in df.items()}
+    assert all(model.idf[b] == pytest.approx(v) for b, v in idf.items())
+    for r in language_id.identify(docs, model).collect():
+        x = {b: (1 + math.log(n)) * idf[b] for b, n in counts[r["doc_id"]].items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        logits = [(sum(float(model.weights[b, k]) * v for b, v in x.items()) / norm + model.bias[k]) / model.temperature for k in range(len(model.classes))]
+        p = np.exp(np.array(logits) - max(logits))
+        assert (r["predicted_lang"], r["probability"]) == (model.classes[int(p.argmax())], pytest.approx(float(p.max() / p.sum()), abs=1e-4))
+
+
+def test_ftrl_against_brute_force():
+    """The vectorised fit against one coordinate at a time."""
+    r = np.random.default_rng(1)
+    rows = [(np.sort(r.choice(50, 5, replace=False)), r.random(5)) for _ in range(36)]
+    y = r.integers(0, 3, 36)
+    model = language_id.fit(rows, y, list("abc"), np.ones(language_id.BUCKETS), epochs=2, batch=4)
+    l1, l2, z, n, bias, seen = 2e-2, 1e-4, Counter(), Counter(), [0.0] * 3, [1.0] * 3
+    weight = lambda j: 0.0 if abs(z[j]) <= l1 else -(z[j] - math.copysign(l1, z[j])) / (1 + math.sqrt(n[j]) + l2)
+    rng = np.random.default_rng(0)
+    learn = np.array([i for i in range(36) if i % 10 != 9])
+    for _ in range(2):
+        order = rng.permutation(learn)
+        for lo in range(0, len(order), 4):
+            g, gb = Counter(), [0.0] * 3
+            for i in order[lo : lo + 4]:
+                logit = np.array([sum(weight((b, k)) * v for b, v in zip(*rows[i])) + bias[k] for k in range(3)])
+                p = np.exp(logit - logit.max()) / np.exp(logit - logit.max()).sum()
+                p[y[i]] -= 1
+                for k in range(3):
+                    gb[k] += p[k]
+                    for b, v in zip(*rows[i]):
+                        g[b, k] += v * p[k]
+            now = {j: weight(j) for j in g}
+            for j in g:
+                z[j] += g[j] - (math.sqrt(n[j] + g[j] ** 2) - math.sqrt(n[j])) * now[j]
+                n[j] += g[j] ** 2
+            for k in range(3):
+                seen[k] += gb[k] ** 2
+                bias[k] -= 0.1 * gb[k] / math.sqrt(seen[k])
+    assert all(model.weights[b, k] == pytest.approx(weight((b, k)), abs=1e-5) for b in range(50) for k in range(3))
+    assert model.bias == pytest.approx(bias)
+
+
+def test_capitals_of_all_scripts():
+    import pyarrow as pa
+
+    for low in ("straße ælf", "αβγδ λόγοι", "привет мир", "արև"):
+        a, b = (next(language_id.char_grams(pa.array([t]))) for t in (low, "".join(c.upper() if len(c.upper()) == 1 else c for c in low)))
+        assert (a[3] == b[3]).all() and (a[4] == b[4]).all()
+
+
+@pytest.mark.parametrize("module", [language_id, quality_fm])
+def test_repeats_keep_to_the_bound_of_the_sample(spark, monkeypatch, module):
+    """A row that is repeated many times is one row of the training sample."""
+    seen, fit = [], module.fit
+    monkeypatch.setattr(module, "fit", lambda rows, *more: seen.append(len(rows)) or fit(rows, *more))
+    docs = spark.createDataFrame([(i, f"text number {i}", "en") for i in range(30)], "doc_id bigint, text string, lang string")
+    docs = docs.unionByName(docs.where("doc_id < 10").crossJoin(spark.range(50).select()))
+    if module is language_id:
+        language_id.train(docs, 20)
+    else:
+        quality_fm.train(docs, docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic")), 20)
+    assert len(seen) == 1 and 0 < seen[0] <= 20
+
+
 def test_language_odd(spark):
     docs = odd(spark)
     got = {r["doc_id"]: r for r in language_id.identify(docs, language_id.train(docs)).collect()}
@@ -160,6 +243,37 @@ def test_linear_time_score_equals_all_pairs():
         assert got[head] == pytest.approx(want, rel=1e-4)
 
 
+def test_one_step_of_the_fit_against_numeric_gradients():
+    """After one batch each touched weight has moved by AdaGrad along the gradient of the mean loss."""
+    r = np.random.default_rng(4)
+    rows = [(np.sort(r.choice(40, 6, replace=False)).astype("<u4"), r.random(6).astype("<f4"), r.standard_normal(quality_fm._STATS).astype("<f4"), np.array([k % 3])) for k in range(20)]
+    y = np.stack([np.arange(20) % 2, np.arange(20) % 5 == 0], axis=1).astype(np.float32)
+    size = quality_fm.WORD_BUCKETS + quality_fm._STATS + quality_fm.META_BUCKETS
+    table = np.random.default_rng(0).standard_normal((size, 6)) * 0.05
+    table[:, [0, 3]] = 0
+    stats = np.array([x[2] for x in rows])
+    start = quality_fm.Model(np.log(y.mean(0) / (1 - y.mean(0))), table.astype(np.float32).astype(float), stats.mean(0), stats.std(0) + 1e-6)
+
+    def loss(model):
+        out = 0.0
+        for x, label in zip(rows, y):
+            p = 1 / (1 + np.exp(-quality_fm.score(model, np.zeros(6, np.int64), x[0].astype(np.int64), x[1], x[2][None, :], x[3][None, :])[0]))
+            for head, w in ((0, 1.0), (1, 3.0 if label[1] else 1.0)):
+                out -= w * math.log(p[head] if label[head] else 1 - p[head])
+        return out / len(rows)
+
+    got = quality_fm.fit(rows, y, factors=2, epochs=1, rate=0.3, l2=0.0, l1=0.0).table
+    for at in (int(rows[0][0][0]), int(rows[3][0][2]), quality_fm.WORD_BUCKETS + 4, quality_fm.WORD_BUCKETS + quality_fm._STATS + 1):
+        for column in range(6):
+            save, slope = start.table[at, column], 0.0
+            for sign in (1, -1):
+                start.table[at, column] = save + sign * 1e-2
+                slope += sign * loss(start) / 2e-2
+            start.table[at, column] = save
+            # Scores are in single precision, so slopes are rough.
+            assert got[at, column] == pytest.approx(save - 0.3 * slope / math.sqrt(1e-2 + slope**2), abs=0.02)
+
+
 def test_quality_odd(spark):
     docs = odd(spark)
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, None), (2, 1, 0), (None, 1, 1), (6, None, 0), (99, 1, 0)], "doc_id bigint, quality int, toxic int")
