@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from prismora.llm import jaccard_join, line_dedup, packing, quality_fm, source_mixing
+from prismora.llm._names import fresh
 from prismora.llm._shared import written
 
 
@@ -24,22 +25,43 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that occurred earlier in the corpus go, and documents of which nothing is left."""
+    """Lines that occurred earlier in the corpus go, and documents of which nothing is left.
+
+    Documents with null or empty text stay, as do blank lines; a null id is an
+    id; of rows that repeat id and text one stays; an empty table stays empty.
+    """
     return line_dedup.drop_repeated_lines(docs)
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that of the least id."""
+    """One document of each group of near copies stays, that of the least id.
+
+    Documents with a null id, or with null or empty text, stay; of rows that
+    repeat id and text one stays; rows of one id with different texts are
+    different documents; an empty table stays empty.
+    """
     return jaccard_join.drop_near_copies(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture of sources asks; rows without tokens go."""
-    return source_mixing.mix(docs)
+    """Each document as often as the mixture of sources asks, weighted by the quality model; rows without tokens go.
+
+    The model is that of the first stage, fitted on the documents of sf_dir.
+    Null ids, sources and languages are values like others, rows that repeat
+    are sampled as rows, and an empty table stays empty.
+    """
+    model = quality_fm.train(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    name = fresh(docs, "mix_weight")
+    weighted = written(quality_fm.with_quality(docs, model, name), "mix-weights")  # scored once, read twice
+    return source_mixing.mix(weighted, weight_col=name).drop(name)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document lies in the training sequences."""
+    """Where each piece of each document lies in the training sequences.
+
+    Null, empty and white texts get a row without a bin; rows and ids that
+    repeat are packed as often as they occur; an empty table gives no rows.
+    """
     return packing.pack(docs)
 
 
