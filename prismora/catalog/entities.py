@@ -259,11 +259,11 @@ QUERIES = {
     "f12_excluded": (f12, "select c_custkey, case when c_custkey in (select o_custkey from orders) then 'indexed' else 'never' end as reason from customer where c_custkey in (select o_custkey from orders) or c_custkey in (select user_id from events where event_type = 'error')"),
     "f14_usable_names": (f14, "select c_custkey from customer where c_custkey % 5 > 1"), "f17_hygiene": (f17, "select page_id, case when page_id % 7 <> 0 then url end as url from pages where page_id % 9 <> 0"),
     "k1_candidates": (k1, "select o_custkey as c_custkey, count(*) as n from orders where o_custkey in (select o_custkey from orders where o_orderstatus = 'O') and o_custkey % 6 <> 0 group by 1"),
-    "k2_tiered": (k2, "select doc_id, n_chars, case when quality = 1 and text <> '' then 'full_text' when toxic = 1 then 'abstract_context' else 'metadata_only' end as tier from documents join labels using (doc_id) order by n_chars desc, doc_id limit 100"),
+    "k2_tiered": (k2, "select doc_id, n_chars, case when quality = 1 and text <> '' then 'full_text' when toxic = 1 then 'abstract_context' else 'metadata_only' end as tier from documents join labels using (doc_id)"),
     "k4_reasons": (k4, "select case when c_acctbal < 0 then 'negative' when c_mktsegment = 'BUILDING' then 'segment' when c_custkey % 2 = 0 then 'even' else 'kept' end as reason, count(*) as n from customer group by 1"),
     "k5_lane": (k5, "select doc_id, chr(65 + ('0x' || sha1(doc_id::varchar)[40:40])::int % 4) as slice from documents where n_chars > 500 and doc_id not in (select doc_id from labels)"),
     "k7_copies": (k7, K7_SQL), "k8_roles": (k8, "with a as (select distinct o_custkey k from orders), b as (select distinct user_id k from events) select coalesce(a.k, b.k) as k, concat_ws(',', case when a.k is not null then 'buyer' end, case when b.k is not null then 'visitor' end) as roles from a full join b on a.k = b.k"),
-    "k9_repo_authors": (k9, "select l_partkey, array_to_string(list_sort(list(distinct s_name))[1:3], ';') as authors, count(distinct n_name) as affiliations from lineitem join supplier on l_suppkey = s_suppkey left join nation on s_nationkey = n_nationkey group by 1"),
+    "k9_repo_authors": (k9, "select l_partkey, array_to_string(list_sort(list(distinct s_name)), ';') as authors, count(distinct n_name) as affiliations from lineitem join supplier on l_suppkey = s_suppkey left join nation on s_nationkey = n_nationkey group by 1"),
     "k10_routes": (k10, "select doc_id::varchar as id, 'scholarly' as route, source as author from documents union all select event_id::varchar, 'repository', user_id::varchar from events where event_type = 'signup' union all select page_id::varchar, 'web', regexp_extract(url, '//([^/]+)/', 1) from pages"),
     "k12_drift": (k12, sql("select id, 'old' as stored, array_to_string(aff_type, ',') as now from c where i % 20 = 0")),
     "o13_top_n": (o13, "select o_orderkey from orders order by o_totalprice desc, o_orderkey limit 25"),
