@@ -185,14 +185,14 @@ def _postings(spark, d):
 
 def a8(spark, d):
     p = _postings(spark, d)
-    return p.select("field", "token", F.array_join("ids", ",").alias("ids"))
+    return p.select("field", "token", "block", F.array_join("ids", ",").alias("ids"))
 
 
 def m6(spark, d):
     p = _postings(spark, d).where(F.size("ids") < 200)
     gaps = p.withColumn("gaps", derive.delta_encode(F.col("ids")))
     back = gaps.withColumn("same", F.to_json(derive.delta_decode(F.col("gaps"))) == F.to_json("ids"))
-    return back.select("field", "token", F.array_join("gaps", ",").alias("gaps"), "same")
+    return back.select("field", "token", "block", F.array_join("gaps", ",").alias("gaps"), "same")
 
 
 def q2(spark, d):
@@ -264,8 +264,8 @@ QUERIES = {
     "o6_page": (o6, sql(f"select id from (select * from c where importance >= 1 order by {ORDER['importance']} limit 200)")),
     "o14_frequency_sample": (o14, sql("select value, n, third from (select *, row_number() over (partition by third order by n desc, value) rn from (select *, ['high', 'mid', 'low'][ntile(3) over (order by n desc, value)] as third from (select v as value, count(*) as n from (select unnest(list_distinct(use_case)) v from c) group by v))) where rn <= 3")),
     "q12_headings": (q12, sql("select id, upper(h[1:1]) || h[2:] as heading from (select id, unnest(case when list_contains(use_case, '__none__') then ['Other'] else use_case end) h from c)")),
-    "a8_postings": (a8, f"with {_DOC_SQL} select field, token, string_agg(i::varchar, ',' order by i) as ids from tok where token <> '' group by all"),
-    "m6_delta": (m6, f"with {_DOC_SQL}, g as (select field, token, i - coalesce(lag(i) over (partition by field, token order by i), 0) as gap, i from tok where token <> '') select field, token, string_agg(gap::varchar, ',' order by i) as gaps, true as same from g group by all having count(*) < 200"),
+    "a8_postings": (a8, f"with {_DOC_SQL} select field, token, i // 65536 as block, string_agg(i::varchar, ',' order by i) as ids from tok where token <> '' group by field, token, i // 65536"),
+    "m6_delta": (m6, f"with {_DOC_SQL}, g as (select field, token, i // 65536 as block, i - coalesce(lag(i) over (partition by field, token, i // 65536 order by i), 0) as gap, i from tok where token <> '') select field, token, block, string_agg(gap::varchar, ',' order by i) as gaps, true as same from g group by field, token, block having count(*) < 200"),
     "q2_exact": (q2, f"with {_DOC_SQL} select distinct i from tok where token = 'the'"), "q3_prefix": (q3, f"with {_DOC_SQL} select distinct i from tok where token like 'tion%'"),
     "q5_candidates": (q5, f"with {_DOC_SQL} select i from tok where token in ('the', 'and') or token like 'tio%' group by i having count(distinct case when token in ('the', 'and') then token else 'tio' end) = 3"),
     "q6_multi_index": (q6, f"with {_DOC_SQL} select i from tok where token = 'src1' or token like 'the%' group by i having bool_or(token = 'src1') and bool_or(token like 'the%')"),

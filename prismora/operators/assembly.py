@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..cluster import written
 from ..functions.text import dedupe_key, norm_title, norm_url, url_key
 from .graph import connected
 
@@ -214,25 +215,34 @@ def index_order(kind: str = "kind", year: str = "year", title: str = "title", se
 def ordinals(df: DataFrame, name: str = "i") -> DataFrame:
     """Dense positions from 0 in the order that df is sorted by: counts of range partitions, no single-task window.
 
-    df must be the outcome of orderBy.
+    df must be the outcome of orderBy.  The sorted rows are written once, each
+    with its partition and place in it; counts and positions are made from
+    that table, as two runs of one plan may be cut into different partitions.
     """
-    tagged = df.withColumn("_id", F.monotonically_increasing_id())
-    part = F.shiftright("_id", 33)
-    sizes = sorted(map(tuple, tagged.groupBy(part.alias("p")).count().collect()))
+    tagged = written(df.withColumn("_id", F.monotonically_increasing_id()), "ordinals").withColumn("_part", F.shiftright("_id", 33))
     at, starts = 0, []
-    for p, n in sizes:
-        starts += [F.lit(p), F.lit(at)]
+    for p, n in sorted(map(tuple, tagged.groupBy("_part").count().collect())):  # a row a partition
+        starts.append((p, at))
         at += n
-    if not starts:
-        return df.withColumn(name, F.lit(None).cast("bigint"))
-    first = F.element_at(F.create_map(*starts), part)
-    return tagged.withColumn(name, (first + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).cast("bigint")).drop("_id")
+    first = df.sparkSession.createDataFrame(starts, "_part bigint, _first bigint")
+    place = (F.col("_first") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).cast("bigint")
+    return tagged.join(first, "_part").select(*[F.col(f"`{c}`") for c in df.columns], place.alias(name))
 
 
-def content_hash(df: DataFrame, order: list[str]) -> DataFrame:
-    """One SHA-256 over the row hashes in order."""
+def content_hash(df: DataFrame, order: list[str], leaf: int = 4096) -> DataFrame:
+    """One SHA-256 over the row hashes in order.
+
+    Beyond `leaf` rows it is a tree: rows fall into buckets by a hash of their
+    order key, each bucket is hashed in order, and the buckets' hashes in turn,
+    about `leaf` at a time; what it gives depends on the rows alone.
+    """
     rows = df.select(F.struct(*order).alias("o"), F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256).alias("h"))
-    return rows.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "h"))), lambda x: x["h"]), ""), 256).alias("data_hash"))
+    joined = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "h"))), lambda x: x["h"]), ""), 256)
+    buckets, key = -(-df.count() // leaf), F.xxhash64("o")
+    while buckets > 1:
+        rows = rows.groupBy(F.pmod(key, F.lit(buckets)).alias("o")).agg(joined.alias("h"))
+        buckets, key = (-(-buckets // leaf) if buckets > leaf else 1), F.col("o")
+    return rows.agg(joined.alias("data_hash"))
 
 
 def parsed_fields(text: str) -> dict[str, str]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..cluster import written
 from ..functions.text import comparison_key, norm_title, person_name, sequence_ratio, tokenize, word_jaccard, word_overlap
 
 
@@ -126,12 +127,24 @@ def same_work(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def containment(items: DataFrame, item_id: str, item_text: str, docs: DataFrame, doc_id: str, doc_text: str, least: float) -> DataFrame:
-    """Pairs where a document holds at least that share of an item's distinct words, by an equi-join on words."""
-    word = lambda df, i, t, n: df.select(F.col(i), F.explode(F.array_distinct(tokenize(F.lower(F.col(t))))).alias("w")).alias(n)
-    a, b = word(items, item_id, item_text, "a"), word(docs, doc_id, doc_text, "b")
-    size = a.groupBy(item_id).agg(F.count("*").alias("size"))
-    shared = a.join(b, "w").groupBy(item_id, doc_id).agg(F.count("*").alias("shared"))
-    return shared.join(size, item_id).select(item_id, doc_id, "shared", (F.col("shared") / F.col("size")).alias("share")).where(F.col("share") >= least)
+    """Pairs where a document holds at least that share of an item's distinct words.
+
+    A document that holds it has one of the item's (1 - least) n + 1 rarest
+    words, so common words bring nothing together: candidates come from an
+    equi-join on these, and their shared words are counted exactly.  Words that
+    no item has are dropped before they are shuffled.
+    """
+    word = lambda df, i, t: df.select(F.col(i), F.explode(F.array_distinct(tokenize(F.lower(F.col(t))))).alias("w"))
+    a = word(items, item_id, item_text).distinct()
+    b = written(word(docs, doc_id, doc_text).join(a.select("w").distinct(), "w", "left_semi"), "item-words")
+    df = b.groupBy("w").agg(F.count("*").alias("df"))
+    order = F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "w")))
+    sized = a.join(df, "w", "left").groupBy(item_id).agg(order.getField("w").alias("ws"))
+    prefix = F.size("ws") - F.ceil(F.size("ws") * F.lit(least) - 1e-9).cast("int") + 1
+    rare = sized.select(item_id, F.explode(F.slice("ws", F.lit(1), F.least(prefix, F.size("ws")))).alias("w"))
+    found = rare.join(b, "w").select(item_id, doc_id).distinct()
+    shared = found.join(a, item_id).join(b, [doc_id, "w"]).groupBy(item_id, doc_id).agg(F.count_distinct("w").alias("shared"))
+    return shared.join(sized.select(item_id, F.size("ws").alias("size")), item_id).select(item_id, doc_id, "shared", (F.col("shared") / F.col("size")).alias("share")).where(F.col("share") >= least)
 
 
 def cascade(left: DataFrame, steps: list[tuple[str, DataFrame, list[str]]], value: str) -> DataFrame:

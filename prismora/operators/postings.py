@@ -10,19 +10,27 @@ from pyspark.sql import functions as F
 from ..functions.text import fold, fold_text, tokenize
 
 
+#: Ordinals that one row of a token spans.
+BLOCK = 1 << 16
+
+
 def build_postings(records: DataFrame, ordinal: str, fields: dict[str, Column]) -> DataFrame:
-    """(field, token, ids): for each token of each field the rising distinct ordinals of its records."""
+    """(field, token, block, ids): for each token of each field the rising distinct ordinals of its records.
+
+    The ordinals are cut into blocks of BLOCK, a row each, so a common token
+    doesn't gather the whole corpus in one row.
+    """
     each = None
     for name, text in fields.items():
         rows = records.select(F.lit(name).alias("field"), F.col(ordinal).alias("i"), F.explode(F.array_distinct(tokenize(fold(text)))).alias("token"))
         each = rows if each is None else each.unionByName(rows)
-    return each.groupBy("field", "token").agg(F.array_sort(F.collect_set("i")).alias("ids"))
+    return each.groupBy("field", "token", F.floor(F.col("i") / BLOCK).alias("block")).agg(F.array_sort(F.collect_set("i")).alias("ids"))
 
 
 def write_postings(postings: DataFrame, path: str, partitions: int | None = None) -> None:
     """Sorted by token, so that a lookup or prefix reads the few row groups with it."""
     keyed = postings.repartitionByRange(partitions, "token") if partitions else postings.repartitionByRange("token")
-    keyed.sortWithinPartitions("token", "field").write.mode("overwrite").parquet(path)
+    keyed.sortWithinPartitions("token", "field", "block").write.mode("overwrite").parquet(path)
 
 
 def exact(postings: DataFrame, term: str) -> DataFrame:

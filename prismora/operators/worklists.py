@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import connected
+
 
 def excluded_with_reason(candidates: DataFrame, key: Column, lists: list[tuple[str, DataFrame, str]]) -> tuple[DataFrame, DataFrame]:
     """(kept, dropped with the first matching reason)."""
@@ -25,8 +27,11 @@ def unseen(candidates: DataFrame, keys: list[tuple[str, DataFrame, str]]) -> Dat
 
 
 def batches(df: DataFrame, size: int, *order: Column, name: str = "batch") -> DataFrame:
-    """Batch number from 1 by order.  The numbering is one sorted pass; worklists are of curation size."""
-    return df.withColumn(name, (F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / F.lit(size)) + 1).cast("int"))
+    """Batch number from 1 by order; rows are numbered range by range, not in one task."""
+    from .assembly import ordinals
+
+    at = ordinals(df.orderBy(*order), "_at")
+    return at.withColumn(name, (F.floor(F.col("_at") / F.lit(size)) + 1).cast("int")).drop("_at")
 
 
 def capped_list(items: Column, most: int, more: str = "et al.") -> Column:
@@ -41,11 +46,17 @@ def budget_prefix(df: DataFrame, group: list[str], order: list[Column], length:
 
 
 def frequency_sample(counts: DataFrame, value: str, n: str, each: int) -> DataFrame:
-    """The first `each` values of the upper, middle and lower third by frequency."""
-    w = Window.orderBy(F.col(n).desc(), F.col(value).asc())
-    third = counts.withColumn("third", F.ntile(3).over(w))
-    rank = F.row_number().over(Window.partitionBy("third").orderBy(F.col(n).desc(), F.col(value).asc()))
-    return third.withColumn("rn", rank).where(F.col("rn") <= each).drop("rn").withColumn("third", F.element_at(F.array(*map(F.lit, ("high", "mid", "low"))), F.col("third")))
+    """The first `each` values of the upper, middle and lower third by frequency; earlier thirds take what is over."""
+    from .assembly import ordinals
+
+    placed = ordinals(counts.orderBy(F.col(n).desc(), F.col(value).asc()), "_at")
+    total = placed.count()
+    low = total // 3 + (total % 3 > 0)
+    mid = low + total // 3 + (total % 3 > 1)
+    at = F.col("_at")
+    third = F.when(at < low, "high").when(at < mid, "mid").otherwise("low")
+    first = F.when(at < low, 0).when(at < mid, low).otherwise(mid)
+    return placed.where(at - first < each).withColumn("third", third).drop("_at")
 
 
 _STOP = frozenset("a an the of on in into to for from by at as and or with is are be via using toward towards based study approach novel new its their that this these over under between through data".split())
@@ -66,32 +77,46 @@ def _fit(slug: str, most: int) -> str:
     return (cut[:at] if at > 9 else cut).rstrip("-")
 
 
-def slugs(df: DataFrame, stem: str, year: str, order: list[str], taken: DataFrame, taken_col: str, most: int = 60, name: str = "slug") -> DataFrame:
-    """A free id for each row: the stem and year, with -2, -3, ... where it is taken.
+def slugs(df: DataFrame, stem: str, year: str, order: list[str], taken: DataFrame, taken_col: str, most: int = 60, name: str = "slug", alternative: str | None = None) -> DataFrame:
+    """A free id for each row: the stem and year, else the alternative stem where there is one, else numbered -2, -3, ...
 
-    Uniqueness depends on order, so rows that could compete (one stem) are
-    numbered in order; the others are independent of one another.  Rows whose
+    Uniqueness depends on order, so rows that could compete are numbered in
+    order, nulls first; the others are independent of one another.  Rows whose
     trimmed stems meet, or that meet a taken id, are in one group by the first
-    two words.
+    two words; where rows fall back on alternatives, groups that these connect
+    are one.
     """
-    head = F.array_join(F.slice(F.split(F.col(stem), "-"), 1, 2), "-")
-    rows = df.select(F.to_json(F.struct(*df.columns)).alias("row"), F.col(stem).alias("stem"), F.col(year).cast("string").alias("year"), F.struct(*order).cast("string").alias("o"), head.alias("head"))
-    used = taken.select(F.col(taken_col).alias("id"), F.array_join(F.slice(F.split(taken_col, "-"), 1, 2), "-").alias("head"))
+    head = lambda c: F.array_join(F.slice(F.split(c, "-"), 1, 2), "-")
+    names = [f"o{k}" for k in range(len(order))]
+    rows = df.select(
+        F.to_json(F.struct(*df.columns)).alias("row"), F.col(stem).alias("stem"), (F.col(alternative) if alternative else F.lit(None).cast("string")).alias("other"), F.col(year).cast("string").alias("year"),
+        *[F.col(c).alias(o) for c, o in zip(order, names)], head(F.col(stem)).alias("head"),
+    )
+    used = taken.select(F.col(taken_col).alias("id"), head(F.col(taken_col)).alias("head"))
+    if alternative:
+        # Only a stem that comes twice or is taken can need its alternative; what this meets is in its group.
+        edges = rows.select(F.xxhash64("head").alias("u"), F.xxhash64(head(F.col("other"))).alias("v")).where("u <> v").distinct()
+        roots = connected(edges).groupBy("node").agg(F.min("root").alias("root"))
+        grouped = lambda x: x.withColumn("node", F.xxhash64("head")).join(roots, "node", "left").withColumn("head", F.coalesce("root", "node").cast("string")).drop("node", "root")
+        rows, used = grouped(rows), grouped(used)
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         seen, out = set(right["id"]), []
-        for r in left.sort_values(["o", "row"]).itertuples():
+        for r in left.sort_values([*names, "row"], na_position="first").itertuples():
             tail = f"-{r.year}" if r.year else ""
             slug, k = _fit(r.stem, most - len(tail)) + tail, 2
+            if slug in seen and r.other:
+                slug = _fit(r.other, most - len(tail)) + tail
             while slug in seen:
                 mark = f"-{k}{tail}"
                 slug, k = _fit(r.stem, most - len(mark)) + mark, k + 1
             seen.add(slug)
             out.append((r.row, slug))
-        return pd.DataFrame(out, columns=["row", name])
+        return pd.DataFrame(out, columns=["row", "slug"])
 
-    got = rows.groupBy("head").cogroup(used.groupBy("head")).applyInPandas(run, f"row string, {name} string")
-    return got.select(F.from_json("row", df.schema).alias("r"), name).select("r.*", name)
+    got = rows.groupBy("head").cogroup(used.groupBy("head")).applyInPandas(run, "row string, slug string")
+    again = got.select(F.from_json("row", df.schema).alias("r"), "slug")
+    return again.select(*[F.col(f"r.`{c}`") for c in df.columns if c != name], F.col("slug").alias(name))
 
 
 def claims_backfill(claimed: DataFrame, found: DataFrame, key: str, values: str) -> DataFrame:

@@ -11,6 +11,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..cluster import written
 from ..functions.derive import NONE
 from ..functions.text import fold_text
 
@@ -81,14 +82,23 @@ def importance_floor(least: int, importance: str = "importance") -> Column:
 def popularity_threshold(corpus: DataFrame, percent: int, pop: str = "pop") -> DataFrame:
     """One row: the value at floor(n p / 100) of the whole corpus in rising order, -1 for p = 0.
 
-    It is found from the counts of distinct values: a range-partitioned sort of
-    these, not of the records, and no global window over them.
+    It is found from the counts of distinct values, sorted by range: sums of
+    the ranges tell which holds the place, running sums in that range the value.
     """
+    spark = corpus.sparkSession
     if percent <= 0:
-        return corpus.sparkSession.sql("SELECT CAST(-1 AS DOUBLE) AS threshold")
-    n = corpus.where(F.col(pop).isNotNull()).count()
+        return spark.sql("SELECT CAST(-1 AS DOUBLE) AS threshold")
+    values = corpus.where(F.col(pop).isNotNull()).groupBy(F.col(pop).cast("double").alias("threshold")).agg(F.count("*").alias("n"))
+    counts = written(values.orderBy("threshold").withColumn("part", F.spark_partition_id()), "popularity")
+    sums = sorted(map(tuple, counts.groupBy("part").agg(F.sum("n")).collect()))  # a row a range
+    n = sum(m for _, m in sums)
     rank = min(n * percent // 100, n - 1)
-    return corpus.where(F.col(pop).isNotNull()).select(F.col(pop).cast("double").alias("threshold")).orderBy("threshold").offset(max(rank, 0)).limit(1)
+    for part, m in sums:
+        if rank < m:
+            running = F.sum("n").over(Window.partitionBy("part").orderBy("threshold"))
+            return counts.where(F.col("part") == part).withColumn("running", running).where(F.col("running") > rank).agg(F.min("threshold").alias("threshold"))
+        rank -= m
+    return spark.createDataFrame([], "threshold double")
 
 
 def includes(values: Column, chosen) -> Column:

@@ -61,3 +61,37 @@ def test_ordinals_and_blank_keys(spark):
     assert [r["id"] for r in A.ordinals(df).orderBy("i").limit(2).collect()] == [99, 98]
     x = spark.createDataFrame([(1, ""), (2, ""), (3, None), (4, "k"), (5, "k")], "i int, k string")
     assert sorted(r["i"] for r in A.first_per_key(x, F.col("k"), F.col("i")).collect()) == [1, 2, 3, 4]
+
+
+def test_ordinals_of_many_wide_rows(spark):
+    """Every row has one place, though counts need fewer columns than rows have."""
+    wide = F.repeat(F.sha2(F.col("id").cast("string"), 512), 3)
+    df = spark.range(0, 600_000, 1, 12).select("id", F.xxhash64("id").alias("h"), wide.alias("text"), F.md5(wide).alias("more")).orderBy("h", "id")
+    got = A.ordinals(df, "pos")
+    assert got.agg(F.count("*"), F.count("pos"), F.count_distinct("pos"), F.min("pos"), F.max("pos")).first()[:] == (600_000, 600_000, 600_000, 0, 599_999)
+    pairs = [tuple(r) for r in got.where("pos between 299990 and 300010").select("pos", "h").orderBy("pos").collect()]
+    assert [p for p, _ in pairs] == list(range(299_990, 300_011)) and sorted(h for _, h in pairs) == [h for _, h in pairs]
+    assert got.where("pos = 0").first()["h"] == df.agg(F.min("h")).first()[0]
+    assert A.ordinals(df.where("false")).count() == 0
+
+
+def test_content_hash_is_a_tree(spark):
+    import hashlib
+
+    df = spark.range(1000).select("id", F.md5(F.col("id").cast("string")).alias("t"))
+    flat, tree = A.content_hash(df, ["id"]).first()[0], A.content_hash(df, ["id"], leaf=7).first()[0]
+    rows = [hashlib.sha256(f'{{"id":{i},"t":"{hashlib.md5(str(i).encode()).hexdigest()}"}}'.encode()).hexdigest() for i in range(1000)]
+    assert flat == hashlib.sha256("".join(rows).encode()).hexdigest() != tree
+    assert tree == A.content_hash(df.repartition(9), ["id"], leaf=7).first()[0] != A.content_hash(df.where("id <> 500"), ["id"], leaf=7).first()[0]
+    assert A.content_hash(df.where("false"), ["id"]).first()[0] == hashlib.sha256(b"").hexdigest()
+
+
+def test_batches_and_thirds_in_ranges(spark):
+    from prismora.operators import worklists as W
+
+    df = spark.range(1000).select(F.xxhash64("id").alias("k")).repartition(6)
+    keys = sorted(r["k"] for r in df.collect())
+    assert {r["k"]: r["batch"] for r in W.batches(df, 7, F.col("k")).collect()} == {k: i // 7 + 1 for i, k in enumerate(keys)}
+    counts = spark.createDataFrame([(f"v{i:02}", 100 - i) for i in range(11)], "v string, n int")
+    got = {r["v"]: r["third"] for r in W.frequency_sample(counts, "v", "n", 2).collect()}
+    assert got == {"v00": "high", "v01": "high", "v04": "mid", "v05": "mid", "v08": "low", "v09": "low"}

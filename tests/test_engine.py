@@ -91,3 +91,25 @@ def test_counts_take_one_scan_and_one_exchange(spark, tmp_path, corpus):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1
+
+
+@pytest.mark.parametrize("percent", [1, 33, 50, 99, 100])
+def test_threshold_from_counts_of_values(spark, percent):
+    """The plan has no top-k that grows with the corpus, and the value is that of the sorted list."""
+    df = spark.range(5000).select(F.when(F.col("id") % 7 != 0, (F.pmod(F.xxhash64("id"), F.lit(97)) / 97).cast("double")).alias("pop"))
+    got = E.popularity_threshold(df, percent)
+    values = sorted(r["pop"] for r in df.collect() if r["pop"] is not None)
+    assert [r["threshold"] for r in got.collect()] == [values[min(len(values) * percent // 100, len(values) - 1)]]
+    plan = got._jdf.queryExecution().toString()
+    assert "TakeOrdered" not in plan and "Limit" not in plan
+    assert E.popularity_threshold(df.where("false"), percent).count() == 0
+
+
+def test_postings_in_blocks(spark, monkeypatch):
+    """A token's ordinals lie in rows of bounded length; search doesn't notice."""
+    monkeypatch.setattr(P, "BLOCK", 10)
+    df = spark.range(95).select(F.col("id").alias("i"), F.concat(F.lit("common w"), (F.col("id") % 3).cast("string")).alias("t"))
+    index = P.build_postings(df, "i", {"text": F.col("t")})
+    assert index.agg(F.max(F.size("ids"))).first()[0] == 10 and index.where("token = 'common'").count() == 10
+    assert ids(P.search(index, "common w1 ")) == [i for i in range(95) if i % 3 == 1]
+    assert ids(P.exact(index, "common")) == list(range(95)) == ids(P.with_prefix(index, "com"))

@@ -56,3 +56,27 @@ def test_links_equal_all_pairs(spark):
     expected = by_hand(left, right)
     assert {how for _, how, _ in expected.values()} == {"exact", "prefix", "fuzzy"}
     assert linked(spark, left, right) == expected
+
+
+def test_twenty_words_with_the_rarest_missing(spark):
+    """Titles of 20 words at Jaccard 0.762: the words they share are not among the four rarest."""
+    own, common = [f"own{i}" for i in range(4)], [f"c{i}" for i in range(16)]
+    left, right = [(1, " ".join(own[:3] + common + ["x"]))], [(10, " ".join(common + ["x", "y", "z"][:1]))]
+    right += [(20 + i, " ".join(common[: i + 1])) for i in range(12)]
+    assert linked(spark, left, right) == by_hand(left, right) and by_hand(left, right)[1][1] == "fuzzy"
+
+
+def test_containment_equals_all_pairs(spark):
+    r = random.Random(11)
+    names = [f"n{i}" for i in range(60)]
+    text = lambda lo, hi: " ".join(r.choice(names[:20] if r.random() < 0.7 else names) for _ in range(r.randint(lo, hi)))
+    items, docs = [(i, text(1, 12)) for i in range(40)] + [(98, ""), (99, None)], [(i, text(0, 60)) for i in range(200)] + [(900, None)]
+    for least in (0.4, 0.7, 1.0):
+        want = {}
+        for i, a in items:
+            for k, b in docs:
+                x, y = {*(a or "").split()}, {*(b or "").split()}
+                if x and len(x & y) / len(x) >= least:
+                    want[i, k] = len(x & y)
+        a, b = spark.createDataFrame(items, "i int, a string"), spark.createDataFrame(docs, "k int, b string")
+        assert {(x["i"], x["k"]): x["shared"] for x in L.containment(a, "i", "a", b, "k", "b", least).collect()} == want
