@@ -21,7 +21,7 @@ def read_shards(spark: SparkSession, path: str, record_type: str = RECORD_TYPE)
     fields holds what each record itself has, as a map of texts, since a
     correction changes what it has and nothing else.
     """
-    whole = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     each = whole.select("file", F.posexplode(F.from_json("value", "array<string>")).alias("pos", "value"))
     fields = F.from_json("value", "map<string,string>")
     rows = each.select("file", "pos", F.from_json("value", record_type).alias("r"), fields.alias("fields"))
@@ -39,7 +39,7 @@ def optional_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_pool(spark: SparkSession, path: str, row_type: str, wrappers: tuple[str, ...] = ("repos", "entries", "records")) -> DataFrame:
     """Rows of a file that is an array, or an object with the array under one of the names."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     boxed = [F.from_json("value", f"struct<{w}:array<struct<{_ddl(row_type)}>>>")[w] for w in wrappers]
     plain = F.when(F.ltrim("value").startswith("["), F.from_json("value", f"array<struct<{_ddl(row_type)}>>"))
     return text.select(F.posexplode(F.coalesce(plain, *boxed)).alias("pos", "r")).select("pos", "r.*")
@@ -50,11 +50,49 @@ def _ddl(columns: str) -> str:
 
 
 def read_json_lines(spark: SparkSession, path: str, row_type: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, errors as file and text): blank lines and // comments are passed over, bad lines don't stop the rest."""
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.trim("value").alias("value")).where("value <> '' and not startswith(value, '//')")
-    parsed = lines.withColumn("r", F.from_json("value", f"{row_type}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    """(rows, errors as file, line from 1 and text): blank lines and // comments are passed over, bad lines don't stop the rest.
+
+    Rows are read line by line from splits; the errors read whole files, for the numbers of their lines.
+    """
+
+    def parsed(lines: DataFrame) -> DataFrame:
+        live = lines.withColumn("value", F.trim("value")).where("value <> '' and not startswith(value, '//')")
+        return live.withColumn("r", F.from_json("value", f"{row_type}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+
     names = [f.name for f in T._parse_datatype_string(row_type).fields]
-    return parsed.where("r._bad is null and r is not null").select(*[f"r.{n}" for n in names]), parsed.where("r._bad is not null or r is null").select("file", "value")
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("pos", "value"))
+    bad = parsed(whole.withColumn("line", F.col("pos") + 1)).where("r._bad is not null or r is null")
+    return parsed(spark.read.text(path)).where("r._bad is null and r is not null").select(*[f"r.{n}" for n in names]), bad.select("file", "line", "value")
+
+
+def read_archives(spark: SparkSession, path: str, most: int = 1 << 20) -> DataFrame:
+    """Files of gzipped tar archives: archive (its name without endings), file, text and error.
+
+    Only regular files of `most` bytes at most are read; links, absolute names
+    and names that lead out of the archive are passed over, and the folder
+    that all lie in is left out of their names.  An archive that can't be read
+    is one row with its error, and doesn't stop the rest.
+    """
+
+    def run(parts):
+        import io
+        import tarfile
+
+        import pandas as pd
+
+        for part in parts:
+            for name, content in zip(part["path"], part["content"]):
+                archive, out = name.rsplit("/", 1)[-1].split(".", 1)[0], []
+                try:
+                    with tarfile.open(fileobj=io.BytesIO(content)) as tar:
+                        for m in tar:
+                            if m.isfile() and m.size <= most and not m.name.startswith("/") and ".." not in m.name.split("/"):
+                                out.append((archive, m.name.split("/", 1)[-1], tar.extractfile(m).read().decode("utf-8", "replace"), None))
+                except (tarfile.TarError, EOFError, OSError) as e:
+                    out.append((archive, None, None, f"{type(e).__name__}: {e}"))
+                yield pd.DataFrame(out, columns=["archive", "file", "text", "error"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, file string, text string, error string")
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, arrays: tuple[str, ...] = (), separator: str = r"\|") -> DataFrame:
@@ -79,7 +117,7 @@ def write_projection(core: DataFrame, detail: DataFrame, postings: DataFrame, pa
     core.write.mode("overwrite").parquet(f"{path}/core")
     detail.repartition("b").write.mode("overwrite").partitionBy("b").parquet(f"{path}/detail")
     write_postings(postings, f"{path}/postings")
-    manifest = content_hash(core, ["id"]).crossJoin(core.agg(F.count("*").alias("records"))).crossJoin(postings.agg(F.count("*").alias("tokens"))).withColumn("schema_version", F.lit(version))
+    manifest = content_hash(core, ["id"]).crossJoin(core.agg(F.count("*").alias("records"))).crossJoin(postings.agg(F.count_distinct("field", "token").alias("tokens"))).withColumn("schema_version", F.lit(version))
     manifest.write.mode("overwrite").json(f"{path}/manifest")
 
 

@@ -22,6 +22,45 @@ def test_shards_keep_order_and_presence(spark, tmp_path):
     assert set(rows[2]["fields"]) == {"id", "override", "authors", "year"} and rows[2]["authors"] == [] and rows[1]["authors"] is None
 
 
+def test_files_of_many_lines(spark, tmp_path):
+    """Shards and pools are written with line breaks inside their arrays; errors in lines have their numbers."""
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "1.json").write_text(json.dumps([{"id": "a", "url": "u"}, {"id": "b"}], indent=1))
+    assert [(r["pos"], r["id"]) for r in files.read_shards(spark, str(tmp_path / "s")).orderBy("pos").collect()] == [(0, "a"), (1, "b")]
+    (tmp_path / "p.json").write_text(json.dumps({"entries": [{"a": 1}, {"a": 2}]}, indent=2))
+    assert [r["a"] for r in files.read_pool(spark, str(tmp_path / "p.json"), "a int").orderBy("pos").collect()] == [1, 2]
+    (tmp_path / "x.jsonl").write_text('// note\n\n{"a": 1}\n{"a": \n{"a": 3}\nno\n')
+    _, errors = files.read_json_lines(spark, str(tmp_path / "x.jsonl"), "a int")
+    assert [(r["file"][-7:], r["line"], r["value"]) for r in errors.orderBy("line").collect()] == [("x.jsonl", 4, '{"a":'), ("x.jsonl", 6, "no")]
+
+
+def test_archives(spark, tmp_path):
+    import io
+    import tarfile
+
+    from prismora.functions.text import pattern_hits
+
+    for name, members in (("own__one", {"one-main/src/a.py": b"import alpha\nx = 1\n", "one-main/README.md": "größe".encode(), "../evil.py": b"no", "/abs.py": b"no", "one-main/big.bin": b"z" * 5000, "one-main/raw.bin": b"\xff\xfe\x00"}), ("own__bad", None)):
+        with open(tmp_path / f"{name}.tar.gz", "wb") as f:
+            if members is None:
+                f.write(b"not an archive")
+                continue
+            with tarfile.open(fileobj=f, mode="w:gz") as tar:
+                for path, data in members.items():
+                    info = tarfile.TarInfo(path)
+                    info.size = len(data)
+                    tar.addfile(info, io.BytesIO(data))
+                link = tarfile.TarInfo("one-main/link")
+                link.type, link.linkname = tarfile.SYMTYPE, "/etc/passwd"
+                tar.addfile(link)
+    got = files.read_archives(spark, str(tmp_path / "*.tar.gz"), most=1000)
+    rows = {(r["archive"], r["file"]): (r["text"], r["error"]) for r in got.collect()}
+    assert rows["own__one", "src/a.py"] == ("import alpha\nx = 1\n", None) and rows["own__one", "README.md"][0] == "größe"
+    assert {f for a, f in rows if a == "own__one"} == {"src/a.py", "README.md", "raw.bin"} and rows["own__bad", None][1]
+    hits = got.where("text is not null").select("file", F.explode(pattern_hits(F.col("text"), {"alpha": r"\bimport alpha\b"})).alias("h"))
+    assert [(r["file"], r["h"]["line"]) for r in hits.collect()] == [("src/a.py", 1)]
+
+
 def test_pools_in_both_shapes(spark, tmp_path):
     for name, value in (("list", [{"a": 1}, {"a": 2}]), ("boxed", {"repos": [{"a": 1}, {"a": 2}]})):
         (tmp_path / f"{name}.json").write_text(json.dumps(value))
