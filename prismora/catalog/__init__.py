@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("facets", "derivations", "texts", "joins", "quality", "entities")
+MODULES = ("facets", "derivations", "texts", "joins", "quality", "entities", "curation")
 
 
 def entries() -> dict:

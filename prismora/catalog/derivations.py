@@ -26,7 +26,9 @@ def p3(spark, d):
 
 
 def p3n(spark, d):
-    return table(spark, d, "nation").select("n_name", D.region_of(F.col("n_name")).alias("region"))
+    k = F.col("n_nationkey")
+    country = F.when(k % 4 == 0, " The Netherlands").when(k % 4 == 1, "United States").when(k % 4 == 2, "JAPAN").otherwise(F.col("n_name"))
+    return table(spark, d, "nation").select("n_name", D.region_of(country).alias("region"))
 
 
 def p4(spark, d):
@@ -174,12 +176,12 @@ QUERIES = {
     "p1_organizations": (p1, sql("select id, array_to_string(affiliations, '|') as organizations from c")),
     "p2_affiliation_rows": (p2, sql("select id, pos::int as pos, orgs[pos + 1] as organization, case types[pos + 1] when 'academic' then 'academic' else 'non_academic' end as sector, countries[pos + 1] as country from (select id, orgs, types, countries, unnest(range(len(orgs))) as pos from derived)")),
     "p3_region_of": (p3, "select r_name, case lower(r_name) when 'africa' then 'africa_oceania' when 'america' then 'americas' when 'asia' then 'asia' when 'europe' then 'europe' else '' end as region from region"),
-    "p3_country_regions": (p3n, None),
+    "p3_country_regions": (p3n, "select n_name, case n_nationkey % 4 when 0 then 'europe' when 1 then 'americas' when 2 then 'asia' else '' end as region from nation"),
     "p4_aff_types": (p4, sql("select id, array_to_string(aff_type, ',') as aff_type from c")), "p5_aff_regions": (p5, sql("select id, array_to_string([x for x in case when len(aff_region) = 2 and regions[1] = aff_region[2] then list_reverse(aff_region) else aff_region end], ',') as aff_region from (select id, aff_region, regions from c join (select id, regions from derived) using (id))")),
     "p6_popularity": (p6, sql("select id, round(pop, 9) as pop from c")),
     "p7_bucket_slice_hashes": (p7, "select doc_id, lower(printf('%02x', ('0x' || sha256(k)[1:2])::int & 31)) as b, chr(65 + ('0x' || sha1(k)[40:40])::int % 4) as slice, sha256(k) as sha256, sha1(k) as sha1 from (select doc_id, 'doc-' || doc_id as k from documents)"),
     "p9_project": (p9, sql("select id, title, case when len(affiliations) > 0 then array_to_string(affiliations, ';') end as organizations, case when len(affiliations) > 0 then true end as ht, cited, importance from c")),
-    "p10_facet_vectors": (p10, None),
+    "p10_facet_vectors": (p10, sql("select id, " + ", ".join(f"array_to_string({f}, ',') as {f}" for f in ("kind", "year", "component", "industry", "affiliations", "aff_type")) + ", case when i % 11 <> 0 then replace(title, ' ', ',') else '__none__' end as use_case" + ", array_to_string(case when len(aff_region) = 2 and regions[1] = aff_region[2] then list_reverse(aff_region) else aff_region end, ',') as aff_region from (select c.*, regions from c join (select id, regions from derived) using (id))")),
     "p11_pool_works": (p11, "select page_id, case when page_id % 3 <> 0 then url else 'https://w.example/' || page_id end as url, case regexp_extract(url, '/(\\w\\w)/', 1) when 'de' then 'preprint' when 'fr' then 'thesis' else 'paper' end as kind, case when page_id % 4 = 0 then page_id else 0 end as cited, 'tail' as tier from pages"),
     "p12_pool_repos": (p12, "select event_id, case when event_type = 'purchase' then case when event_id % 2 = 0 then 'shop,core' else 'shop' end when event_type in ('view', 'click') or event_id % 2 = 0 then 'core' else '' end as component, year(ts)::int as year from events"),
     "p13_labels": (p13, "select distinct p_type, case when lower(p_type) = 'promo' then 'On offer' else upper(lower(p_type)[1:1]) || lower(p_type)[2:] end as label, 'Undated' as undated from part"),
@@ -195,6 +197,7 @@ QUERIES = {
     "x21_canon_country": (x21, "select n_nationkey, case n_nationkey % 3 when 1 then 'unknown' else case when lower(n_name) = 'nation_2' then 'Second' else n_name end end as country from nation"),
     "x22_spread_types": (x22, sql("select id, array_to_string(list_transform(types, lambda x: types[1]), ',') as types from derived")),
     "m2_year_prefix": (m2, "select o_orderkey, case when o_orderkey % 5 <> 0 then year(o_orderdate)::int end as year, case when o_orderkey % 5 = 0 then 'n.d.' else strftime(o_orderdate, '%Y-%m-%d') end as day from orders"),
-    "m4_array_functions": (m4, None),
+    "m4_array_functions": (m4, """with l as (select p_partkey, string_split(p_name, ' ') as w, string_split(p_name, '') as s from part), x as (select *, list_filter(s, lambda c, i: list_position(s, c) = i) as letters from l)
+select p_partkey, array_to_string(letters[1:3], '') as first, coalesce(list_position(letters, 'a'), 0)::bigint as a_at, '[' || array_to_string(['{"words":"' || w[i] || '","back":"' || w[len(w) + 1 - i] || '"}' for i in range(1, len(w) + 1)], ',') || ']' as zipped, list_contains(w, 'anvil') as anvil from x"""),
     "m7_reconstruct": (m7, "select doc_id, array_to_string(string_split_regex(text, '\\s+'), ' ') as text from documents where n_chars < 1500"),
 }

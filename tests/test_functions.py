@@ -1,5 +1,6 @@
 """Text and derivation functions on hand-made cases."""
 
+import json
 import math
 
 import pytest
@@ -84,3 +85,39 @@ def test_title_match(spark):
     assert m("one two three four five six seven", "One two three four five six") == "prefix"
     assert m("one two three four", "one two three five") is None
     assert m("", "x") is None
+
+
+def test_finalized_answers(spark):
+    from prismora.catalog.curation import RULES
+    from prismora.operators import curation as C
+
+    answer = '```json\n{"title": "T", "summary": "s", "authors": ["A", null], "importance": 3, "concept": [], "needs": "n", "other": 1}\n```'
+    df = spark.createDataFrame([(7, answer)], "k int, a string")
+    got = json.loads(df.select(C.finalized(F.col("a"), RULES, id=F.concat(F.lit("r-"), F.col("k").cast("string")), reviewed=F.lit(False), model=F.lit(None).cast("string"))).first()[0])
+    assert got == {"id": "r-7", "reviewed": False, "model": None, "title": "T", "summary": "s", "authors": ["A", None], "importance": 3, "concept": [], "needs": "n"}
+
+
+def test_slugs_against_the_loop(spark):
+    """Ids are given out one after another; order is that of the columns' types, nulls first."""
+    import re
+
+    from prismora.operators import worklists as W
+
+    rows = [(i if i % 13 else None, f"own{i % 7}/{'Tool' if i % 3 else 'a--tool!'}{i % 5 if i % 2 else ''}") for i in range(60)] + [(100, "a/tool"), (101, "x/a-tool"), (102, "own1/" + "very-long-" * 9), (103, "own2/" + "very-long-" * 9), (104, "z/!!")]
+    word = lambda s: re.sub("[^a-z0-9]+", "-", s.lower()).strip("-")
+    made = [(n, r, f"repo-{word(r.split('/')[1]) or 'repo'}", f"repo-{word(r.split('/')[0])}-{word(r.split('/')[1]) or 'repo'}") for n, r in rows]
+    taken = {"repo-tool1", "repo-own1-tool", "repo-a-tool-2"}
+    want, seen = {}, set(taken)
+    for n, r, stem, other in sorted(made, key=lambda x: (x[0] is not None, x[0] or 0, json.dumps({**({"n": x[0]} if x[0] is not None else {}), "r": x[1], "stem": x[2], "other": x[3], "year": ""}, separators=(",", ":")))):
+        slug, k = W._fit(stem, 60), 2
+        if slug in seen:
+            slug = W._fit(other, 60)
+        while slug in seen:
+            slug, k = W._fit(stem, 60 - len(f"-{k}")) + f"-{k}", k + 1
+        seen.add(slug)
+        want.setdefault((n, r), []).append(slug)
+    df = spark.createDataFrame([(*x, "") for x in made], "n int, r string, stem string, other string, year string")
+    got = {}
+    for x in W.slugs(df, "stem", "year", ["n"], spark.createDataFrame([(t,) for t in taken], "id string"), "id", alternative="other").collect():
+        got.setdefault((x["n"], x["r"]), []).append(x["slug"])
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
