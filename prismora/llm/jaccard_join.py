@@ -80,10 +80,16 @@ def _fragment_ends(postings: dict[int, int], fragments: int) -> np.ndarray:
     """
     classes = sorted(postings)
     total, done, out = sum(postings.values()), 0, []
-    df = np.arange(2, 1 << 24)
-    first = np.searchsorted(_df_class(df), [*classes, *(c + 1 for c in classes)]) + 2 if classes else []
-    for k, c in enumerate(classes):
-        lo, hi = int(first[k]), int(first[k + len(classes)])
+
+    def least(c: int) -> int:
+        """The least document frequency of a class."""
+        df = max(1, int(2 ** (c / 16)) - 1)
+        while _df_class(np.array([df]))[0] < c:
+            df += 1
+        return df
+
+    for c in classes:
+        lo, hi = least(c), least(c + 1)
         while len(out) < fragments - 1 and (done + postings[c]) * fragments >= total * (len(out) + 1):
             share = (total * (len(out) + 1) / fragments - done) / postings[c]
             out.append(int(lo + share * max(hi - lo, 1)) << 40 if hi - lo != 1 else (lo << 40) + int(share * (1 << 40)))
