@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,7 +27,32 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, what: str) -> str:
     """URI of a fresh folder in the shared one."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    to = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    for made in _made:
+        made.append(to)
+    return to
+
+
+_made: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is written into the shared folder inside goes at the end.
+
+    DataFrames read from it are of no use after that: write or collect the
+    result inside.  Without it intermediate tables stay, as a lazy result may
+    be read at any time.
+    """
+    made: list[str] = []
+    _made.append(made)
+    try:
+        yield
+    finally:
+        _made.remove(made)
+        path, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+        for to in made:
+            path(to).getFileSystem(conf).delete(path(to), True)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:

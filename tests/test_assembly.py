@@ -2,7 +2,6 @@
 
 import random
 
-import pandas as pd
 import pytest
 from prismora.operators import assembly as A
 from pyspark.sql import functions as F
@@ -11,8 +10,35 @@ TYPE = "seq bigint, id string, override boolean, fields map<string,string>"
 
 
 def by_hand(rows):
-    got = A._sequential(pd.DataFrame(rows, columns=["seq", "id", "override", "fields"]))
-    return sorted((r.seq, r.id, r.state, tuple(sorted(r.fields.items()))) for r in got.itertuples() if r.state != "applied")
+    """The log folded one row after another, as it is defined; nothing of the library takes part.
+
+    A base record takes its address if that is free, and is a duplicate
+    otherwise; corrections change the latest record of their id, and move it
+    to another address where they give one, which frees the old one.
+    """
+    records, at_address, latest, other = [], {}, {}, []
+    strip = lambda u: (u or "").rstrip("/")
+    for seq, id_, override, fields in sorted(rows):
+        fields = dict(fields)
+        if override and id_ not in latest:
+            other.append((seq, id_, "orphaned", fields))
+        elif override:
+            record = records[latest[id_]]
+            new = fields.get("url")
+            if new and new != record[2].get("url"):
+                at_address.pop(strip(record[2].get("url")), None)
+                at_address[strip(new)] = latest[id_]
+            record[2].update(fields)
+        elif fields.get("duplicate_of"):
+            other.append((seq, id_, "retired", fields))
+        elif strip(fields.get("url")) and strip(fields["url"]) in at_address:
+            other.append((seq, id_, "duplicate", fields))
+        else:
+            latest[id_] = len(records)
+            at_address[strip(fields.get("url"))] = len(records)
+            records.append((seq, id_, fields))
+    done = [(seq, id_, "retired" if fields.get("duplicate_of") else "kept", fields) for seq, id_, fields in records]
+    return sorted((seq, id_, state, tuple(sorted(fields.items()))) for seq, id_, state, fields in done + other)
 
 
 def folded(spark, rows):

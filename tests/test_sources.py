@@ -142,3 +142,19 @@ def test_streamed_log_folds_like_the_batch(spark, tmp_path):
     assert seen == [1, 3]
     log = spark.read.parquet(str(tmp_path / "log"))
     assert {(r["seq"], r["state"]) for r in A.fold_log(log).collect()} == {(1, "kept"), (2, "applied"), (3, "duplicate")}
+
+
+def test_scratch_leaves_nothing(spark):
+    from pathlib import Path
+
+    from prismora.cluster import scratch, shared_dir, written
+
+    local_folder = lambda s: Path(shared_dir(s).removeprefix("file://"))
+
+    before = set(local_folder(spark).iterdir())
+    with scratch(spark):
+        outer = written(spark.range(5), "outer")
+        with scratch(spark):
+            assert written(spark.range(7), "inner").count() == 7
+        assert outer.count() == 5 and len(set(local_folder(spark).iterdir()) - before) == 1
+    assert set(local_folder(spark).iterdir()) == before
