@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..cluster import new_folder
 from ..functions import derive as D
+from ..operators import constraints as V
 from ..operators import curation as C
 from ..sources import files
 from ..testbed import raw_corpus, table
@@ -285,6 +286,16 @@ def s5(spark, d):
     return rows.select("a", F.lit(None).cast("int").alias("line")).unionByName(errors.select(F.regexp_extract("value", r"(\d+)$", 1).cast("bigint").alias("a"), "line"))
 
 
+def v1(spark, d):
+    """Unreadable lines as violations, by file and line."""
+    folder = new_folder(spark, "lines")
+    e = F.col("event_id")
+    line = F.when(e % 100 == 7, F.concat(F.lit("bad "), e.cast("string"))).otherwise(F.concat(F.lit('{"a": '), e.cast("string"), F.lit("}")))
+    texts = table(spark, d, "events").agg(F.array_sort(F.collect_list(F.struct("event_id", line.alias("l")))).alias("x"))
+    texts.select(F.array_join(F.transform("x", lambda x: x["l"]), "\n")).write.text(folder)
+    return V.unreadable(files.read_json_lines(spark, f"{folder}/*.txt", "a bigint")[1]).select("check", F.split_part("id", F.lit(":"), F.lit(2)).alias("line"), "detail")
+
+
 def s18(spark, d):
     """The chosen one among a registry's answers."""
     k = F.col("n_nationkey")
@@ -305,5 +316,6 @@ QUERIES = {
     "q11_cards": (q11, Q11_SQL),
     "s1_shards": (s1, "select event_id, (row_number() over (partition by user_id % 3 order by event_id) - 1)::int as pos, event_id % 3 = 0 as override, 'https://x.example/' || event_id as url from events"),
     "s5_json_lines": (s5, "select event_id as a, case when event_id % 10 = 2 then row_number() over (partition by event_id % 2 order by event_id)::int end as line from events qualify event_id % 10 >= 2"),
+    "v1_unreadable": (v1, "select 'unreadable' as \"check\", (row_number() over (order by event_id))::varchar as line, 'bad ' || event_id as detail from events qualify event_id % 100 = 7"),
     "s18_registry_match": (s18, "select n_nationkey, case when n_nationkey % 5 = 0 then 'unmatched' else 'matched' end as status, case when n_nationkey % 5 <> 0 then case when n_nationkey % 2 = 0 then 'first' else n_name end end as name, case when n_nationkey % 5 <> 0 then 'https://r/' || n_nationkey end as id, case when n_nationkey % 5 <> 0 and n_nationkey % 3 = 0 then 'France' end as country, case when n_nationkey % 5 <> 0 then 'education' end as types from nation"),
 }

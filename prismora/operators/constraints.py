@@ -12,6 +12,11 @@ def _violations(df: DataFrame, check: str, id_: Column, detail: Column, where: C
     return df.where(where).select(F.lit(check).alias("check"), id_.cast("string").alias("id"), detail.cast("string").alias("detail"))
 
 
+def unreadable(errors: DataFrame) -> DataFrame:
+    """Lines that a source couldn't read (file, line, value), as 'file:line'."""
+    return _violations(errors, "unreadable", F.concat_ws(":", F.regexp_extract("file", r"([^/]+)$", 1), F.col("line").cast("string")), F.col("value"), F.lit(True))
+
+
 def required(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     """Missing required fields, one row each: a single pass, no union of scans."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}

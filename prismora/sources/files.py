@@ -136,10 +136,18 @@ def detail_of(detail: DataFrame, id_: str) -> DataFrame:
 
 
 def write_export(df: DataFrame, order: list, path: str) -> None:
-    """The legacy export: one JSON array, one space of indent, a final line feed; written whole or not at all."""
-    rows = [json.loads(r["j"]) for r in df.orderBy(*order).select(F.to_json(F.struct(*df.columns)).alias("j")).toLocalIterator()]
+    """The legacy export: one JSON array, one space of indent, a final line feed; written whole or not at all.
+
+    One file has one writer; it holds one partition of the sorted rows at a time.
+    """
     part = Path(f"{path}.part")
-    part.write_text(f"{json.dumps(rows, indent=1, ensure_ascii=False)}\n", "utf-8")
+    with part.open("w", encoding="utf-8") as out:
+        before = "["
+        for r in df.orderBy(*order).select(F.to_json(F.struct(*df.columns)).alias("j")).toLocalIterator():
+            out.write(f"{before}\n")
+            out.write("\n".join(f" {line}" for line in json.dumps(json.loads(r["j"]), indent=1, ensure_ascii=False).split("\n")))
+            before = ","
+        out.write("[]\n" if before == "[" else "\n]\n")
     part.replace(path)
 
 
@@ -150,7 +158,23 @@ def write_chunks(df: DataFrame, key: str, path: str, size: int = 120, first: int
     batches(df, size, F.col(key), name="chunk").withColumn("chunk", F.col("chunk") + (first - 1)).write.mode("errorifexists").partitionBy("chunk").json(path)
 
 
-def read_sheet(path: str) -> list[dict[str, str]]:
+def read_sheets(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of the first sheets of workbooks: file, pos and the cells by header, read on the executors."""
+
+    def run(parts):
+        import io
+
+        import pandas as pd
+
+        for part in parts:
+            for name, content in zip(part["path"], part["content"]):
+                rows = read_sheet(io.BytesIO(content))
+                yield pd.DataFrame({"file": name.rsplit("/", 1)[-1], "pos": range(len(rows)), "cells": rows}, columns=["file", "pos", "cells"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, pos int, cells map<string,string>")
+
+
+def read_sheet(path) -> list[dict[str, str]]:
     """Rows of the first sheet of a workbook, by its header row."""
     with zipfile.ZipFile(path) as z:
         shared = []

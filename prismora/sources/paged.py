@@ -88,6 +88,20 @@ def first_route(routes: list[tuple[str, Callable[[str], str | None]]], key: str,
     return None, None, log
 
 
+def routed(df: DataFrame, key: str, routes: list[tuple[str, Callable[[str], str | None]]], least: int = 2000) -> DataFrame:
+    """df with route, text and log: what the first route with a long enough text gives for each row's key, fetched on the executors."""
+    names = df.columns
+
+    def run(parts: Iterator) -> Iterator:
+        import pandas as pd
+
+        for part in parts:
+            got = [first_route(routes, k, least) if k is not None else (None, None, []) for k in part[key]]
+            yield pd.concat([part.reset_index(drop=True), pd.DataFrame(got, columns=["route", "text", "log"])], axis=1)
+
+    return df.mapInPandas(run, ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names), "route string, text string, log array<string>"]))
+
+
 def todo(candidates: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """What a resumable fetch has still to do."""
     return candidates.join(done.select(key).distinct(), key, "left_anti")

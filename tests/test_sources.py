@@ -103,12 +103,21 @@ def test_export_and_chunks(spark, tmp_path):
         files.write_chunks(df, "id", str(tmp_path / "chunks"))
 
 
-def test_sheet(tmp_path):
+def test_export_of_many_rows_and_none(spark, tmp_path):
+    df = spark.range(300).select("id", F.array(F.col("id"), F.lit(1)).alias("x"), F.struct(F.lit("a\nb").alias("t")).alias("s")).repartition(5)
+    files.write_export(df, ["id"], str(tmp_path / "e.json"))
+    assert (tmp_path / "e.json").read_text() == json.dumps([{"id": i, "x": [i, 1], "s": {"t": "a\nb"}} for i in range(300)], indent=1) + "\n"
+    files.write_export(df.where("false"), ["id"], str(tmp_path / "n.json"))
+    assert json.loads((tmp_path / "n.json").read_text()) == []
+
+
+def test_sheet(spark, tmp_path):
     ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     with zipfile.ZipFile(tmp_path / "s.xlsx", "w") as z:
         z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>name</t></si><si><r><t>A</t></r><r><t>da</t></r></si></sst>")
         z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="B1" t="inlineStr"><is><t>n</t></is></c></row><row><c r="A2" t="s"><v>1</v></c><c r="B2"><v>3</v></c></row></sheetData></worksheet>')
     assert files.read_sheet(str(tmp_path / "s.xlsx")) == [{"name": "Ada", "n": "3"}]
+    assert [tuple(r) for r in files.read_sheets(spark, str(tmp_path / "*.xlsx")).collect()] == [("s.xlsx", 0, {"name": "Ada", "n": "3"})]
 
 
 def test_paged_source(spark):
@@ -128,6 +137,9 @@ def test_planning_helpers(spark):
     assert all(count(a, b) <= 10 for a, b in ranges) and sorted(s for a, b in ranges for s in range(a, b + 1) if s < 100) == sizes
     name, text, log = paged.first_route([("a", lambda k: None), ("b", lambda k: 1 / 0), ("c", lambda k: "x" * 9)], "k", 5)
     assert (name, text) == ("c", "x" * 9) and log == ["a: 0 characters", "b: ZeroDivisionError", "c: ok"]
+    rows = spark.createDataFrame([(1, "k"), (2, None)], "i int, key string")
+    got = {r["i"]: (r["route"], r["text"], r["log"]) for r in paged.routed(rows, "key", [("a", lambda k: None), ("b", lambda k: 1 / 0), ("c", lambda k: k * 9)], 5).collect()}
+    assert got == {1: ("c", "k" * 9, ["a: 0 characters", "b: ZeroDivisionError", "c: ok"]), 2: (None, None, [])}
     left = paged.todo(spark.range(5), spark.range(3), "id")
     assert sorted(r["id"] for r in left.collect()) == [3, 4]
 
