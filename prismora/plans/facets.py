@@ -6,9 +6,10 @@ import json
 import math
 from collections import OrderedDict
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..cluster import written
@@ -244,6 +245,12 @@ def group_plan(results: DataFrame, visible: DataFrame, group: str, label) -> Dat
 # == engine
 
 
+def together(*frames: DataFrame) -> list[list[Row]]:
+    """The rows of several results, planned and run at one time."""
+    with ThreadPoolExecutor(len(frames)) as pool:
+        return list(pool.map(lambda df: df.collect(), frames))
+
+
 @dataclass
 class Snapshot:
     """Lazy parts of a query's answer."""
@@ -265,6 +272,11 @@ class Snapshot:
     def groups(self, label) -> DataFrame:
         return group_plan(self.results, self.page(), self.query.group, label)
 
+    def answer(self, label, *columns: str) -> tuple[list[Row], list[Row]]:
+        """(counts, page), or (counts, groups) where the query groups, as one interaction shows them; columns of the page."""
+        shown = self.groups(label) if self.query.group != "none" else self.page().select(*columns) if columns else self.page()
+        return tuple(together(self.counts, shown))
+
 
 class FacetEngine:
     """Queries over a corpus of normalised records (array columns for facets; i, title, folded_title, importance, pop, year_n).

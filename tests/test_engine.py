@@ -56,6 +56,15 @@ def test_search(engine, text, want):
     assert ids(engine.snapshot(E.FacetQuery(text=text, min_importance=0)).results) == want
 
 
+def test_answers_of_an_interaction(engine):
+    q = E.FacetQuery(min_importance=0, sort="title")
+    counts, rows = engine.snapshot(q).answer(derive.label_for, "i", "title")
+    assert [r["i"] for r in rows] == [0, 1, 3, 2] and rows[0].asDict().keys() == {"i", "title"}
+    assert {(r["facet"], r["value"]): r["n"] for r in counts}["kind", "repo"] == 2
+    _, groups = engine.snapshot(q.changed(group="kind")).answer(derive.label_for)
+    assert {r["heading"]: (r["total"], r["shown"]) for r in groups} == {"Paper": (2, 2), "Repo": (2, 2)}
+
+
 def test_scopes(engine):
     assert ids(engine.snapshot(E.FacetQuery(text="Gamma  d", scope="title", min_importance=0)).results) == [2]
     assert ids(engine.snapshot(E.FacetQuery(text="AMAX", scope="substring", min_importance=0)).results) == [3]
