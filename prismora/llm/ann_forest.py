@@ -77,7 +77,8 @@ def nearest(df: DataFrame, k: int = K, trees: int = TREES, miss: float = MISS, s
     Then all trees ascend together to the longest common depth at which a
     neighbour of that cosine shares the prefix in some tree with probability
     1 - miss, and every vector under these prefixes is compared exactly: no
-    limit on candidates, and as many as the recall needs.
+    limit on candidates, and as many as the recall needs.  A task holds about
+    BLOCK vectors, however many have one hash.
 
     Returns vec_id, neighbor_id, rank (from 1) and cosine; ties are ordered by
     row.  Ids are integers (bigint in the result) or texts, others a TypeError.
@@ -118,8 +119,20 @@ def nearest(df: DataFrame, k: int = K, trees: int = TREES, miss: float = MISS, s
 
     groups = F.pmod(F.xxhash64("query"), F.lit(max(1, -(-n // 4096)))).alias("g")
     merged_type = "query bigint, near bigint, cosine float, rank int"
-    some = rows.select("row", F.posexplode(F.slice("hashes", 1, min(FIRST_TREES, trees))).alias("tree", "hash"))
-    first = some.groupBy("tree", block(F.col("hash")).alias("b")).applyInArrow(descend, "query bigint, near bigint, cosine float")
+    # Where hashes are equal or cluster, a block is cut into parts by row; its queries go to all of them.
+    every = rows.select("row", F.posexplode("hashes").alias("tree", "hash"))
+    large = written(every.groupBy("tree", block(F.col("hash")).alias("b")).count().where(F.col("count") > 2 * BLOCK).select("tree", "b", F.ceil(F.col("count") / BLOCK).alias("parts")), "ann-large")
+    split = not large.isEmpty()
+
+    def in_parts(df, all_of_them: bool):
+        if not split:
+            return df.withColumn("part", F.lit(0).cast("bigint"))
+        n = F.coalesce("parts", F.lit(1).cast("bigint"))
+        part = F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)) if all_of_them else F.pmod(F.xxhash64("row"), n)
+        return df.join(large, ["tree", "b"], "left").withColumn("part", part).drop("parts")
+
+    some = in_parts(every.where(F.col("tree") < FIRST_TREES).withColumn("b", block(F.col("hash"))), False)
+    first = some.groupBy("tree", "b", "part").applyInArrow(descend, "query bigint, near bigint, cosine float")
     first = written(first.groupBy(groups).applyInArrow(merge, merged_type), "ann-first")
     bound = first.groupBy("query").agg(F.min("cosine").alias("least"), F.count("*").alias("found"))
 
@@ -175,7 +188,7 @@ def nearest(df: DataFrame, k: int = K, trees: int = TREES, miss: float = MISS, s
         fq, fr, fs, _ = _best(found, k)
         return pa.table({"query": fq, "near": fr, "cosine": fs.astype(np.float32)})
 
-    rest = points.unionByName(asked).groupBy("tree", "b").applyInArrow(ascend, "query bigint, near bigint, cosine float")
+    rest = in_parts(points, False).unionByName(in_parts(asked, True)).groupBy("tree", "b", "part").applyInArrow(ascend, "query bigint, near bigint, cosine float")
     both = first.select("query", "near", "cosine").unionByName(rest)
 
     def finish(key, table):

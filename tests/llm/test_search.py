@@ -99,6 +99,20 @@ def test_forest_over_blocks(spark, monkeypatch):
     assert np.mean([len(set(want[i]) & got[i]) / 5 for i in range(len(x))]) >= 0.9
 
 
+def test_forest_of_clusters_in_bounded_blocks(spark, monkeypatch):
+    """Copies of few vectors have equal hashes; their blocks are cut and nothing is lost."""
+    monkeypatch.setattr(ann_forest, "BLOCK", 20)
+    r = np.random.default_rng(5)
+    x = np.repeat(r.standard_normal((6, 12)), 70, axis=0) + 0.05 * r.standard_normal((420, 12))
+    s = unit(x) @ unit(x).T
+    np.fill_diagonal(s, -2)
+    want = np.argsort(-s, axis=1)[:, :5]
+    got = {}
+    for p in ann_forest.nearest(as_table(spark, x), k=5).collect():
+        got.setdefault(p["vec_id"], []).append(p["neighbor_id"])
+    assert all(len(v) == 5 for v in got.values()) and np.mean([len(set(want[i]) & set(got[i])) / 5 for i in range(420)]) >= 0.9
+
+
 def test_forest_odd(spark):
     df = spark.createDataFrame(ODD, TYPE).withColumns({c: F.lit(1) for c in ("row", "hash", "tree", "depth")})
     got = {}
