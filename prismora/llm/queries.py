@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann_forest, embedding_dedup, jaccard_join, language_id, line_dedup, ngram_lm, packing, quality_fm, source_mixing, url_filter
+from ._shared import written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +55,8 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     good = F.count_if((F.col("quality") == 1) & (F.col("toxic") == 0))
     rate = docs.select("doc_id", "source", "lang").join(labels, "doc_id").groupBy("source", "lang").agg(((good + 1.0) / (F.count("*") + 2.0)).alias("rate")).select(F.col("source").alias("s"), F.col("lang").alias("l"), "rate")
+    # Written, so that its size is known before the join is planned and the texts stay where they are if it is small.
+    rate = written(rate, "mix-rates")
     weighted = docs.join(rate, docs["source"].eqNullSafe(F.col("s")) & docs["lang"].eqNullSafe(F.col("l")), "left")
     return source_mixing.mixture(weighted.withColumn("weight", F.coalesce("rate", F.lit(0.5)) * source_mixing.quality_weight(F.col("text"))), weight_col="weight")
 
