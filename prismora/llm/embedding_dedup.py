@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import release
+from ._shared import release, written
 from ._text import U64, mix64
 from ._vectors import VectorFiles, arrow_ids, id_type, put_vectors
 
@@ -36,8 +36,9 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, tables: int = T
 
     Each normalised vector falls into one bucket of every table: `hashes`
     quantised projections on normal (2-stable) directions.  Vectors that share
-    a bucket are checked exactly, all of them against all; a pair is given by
-    the first table that holds it, so nothing needs to be made distinct.  With
+    a bucket are checked exactly, all of them against all, those of very large
+    ones group against group in several tasks; a pair is given by the first
+    table that holds it, so nothing needs to be made distinct.  With
     the defaults a pair at cosine 0.9 is missed with probability 0.07, at 0.95
     with 1e-3, at 0.99 with 1e-9.
 
@@ -55,24 +56,34 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, tables: int = T
     kind = id_type(df, id_col)
     folder, _, rows = put_vectors(df, id_col, vector_col, keys, "keys array<bigint>", "dedup-vectors")
     parts = max(1, -(-rows.count() // PART_ROWS))
-    spread = rows.select("row", F.posexplode("keys").alias("table", "key")).withColumn("part", F.pmod("key", F.lit(parts)))
+    spread = rows.select("row", F.posexplode("keys").alias("table", "key"))
+    # A bucket of more rows than a task takes is cut into groups by row; two groups meet in each task.
+    large = written(spread.groupBy("table", "key").count().where(F.col("count") > PART_ROWS).select("table", "key", F.ceil(2 * F.col("count") / PART_ROWS).alias("groups")), "dedup-large")
+    none = F.lit(-1).cast("bigint")
+    if large.isEmpty():
+        spread = spread.select("row", "table", "key", F.pmod("key", F.lit(parts)).alias("part"), none.alias("low"), none.alias("high"), none.alias("side"))
+    else:
+        spread = spread.join(large, ["table", "key"], "left").withColumn("side", F.when(F.col("groups").isNotNull(), F.pmod(F.xxhash64("row"), F.col("groups"))).otherwise(none))
+        spread = spread.withColumn("other", F.explode(F.when(F.col("groups").isNotNull(), F.sequence(F.lit(0).cast("bigint"), F.col("groups") - 1)).otherwise(F.array(none))))
+        part = F.when(F.col("groups").isNull(), F.pmod("key", F.lit(parts))).otherwise(F.col("key"))
+        spread = spread.select("row", "table", "key", part.alias("part"), F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side")
 
     def pairs(key, members):
-        table = key[0].as_py()
+        table, cross = key[0].as_py(), key[2].as_py() != key[3].as_py()
         files = VectorFiles(folder)
         order = np.lexsort((members.column("row").to_numpy(), members.column("key").to_numpy()))
-        row, bucket = members.column("row").to_numpy()[order], members.column("key").to_numpy()[order]
+        row, bucket, side = (members.column(c).to_numpy()[order] for c in ("row", "key", "side"))
         start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
         length = np.diff(np.r_[start, len(bucket)])
         some = np.repeat(length > 1, length)
-        row = row[some]
+        row, side = row[some], side[some]
         length = length[length > 1]
         start = np.cumsum(length) - length
         x = files.vectors(row)
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
 
         def checked(i, j, s):
-            near = s >= threshold - 1e-6
+            near = (s >= threshold - 1e-6) & (side[i] != side[j]) if cross else s >= threshold - 1e-6
             out.append((i[near], j[near], s[near]))
 
         # Small buckets together, each member with its later ones; large ones by blocks of a product.
@@ -112,4 +123,4 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, tables: int = T
         release()
         return pa.table({"vec_a": arrow_ids(np.where(a < b, a, b), kind), "vec_b": arrow_ids(np.where(a < b, b, a), kind), "cosine": np.minimum(s, 1).astype(np.float64)})
 
-    return spread.groupBy("table", "part").applyInArrow(pairs, f"vec_a {kind}, vec_b {kind}, cosine double").where(F.col("cosine") >= threshold)
+    return spread.groupBy("table", "part", "low", "high").applyInArrow(pairs, f"vec_a {kind}, vec_b {kind}, cosine double").where(F.col("cosine") >= threshold)

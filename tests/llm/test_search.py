@@ -67,6 +67,16 @@ def test_ids_may_be_texts(spark):
             f(number.withColumn("vec_id", F.lit(1.5)))
 
 
+def test_dedup_of_large_buckets_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "PART_ROWS", 40)
+    x = planted(300, 12)
+    x[:150] = x[0] + 0.02 * np.random.default_rng(1).standard_normal((150, 12))
+    s = np.triu(unit(x) @ unit(x).T, 1)
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(s >= 0.9))}
+    got = [(r["vec_a"], r["vec_b"]) for r in embedding_dedup.near_duplicates(as_table(spark, x)).collect()]
+    assert len(want) > 10_000 and len(got) == len(set(got)) and set(got) <= want and len(got) >= 0.99 * len(want)
+
+
 def test_dedup_many_copies(spark):
     df = spark.range(150).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"))
     assert embedding_dedup.near_duplicates(df).count() == 150 * 149 // 2
