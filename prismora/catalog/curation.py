@@ -50,7 +50,7 @@ _PROBLEMS = """p as (select p_partkey as k, case when p_partkey % 7 = 6 then ['n
 
 
 def x14(spark, d):
-    return _answers(spark, d).select("k", F.array_join(C.answer_problems(F.col("answer"), RULES), "; ").alias("problems"))
+    return C.judged(_answers(spark, d), "answer", RULES).select("k", F.array_join("problems", "; ").alias("problems"))
 
 
 def k11(spark, d):

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..cluster import written
 from ..functions.derive import evidence_tier, first_match, organizations_of
 from ..functions.text import norm_doi, norm_title, norm_url, record_text, repo_of
 from .linkage import two_key_lookup
@@ -43,7 +44,15 @@ def answer_problems(answer: Column, rules: AnswerRules) -> Column:
     The answer is a JSON object, in a fence or between other words.  Where
     required fields are missing, only that is told.
     """
-    v = F.try_parse_json(record_text(answer))
+    return _problems(F.try_parse_json(record_text(answer)), rules)
+
+
+def judged(df: DataFrame, answer: str, rules: AnswerRules) -> DataFrame:
+    """df with the problems of its answers, each parsed once."""
+    return df.withColumn("_v", F.try_parse_json(record_text(F.col(answer)))).withColumn("problems", _problems(F.col("_v"), rules)).drop("_v")
+
+
+def _problems(v: Column, rules: AnswerRules) -> Column:
     field = lambda f: F.try_variant_get(v, f"$.{f}", "variant")
     kind = lambda f: F.coalesce(F.schema_of_variant(field(f)), F.lit("VOID"))
     text = lambda f: F.try_variant_get(v, f"$.{f}", "string")
@@ -104,10 +113,10 @@ def recovered(review: DataFrame, key: str, answer: str, done: DataFrame, done_ke
     first 60 characters of what is still wrong.
     """
     left = review.join(done.select(F.col(done_key).alias("_k")).distinct(), F.col(key) == F.col("_k"), "left_anti")
-    judged = left.withColumn("problems", answer_problems(F.col(answer), rules))
-    remaining = judged.where(F.size("problems") > 0)
+    told = written(judged(left, answer, rules), "judged")  # once, for three uses
+    remaining = told.where(F.size("problems") > 0)
     reasons = remaining.select(F.explode("problems").alias("p")).groupBy(F.left("p", F.lit(60)).alias("reason")).agg(F.count("*").alias("n"))
-    return judged.where(F.size("problems") == 0).drop("problems"), remaining, reasons
+    return told.where(F.size("problems") == 0).drop("problems"), remaining, reasons
 
 
 # == candidates
