@@ -590,6 +590,8 @@ def similar_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD,
     across = pairs.join(left, "a").join(right, "b").select("x", "y", "common", (F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))).alias("jaccard"))
     within = members.select(F.col("doc_id").alias("x"), "sig", F.col("size").alias("common")).join(members.select(F.col("doc_id").alias("y"), "sig"), "sig").where("x < y").select("x", "y", "common", F.lit(1.0).alias("jaccard"))
     both = across.where("x <> y").unionByName(within).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "common", "jaccard")
+    if members.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return both  # each pair of ids is one of sets
     return both.groupBy("doc_a", "doc_b").agg(F.max(F.struct("jaccard", "common")).alias("m")).select("doc_a", "doc_b", F.col("m.common").alias("common"), F.col("m.jaccard").alias("jaccard"))
 
 

@@ -107,6 +107,14 @@ def test_pairs_equal_sql(spark):
     assert rows_of(J.similar_pairs(spark.read.parquet(f"{SF}/documents.parquet"))) == rows_of_sql(connect(SF), OP3_SQL)[0]
 
 
+def test_ids_of_several_texts(spark):
+    """A pair of ids is given once, with its highest similarity."""
+    base = " ".join(f"w{k}" for k in range(30))
+    rows = [(1, base), (1, base + " more words here"), (2, base + " more words here now"), (2, base), (3, base + " else")]
+    got = sorted((r["doc_a"], r["doc_b"], r["common"], round(r["jaccard"], 6)) for r in J.similar_pairs(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == [(1, 2, 28, 1.0), (1, 3, 28, round(28 / 29, 6)), (2, 3, 28, round(28 / 29, 6))]
+
+
 def test_odd(spark):
     docs = odd(spark)
     more = docs.withColumn("doc_id", docs["doc_id"] + 100).where("doc_id in (106, 107, 104)")
