@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._names import fresh
-from ._shared import release
+from ._shared import put_file, release
 from ._text import WHITE, U64, pieces, span_hashes, spans, text_buffer
 
 WORD_BITS = 18
@@ -257,6 +258,22 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_c
     return model
 
 
+def keep_model(model: Model, folder: str) -> None:
+    """Write the model as one file of a folder, over one that is there."""
+    out = io.BytesIO()
+    np.savez(out, **vars(model))
+    put_file(f"{folder}/model.npz", out.getvalue())
+
+
+def kept_model(folder: str) -> Model | None:
+    """The model that keep_model() wrote; None where there is none."""
+    try:
+        with np.load(f"{folder}/model.npz", allow_pickle=False) as got:
+            return Model(**got)
+    except FileNotFoundError:
+        return None
+
+
 def classify(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("lang",)) -> DataFrame:
     """quality and toxicity (probabilities) of each row, and whether it is kept.
 

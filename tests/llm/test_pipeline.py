@@ -45,6 +45,34 @@ def test_stages(spark, tables):
     assert set(range(120)) <= set(whole) and all(whole[i] % 72 == 0 for i in range(120))
 
 
+def test_mixing_without_the_raw_documents(spark, tables, tmp_path):
+    """The fourth stage takes the first one's model, and neither fits it again nor reads the documents of the folder."""
+    import shutil
+
+    import corpus_pipeline as C
+
+    shutil.copytree(f"{tables}/labels.parquet", tmp_path / "labels.parquet")
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    kept = C.written(C.quality_stage(spark, docs, str(tmp_path)), "test-kept")
+    want = sorted(map(str, C.mixing_stage(spark, kept, tables).collect()))
+    assert sorted(map(str, C.mixing_stage(spark, kept, str(tmp_path)).collect())) == want and len(want) >= 120
+
+
+def test_other_documents_leave_no_model(spark, tables, tmp_path):
+    import shutil
+
+    import corpus_pipeline as C
+
+    shutil.copytree(tables, tmp_path / "sf")
+    sf = str(tmp_path / "sf")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    C.quality_stage(spark, docs.where("doc_id < 50"), sf)
+    assert C.quality_fm.kept_model(C._model_folder(spark, sf)) is None
+    C.quality_stage(spark, docs, sf)
+    got, want = C.quality_fm.kept_model(C._model_folder(spark, sf)), C.quality_fm.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    assert all((getattr(got, k) == v).all() for k, v in vars(want).items())
+
+
 def test_run(spark, tables):
     import corpus_pipeline as C
 
