@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected
+from ._forest import forest, spanning
 from ._names import fresh
 from ._shared import local_path, new_folder, release, squeeze, unsqueeze, written
 from ._sorted_files import SortedFiles, put_shard, shard_of
@@ -248,23 +249,6 @@ def _found(lookup: SortedFiles, batch) -> tuple[np.ndarray, np.ndarray]:
     return order[at], value
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """The least reachable node of each of n nodes over the edges a-b."""
-    root = np.arange(n)
-    while len(a):
-        np.minimum.at(root, a, b)
-        np.minimum.at(root, b, a)
-        while True:
-            up = root[root]
-            if (up == root).all():
-                break
-            root = up
-        a, b = root[a], root[b]
-        differ = a != b
-        a, b = a[differ], b[differ]
-    return root
-
-
 def _links(key, table):
     """From each document to the least one that shared rarest n-grams connect it with in this range."""
     gram, place, (sig, _), _ = _postings(table, 2)
@@ -272,7 +256,7 @@ def _links(key, table):
     gram, place = gram[order], place[order]
     start = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
     length = np.diff(np.r_[start, len(gram)])
-    root = _forest(place[np.repeat(start, length)], place, len(sig))
+    root = forest(place[np.repeat(start, length)], place, len(sig))
     linked = np.flatnonzero(root != np.arange(len(sig)))
     del gram, place, order
     release()
@@ -595,6 +579,67 @@ def similar_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD,
     return both.groupBy("doc_a", "doc_b").agg(F.max(F.struct("jaccard", "common")).alias("m")).select("doc_a", "doc_b", F.col("m.common").alias("common"), F.col("m.jaccard").alias("jaccard"))
 
 
+def _spanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of many links (u, v) those of a spanning forest."""
+    u, v, held, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+    for batch in batches:
+        held.append((batch.column("u").to_numpy(), batch.column("v").to_numpy()))
+        size += batch.num_rows
+        if size >= max(_FLUSH, len(u)):
+            u, v = spanning(*(np.concatenate(x) for x in zip((u, v), *held)))
+            held, size = [], 0
+    u, v = spanning(*(np.concatenate(x) for x in zip((u, v), *held)))
+    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+    release()
+
+
+def similar_classes(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each document with its class and its number of links: the documents that similar_pairs() pairs it with.
+
+    All pairs of sets are found and checked as there, and counted instead of
+    given: a group of k copies makes k rows, not k squared.  A class is what
+    chains of links connect; its id is the least in it.
+
+    Returns doc_id, class_id and links, a row for each id that isn't null.
+    Null and empty texts have no links and are classes of their own, as is all
+    that has no partner.  Rows that repeat an id are one document with several
+    texts: it has the links of each, another id counts once, and the classes
+    of its texts are one.  An empty table gives an empty result.  Other
+    columns are not read.
+    """
+    members, pairs = similar_sets(docs, n, threshold, id_col, text_col)
+    members = written(members.select("doc_id", "sig").distinct(), "ngram-members")
+    pairs = written(pairs.select("a", "b"), "ngram-pairs")
+    several = members.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("sig").alias("u")).where("n > 1").select("doc_id", "u")
+    plain = several.isEmpty()
+
+    edges = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).coalesce(int(-(-pairs.count() // _FLUSH)) or 1).mapInArrow(_spanned, "u bigint, v bigint")
+    if not plain:
+        several = written(several, "ngram-several")
+        edges = edges.unionByName(members.join(several, "doc_id").select("u", F.col("sig").alias("v")))
+    grouped = members.join(connected(edges), F.col("sig") == F.col("node"), "left").select("doc_id", "sig", F.coalesce("root", "sig").alias("grp"))
+    least = grouped.groupBy("grp").agg(F.min("doc_id").alias("class_id"))
+
+    # Documents of one set alone are counted by set; links of the others are made distinct.
+    single = members if plain else members.join(several, "doc_id", "left_anti")
+    own = single.groupBy("sig").agg(F.count("*").alias("n"))
+    ways = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    across = ways.join(own.withColumnRenamed("sig", "b"), "b").groupBy("a").agg(F.sum("n").alias("n"))
+    links = own.select("sig", F.col("n") - 1).union(across.select("a", "n")).toDF("sig", "n").groupBy("sig").agg(F.sum("n").alias("n"))
+    links = single.join(links, "sig").select("doc_id", "n")
+    if not plain:
+        same = members.select(F.col("sig").alias("a"), F.col("sig").alias("b")).distinct()
+        mine = members.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("y"), F.col("sig").alias("a"))
+        met = mine.join(ways.unionByName(same), "a").join(members.select(F.col("doc_id").alias("x"), F.col("sig").alias("b")), "b").where("x <> y").select("x", "y").distinct()
+        met = written(met, "ngram-met")
+        back = met.join(several, met["x"] == several["doc_id"], "left_anti")
+        links = links.union(met.groupBy("x").count()).union(back.groupBy("y").count()).toDF("doc_id", "n")
+    found = grouped.join(least, "grp").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    found = found.join(links.groupBy("doc_id").agg(F.sum("n").alias("n")), "doc_id", "left")
+    ids = docs.select(F.col(f"`{id_col}`").alias("doc_id")).where("doc_id is not null").distinct()
+    return ids.join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n", F.lit(0)).cast("bigint").alias("links"))
+
+
 def drop_near_copies(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document, that of the least id, of each group that similar pairs connect; columns as given.
 

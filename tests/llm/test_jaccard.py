@@ -131,3 +131,59 @@ def test_components(spark):
     edges = [(1, 2), (2, 3), (5, 4), (7, 7), (None, 3), (9, 8), (8, 10), (10, 11), (11, 12)]
     got = {r["node"]: r["root"] for r in connected(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 8: 8, 9: 8, 10: 8, 11: 8, 12: 8}
+
+
+def classes_by_hand(ids, pairs):
+    """Class and number of links of each id."""
+    root = {i: i for i in ids}
+    for _ in ids:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    return {i: (root[i], sum(i in p for p in pairs)) for i in ids}
+
+
+def test_rows_of_the_query_grow_with_the_documents(spark, tmp_path):
+    """A group of near and exact copies gives a row each, with all its links counted."""
+    from prismora.llm.queries import op3_ngram_jaccard_join
+
+    r = random.Random(7)
+    rows = [(0, "alone " + " ".join(f"z{k}" for k in range(30))), (1, None), (2, "")]
+    for group in range(3):
+        body = [f"g{group}_{k}" for k in range(30)]
+        for _ in range(40):
+            w = list(body)
+            if r.random() < 0.6:
+                w[r.randrange(30)] = f"e{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    df = spark.createDataFrame([*rows, (None, rows[0][1])], "doc_id bigint, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(x) for x in op3_ngram_jaccard_join(spark, str(tmp_path)).collect()]
+    want = classes_by_hand([i for i, _ in rows], by_hand(rows, 3, 0.5))
+    assert len(got) == len(rows) and {i: (c, n) for i, c, n in got} == want and max(n for _, n in want.values()) == 39
+
+
+def test_classes_over_blocks_and_ids_of_several_texts(spark, monkeypatch):
+    monkeypatch.setattr(J, "SHARD_GRAMS", 2500)
+    monkeypatch.setattr(J, "UNIT_DOCS", 60)
+    monkeypatch.setattr(J, "_FLUSH", 50)
+    rows = [(i, " ".join(f"w{k}" for k in range(15 * i, 15 * i + 60))) for i in range(200)]
+    rows += [(1000 + i, f"{rows[i][1]} more") for i in range(20)]
+    rows += [(5, rows[150][1]), (5, rows[150][1] + " y"), (7, rows[5][1]), (7, rows[150][1]), (2000, "z1 z2 z3 z4"), (2000, "z5 z6 z7"), (2001, "z5 z6 z7")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    pairs = {(r["doc_a"], r["doc_b"]) for r in J.similar_pairs(df).collect()}
+    got = {r["doc_id"]: (r["class_id"], r["links"]) for r in J.similar_classes(df).collect()}
+    assert got == classes_by_hand({i for i, _ in rows}, pairs) and got[2001] == (2000, 1) and (5, 7) in pairs
+
+
+def test_classes_equal_sql(spark):
+    from prismora.llm.queries import OP3_CLASSES_SQL
+
+    got = rows_of(J.similar_classes(spark.read.parquet(f"{SF}/documents.parquet")))
+    assert got == rows_of_sql(connect(SF), OP3_CLASSES_SQL)[0] and len(got) == 200
+
+
+def test_classes_of_odd_documents(spark):
+    docs = odd(spark)
+    got = {r["doc_id"]: (r["class_id"], r["links"]) for r in J.similar_classes(docs.unionByName(docs.withColumn("doc_id", docs["doc_id"] + 100).where("doc_id in (106, 107)"))).collect()}
+    assert got == {i: (i, 0) for i in (1, 2, 3, 4, 5, 9)} | {6: (6, 1), 106: (6, 1), 7: (7, 1), 107: (7, 1)}
+    assert J.similar_classes(empty(spark)).count() == 0
