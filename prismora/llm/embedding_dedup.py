@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected
+from ._forest import Forest
 from ._shared import release, written
 from ._text import U64, mix64
 from ._vectors import VectorFiles, arrow_ids, id_type, put_vectors
@@ -31,23 +33,8 @@ def bucket_keys(x: np.ndarray, tables: int, hashes: int, width: float, seed: int
     return key.view(np.int64)
 
 
-def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, seed: int = 0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """Pairs of vectors whose cosine reaches the threshold.
-
-    Each normalised vector falls into one bucket of every table: `hashes`
-    quantised projections on normal (2-stable) directions.  Vectors that share
-    a bucket are checked exactly, all of them against all, those of very large
-    ones group against group in several tasks; a pair is given by the first
-    table that holds it, so nothing needs to be made distinct.  With
-    the defaults a pair at cosine 0.9 is missed with probability 0.07, at 0.95
-    with 1e-3, at 0.99 with 1e-9.
-
-    Returns vec_a < vec_b and cosine.  Ids are integers (bigint in the result)
-    or texts, others a TypeError.  Null ids and null, zero, non-finite or
-    odd-length vectors have no pairs; of rows that repeat an id the least
-    vector counts; equal vectors of different ids are pairs with cosine 1.  An
-    empty table gives an empty result.  Other columns are not read.
-    """
+def _near(df: DataFrame, threshold: float, tables: int, hashes: int, width: float, seed: int, id_col: str, vector_col: str, classes: bool) -> tuple[DataFrame, str, DataFrame]:
+    """The rows of usable vectors, the folder of their files, and the pairs or, for classes, links (u, v) between rows that connect what pairs do."""
 
     def keys(x):
         k = bucket_keys(x, tables, hashes, width, seed)
@@ -81,8 +68,13 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, tables: int = T
         start = np.cumsum(length) - length
         x = files.vectors(row)
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
+        linked = Forest(len(row))
 
         def checked(i, j, s):
+            if classes:
+                near = s.astype(np.float64) >= threshold
+                linked.add(i[near], j[near])
+                return
             near = (s >= threshold - 1e-6) & (side[i] != side[j]) if cross else s >= threshold - 1e-6
             out.append((i[near], j[near], s[near]))
 
@@ -109,6 +101,12 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, tables: int = T
                 later = j > i
                 i, j = i[later], j[later]
                 checked(i + lo, j + lo, s[i, j])
+        if classes:
+            root = linked.roots()
+            i = np.flatnonzero(root != np.arange(len(root)))
+            u, v = row[i], row[root[i]]
+            release()
+            return pa.table({"u": pa.array(u), "v": pa.array(v)})
         i, j, s = (np.concatenate(c) for c in zip(*out))
         if table and len(i):
             u, back = np.unique(np.r_[i, j], return_inverse=True)
@@ -123,4 +121,59 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, tables: int = T
         release()
         return pa.table({"vec_a": arrow_ids(np.where(a < b, a, b), kind), "vec_b": arrow_ids(np.where(a < b, b, a), kind), "cosine": np.minimum(s, 1).astype(np.float64)})
 
-    return spread.groupBy("table", "part", "low", "high").applyInArrow(pairs, f"vec_a {kind}, vec_b {kind}, cosine double").where(F.col("cosine") >= threshold)
+    units = spread.groupBy("table", "part", "low", "high")
+    if classes:
+        return rows, folder, units.applyInArrow(pairs, "u bigint, v bigint")
+    return rows, folder, units.applyInArrow(pairs, f"vec_a {kind}, vec_b {kind}, cosine double").where(F.col("cosine") >= threshold)
+
+
+def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, seed: int = 0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """Pairs of vectors whose cosine reaches the threshold.
+
+    Each normalised vector falls into one bucket of every table: `hashes`
+    quantised projections on normal (2-stable) directions.  Vectors that share
+    a bucket are checked exactly, all of them against all, those of very large
+    ones group against group in several tasks; a pair is given by the first
+    table that holds it, so nothing needs to be made distinct.  With
+    the defaults a pair at cosine 0.9 is missed with probability 0.07, at 0.95
+    with 1e-3, at 0.99 with 1e-9.
+
+    Returns vec_a < vec_b and cosine.  Ids are integers (bigint in the result)
+    or texts, others a TypeError.  Null ids and null, zero, non-finite or
+    odd-length vectors have no pairs; of rows that repeat an id the least
+    vector counts; equal vectors of different ids are pairs with cosine 1.  An
+    empty table gives an empty result.  Other columns are not read.
+    """
+
+    return _near(df, threshold, tables, hashes, width, seed, id_col, vector_col, False)[2]
+
+
+def near_classes(df: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, seed: int = 0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """Each vector with its class: what chains of pairs of near_duplicates() connect, by the least id in it.
+
+    All vectors of a bucket are checked against all as there; of a task's
+    pairs only the links of a spanning forest leave it, so the result grows
+    with the vectors and not with the square of a group of copies.  A pair
+    that the hashing misses (see there) is still in one class where a chain of
+    others connects it.
+
+    Returns vec_id and class_id, a row for each id that isn't null; ids are
+    treated as near_duplicates() says.  Null, zero, non-finite or odd-length
+    vectors are classes of their own.  An empty table gives an empty result.
+    Other columns are not read.
+    """
+    kind = id_type(df, id_col)
+    rows, folder, links = _near(df, threshold, tables, hashes, width, seed, id_col, vector_col, True)
+
+    def named(batches):
+        files = VectorFiles(folder)
+        for batch in batches:
+            r = batch.column("row").to_numpy()
+            yield pa.RecordBatch.from_arrays([arrow_ids(files.ids(r), kind), batch.column("row")], names=["vec_id", "row"])
+
+    known = rows.select("row").mapInArrow(named, f"vec_id {kind}, row bigint")
+    grouped = known.join(connected(links), F.col("row") == F.col("node"), "left").select("vec_id", F.coalesce("root", "row").alias("grp"))
+    least = grouped.groupBy("grp").agg(F.min("vec_id").alias("class_id"))
+    found = grouped.join(least, "grp").select("vec_id", "class_id")
+    ids = df.select(F.col(f"`{id_col}`").cast(kind).alias("vec_id")).where("vec_id is not null").distinct()
+    return ids.join(found, "vec_id", "left").select("vec_id", F.coalesce("class_id", "vec_id").alias("class_id"))

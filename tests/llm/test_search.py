@@ -82,6 +82,35 @@ def test_dedup_many_copies(spark):
     assert embedding_dedup.near_duplicates(df).count() == 150 * 149 // 2
 
 
+def test_classes_of_vectors_equal_sql(spark, monkeypatch, tmp_path):
+    """A row a vector, whatever the size of the groups; large buckets in groups, small forests."""
+    from prismora.llm import _forest
+    from prismora.llm.queries import OP6_CLASSES_SQL, op6_embedding_near_dedup
+
+    from ..oracle import connect
+
+    r = np.random.default_rng(4)
+    x = np.repeat(r.standard_normal((8, 16)), 30, axis=0) + 0.02 * r.standard_normal((240, 16))
+    x[120:] += 0.3 * r.standard_normal((120, 16))  # chains, too
+    df = as_table(spark, r.permutation(np.r_[x, r.standard_normal((60, 16))]))
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = dict(connect(str(tmp_path)).execute(OP6_CLASSES_SQL).fetchall())
+    got = [tuple(p) for p in op6_embedding_near_dedup(spark, str(tmp_path)).collect()]
+    assert len(got) == 300 and dict(got) == want and 60 < len(set(want.values())) < 250
+    monkeypatch.setattr(embedding_dedup, "PART_ROWS", 20)
+    monkeypatch.setattr(_forest, "_FLUSH", 40)
+    assert {p["vec_id"]: p["class_id"] for p in embedding_dedup.near_classes(df).collect()} == want
+
+
+def test_classes_of_odd_vectors(spark):
+    df = spark.createDataFrame(ODD, TYPE).withColumns({c: F.lit(1) for c in ("row", "key", "keys", "part")})
+    got = [tuple(r) for r in embedding_dedup.near_classes(df).collect()]
+    assert dict(got) == {i: 1 if i < 4 else i for i in range(1, 11)} and len(got) == 10
+    texts = {r["vec_id"]: r["class_id"] for r in embedding_dedup.near_classes(df.withColumn("vec_id", F.concat(F.lit("v"), "vec_id"))).collect()}
+    assert texts == {f"v{i}": "v1" if i < 4 else f"v{i}" for i in range(1, 11)}
+    assert embedding_dedup.near_classes(df.where("false")).count() == 0
+
+
 def test_forest_recall(spark):
     x = planted()
     s = unit(x) @ unit(x).T
