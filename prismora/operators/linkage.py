@@ -142,8 +142,9 @@ def containment(items: DataFrame, item_id: str, item_text: str, docs: DataFrame,
     sized = a.join(df, "w", "left").groupBy(item_id).agg(order.getField("w").alias("ws"))
     prefix = F.size("ws") - F.ceil(F.size("ws") * F.lit(least) - 1e-9).cast("int") + 1
     rare = sized.select(item_id, F.explode(F.slice("ws", F.lit(1), F.least(prefix, F.size("ws")))).alias("w"))
-    found = rare.join(b, "w").select(item_id, doc_id).distinct()
-    shared = found.join(a, item_id).join(b, [doc_id, "w"]).groupBy(item_id, doc_id).agg(F.count_distinct("w").alias("shared"))
+    # Words repeat, so their table is small as a file and large in memory: never broadcast it by its size.
+    found = rare.join(b.hint("merge"), "w").select(item_id, doc_id).distinct()
+    shared = found.join(a, item_id).join(b.hint("merge"), [doc_id, "w"]).groupBy(item_id, doc_id).agg(F.count_distinct("w").alias("shared"))
     return shared.join(sized.select(item_id, F.size("ws").alias("size")), item_id).select(item_id, doc_id, "shared", (F.col("shared") / F.col("size")).alias("share")).where(F.col("share") >= least)
 
 

@@ -80,3 +80,17 @@ def test_containment_equals_all_pairs(spark):
                     want[i, k] = len(x & y)
         a, b = spark.createDataFrame(items, "i int, a string"), spark.createDataFrame(docs, "k int, b string")
         assert {(x["i"], x["k"]): x["shared"] for x in L.containment(a, "i", "a", b, "k", "b", least).collect()} == want
+
+
+def test_containment_broadcasts_no_document_words(spark):
+    """The table of document words is small as a file, but not in memory: no plan sends it to the driver."""
+    items = spark.createDataFrame([(i, " ".join(f"n{k}" for k in range(i, i + 9))) for i in range(20)], "i int, a string")
+    docs = spark.range(3000).selectExpr("cast(id as int) as k", "array_join(transform(sequence(0, 29), x -> concat('n', pmod(id * 7 + x, 40))), ' ') as b")
+    got = L.containment(items, "i", "a", docs, "k", "b", 0.7)
+    lines = got._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    for i in [k for k, x in enumerate(lines) if "BroadcastExchange" in x]:
+        below = next((k for k in range(i + 1, len(lines)) if depth[k] <= depth[i]), len(lines))
+        tree = "\n".join(lines[i + 1 : below])
+        assert "item-words" not in tree or "HashAggregate" in tree  # their counts by word may travel
+    assert got.count() > 0
