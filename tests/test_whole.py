@@ -30,3 +30,16 @@ def test_comparison_key_of_whole_texts(spark):
 
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", F.md5(comparison_key(F.col("text"))).alias("key"))
     assert rows_of(catalog.entries()["x16_comparison_key"][0](spark, "/root/testdata/sf0.001")) == rows_of(docs)
+
+
+def test_unique_urls_where_pages_share_addresses(spark, tmp_path):
+    """Pages of the table itself whose addresses differ by scheme or slash, and one without."""
+    rows = [(0, "http://a.example/x"), (1, "https://a.example/x/"), (10, "https://www.a.example/x"), (11, "http://b.example"), (20, None), (21, None)]
+    spark.createDataFrame(rows, "page_id bigint, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    query, text = catalog.entries()["v9_unique_urls"]
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    expected, _ = rows_of_sql(con, text)
+    assert rows_of(query(spark, str(tmp_path))) == expected and len(expected) == 3
