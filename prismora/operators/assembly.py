@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,35 +44,54 @@ def latest_fields(patches: DataFrame, key: str = "id", seq: str = "seq", fields:
     return last.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("field", F.col("m.v.value").alias("value")))).alias(fields))
 
 
-def _sequential(rows: pd.DataFrame) -> pd.DataFrame:
-    """The fold as it is defined, for the few records whose URLs move."""
-    owner, by_id, out = {}, {}, []
-    for r in rows.sort_values("seq").itertuples():
-        values = dict(r.fields or {})
-        if r.override:
-            at = by_id.get(r.id)
-            if at is None:
-                out.append([r.id, r.seq, values, "orphaned"])
-                continue
-            kept = out[at]
-            if values.get("url") and values["url"] != kept[2].get("url"):
-                owner.pop((kept[2].get("url") or "").rstrip("/"), None)
-                owner[values["url"].rstrip("/")] = at
-            kept[2].update(values)
-            out.append([r.id, r.seq, values, "applied"])
-        elif values.get("duplicate_of"):
-            out.append([r.id, r.seq, values, "retired"])
-        else:
-            key = (values.get("url") or "").rstrip("/")
-            if key and key in owner:
-                out.append([r.id, r.seq, values, "duplicate"])
-                continue
-            owner[key] = by_id[r.id] = len(out)
-            out.append([r.id, r.seq, values, "kept"])
-    for row in out:
-        if row[3] == "kept" and row[2].get("duplicate_of"):
-            row[3] = "retired"
-    return pd.DataFrame(out, columns=["id", "seq", "fields", "state"])
+def _claims(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Which live bases get their URL, in rows by root, seq and kind, some at a time.
+
+    What is held is the addresses that are taken and each id's address, of one
+    root; the fields pass through as they are.
+    """
+    root, taken, at = None, set(), {}
+    for batch in batches:
+        state = []
+        for r, id_, override, url in zip(*(batch.column(c).to_pylist() for c in ("root", "id", "override", "url"))):
+            if r != root:
+                root, taken, at = r, set(), {}
+            url = url or ""
+            if override:
+                old = at.get(id_)
+                if old is not None:
+                    if url and url != old:
+                        taken.discard(old.rstrip("/"))
+                        taken.add(url.rstrip("/"))
+                    at[id_] = url
+                state.append(None)
+            else:
+                key = url.rstrip("/")
+                if key and key in taken:
+                    state.append("duplicate")
+                else:
+                    taken.add(key)
+                    at[id_] = url
+                    state.append("kept")
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "seq", "fields")), pa.array(state, pa.string())], names=["id", "seq", "fields", "state"])
+
+
+def _moving(live: DataFrame, patches: DataFrame) -> DataFrame | None:
+    """(node, root) of the ids and URLs, as hashes, that corrections to other URLs connect; None without any.
+
+    Empty URLs belong to nobody and connect nothing.  Hashes that collide only
+    put two groups together.
+    """
+    known = live.select("id", "key").distinct()
+    moved = patches.where(F.col("url") != "").select("id", F.col("key").alias("to")).distinct()
+    who = known.join(moved, "id").where("key <> to").select("id").distinct()
+    ends = known.unionByName(moved.withColumnRenamed("to", "key")).where("key <> ''").distinct().join(who, "id", "left_semi")
+    edges = written(ends.select(_node("i", "id").alias("u"), _node("k", "key").alias("v")), "moves")
+    return None if edges.isEmpty() else connected(edges)
+
+
+def _node(kind: str, name: str) -> Column:
+    return F.xxhash64(F.lit(kind), F.col(name))
 
 
 def fold_log(log: DataFrame) -> DataFrame:
@@ -80,46 +100,48 @@ def fold_log(log: DataFrame) -> DataFrame:
     log: seq (the order), id, override and fields, a map of the fields that
     the row has (texts or JSON; url and duplicate_of are looked at).  The
     first base row of a URL is kept with all later corrections of its id
-    folded in by field; bases with duplicate_of are retired, as are those that
-    a correction gives one; a correction whose id has no kept base before it
-    is an orphan.  This is relational; only where a correction moves a record
-    to another URL, the records connected by such moves are folded in order,
-    each connected group for itself.
+    folded in by field, up to the id's next kept base; bases with duplicate_of
+    are retired, as are those that a correction gives one; a correction whose
+    id has no kept base before it is an orphan.  Of rows with one seq
+    corrections come first.  This is relational; only where a correction moves
+    a record to another URL, the base rows and URLs connected by such moves
+    are gone through in order, each connected group for itself, as a stream.
     """
     log = log.select("seq", "id", F.coalesce("override", F.lit(False)).alias("override"), F.coalesce("fields", F.create_map().cast("map<string,string>")).alias("fields"))
-    log = log.withColumn("key", F.coalesce(dedupe_key(F.element_at("fields", "url")), F.lit("")))
+    log = log.withColumn("url", F.element_at("fields", "url")).withColumn("key", F.coalesce(dedupe_key(F.col("url")), F.lit("")))
+    log = written(log, "log")
     bases, patches = log.where("not override"), log.where("override")
-    moves = patches.where("key <> ''").select("id", F.col("key").alias("v")).join(bases.select("id", F.col("key").alias("u")), "id").where("u <> v").select("u", "v")
-    tangled = None
-    if not moves.isEmpty():
-        # Records that share an id, and URLs that moves connect, are folded together.
-        groups = connected(moves)
-        in_order = bases.join(groups, bases["key"] == groups["node"]).select("id", "root").distinct()
-        links = in_order.join(in_order.withColumnRenamed("root", "other"), "id").where("root <> other").select(F.col("root").alias("u"), F.col("other").alias("v"))
-        if not links.isEmpty():
-            groups = connected(moves.union(links))
-            in_order = bases.join(groups, bases["key"] == groups["node"]).select("id", "root").distinct()
-        base_part = bases.join(groups, bases["key"] == groups["node"]).select("root", "seq", "id", "override", "fields")
-        patch_part = patches.join(in_order, "id").select("root", "seq", "id", "override", "fields")
-        tangled = base_part.union(patch_part).groupBy("root").applyInPandas(_sequential, FOLD_TYPE)
-        bases = bases.join(groups, bases["key"] == groups["node"], "left_anti")
-        patches = patches.join(in_order, "id", "left_anti")
-    retired = bases.where(F.coalesce(F.element_at("fields", "duplicate_of"), F.lit("")) != "").withColumn("state", F.lit("retired"))
-    live = bases.where(F.coalesce(F.element_at("fields", "duplicate_of"), F.lit("")) == "")
+    gone = F.coalesce(F.element_at("fields", "duplicate_of"), F.lit("")) != ""
+    retired, live = bases.where(gone).withColumn("state", F.lit("retired")), bases.where(~gone)
+    cols = ["id", "seq", "fields", "state"]
+    groups, tangled = _moving(live, patches), None
+    if groups is not None:
+        of_id, of_key = (groups.select(F.col("node").alias(f"_{k}"), F.col("root").alias(f"_r{k}")) for k in "ik")
+        rooted = lambda df: df.join(of_id, _node("i", "id") == F.col("_i"), "left").join(of_key, _node("k", "key") == F.col("_k"), "left").withColumn("root", F.coalesce("_ri", F.when(F.col("key") != "", F.col("_rk"))))
+        live = rooted(live)
+        moves = rooted(patches.where(F.map_contains_key("fields", F.lit("url"))))
+        rows = live.unionByName(moves).where("root is not null").select("root", "seq", "id", "override", "url", "fields")
+        in_order = rows.repartition("root").sortWithinPartitions("root", "seq", F.desc("override"), "id", "url")
+        tangled = in_order.mapInArrow(_claims, FOLD_TYPE).where("state is not null")
+        live = live.where("root is null")
     rank = F.row_number().over(Window.partitionBy("key").orderBy("seq"))
-    ranked = live.where("key <> ''").withColumn("rn", rank).union(live.where("key = ''").withColumn("rn", F.lit(1)))
-    kept, dupes = ranked.where("rn = 1"), ranked.where("rn > 1").withColumn("state", F.lit("duplicate"))
-    joined = patches.join(kept.select("id", F.col("seq").alias("base_seq")), "id", "left")
-    fits = F.col("base_seq").isNotNull() & (F.col("base_seq") < F.col("seq"))
-    judged = joined.withColumn("state", F.when(fits, "applied").otherwise("orphaned"))
-    merged = latest_fields(judged.where("state = 'applied'").select("id", "seq", "fields")).withColumnRenamed("fields", "patch")
-    full = kept.join(merged, "id", "left")
+    ranked = live.where("key <> ''").withColumn("rn", rank).select("id", "seq", "fields", "rn").union(live.where("key = ''").select("id", "seq", "fields", F.lit(1)))
+    ranked = ranked.withColumn("state", F.when(F.col("rn") == 1, "kept").otherwise("duplicate")).select(*cols)
+    judged = written(ranked if tangled is None else ranked.union(tangled.select(*cols)), "log-bases")
+    kept, dupes = judged.where("state = 'kept'"), judged.where("state = 'duplicate'")
+
+    # The last kept base of the id before each correction.
+    timeline = patches.select("id", "seq", "fields", F.lit(None).cast(log.schema["seq"].dataType).alias("own")).union(kept.select("id", "seq", F.lit(None).cast("map<string,string>"), F.col("seq").alias("own")))
+    before = F.last("own", True).over(Window.partitionBy("id").orderBy("seq", F.col("own").isNotNull()).rowsBetween(Window.unboundedPreceding, 0))
+    placed = timeline.withColumn("base", before).where("own is null")
+    corrected = placed.select("id", "seq", "fields", F.when(F.col("base").isNotNull(), "applied").otherwise("orphaned").alias("state"))
+    merged = latest_fields(placed.where("base is not null").select(F.struct("id", "base").alias("record"), "seq", "fields"), "record")
+    merged = merged.select(F.col("record.id").alias("_id"), F.col("record.base").alias("_seq"), F.col("fields").alias("patch"))
+    full = kept.join(merged, (F.col("id") == F.col("_id")) & (F.col("seq") == F.col("_seq")), "left")
     fields = F.when(F.col("patch").isNull(), F.col("fields")).otherwise(F.map_concat(F.map_filter("fields", lambda k, v: ~F.map_contains_key("patch", k)), "patch"))
     state = F.when(F.coalesce(F.element_at(fields, "duplicate_of"), F.lit("")) != "", "retired").otherwise("kept")
     full = full.select("id", "seq", fields.alias("fields"), state.alias("state"))
-    cols = ["id", "seq", "fields", "state"]
-    out = full.union(retired.select(*cols)).union(dupes.select(*cols)).union(judged.select(*cols))
-    return out.union(tangled.select(*cols)) if tangled is not None else out
+    return full.union(retired.select(*cols)).union(dupes.select(*cols)).union(corrected.select(*cols))
 
 
 def assembled(log: DataFrame) -> tuple[DataFrame, DataFrame]:

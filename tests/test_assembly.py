@@ -63,6 +63,39 @@ def test_fold_cases(spark, rows):
     assert folded(spark, rows) == by_hand(rows)
 
 
+# Records and corrections that empty addresses would connect; ids with several kept bases, and moves back and forth.
+MOVES = [
+    [(1, "a", False, {"url": "u"}), (2, "a", True, {"t": "1"}), (3, "a", True, {"url": "v"}), (4, "a", False, {"url": "u"}), (5, "a", True, {"t": "2"}), (6, "b", False, {"url": "v"})],
+    [(1, "a", False, {}), (2, "b", False, {}), (3, "a", True, {"url": "u"}), (4, "c", False, {"url": "u"}), (5, "b", True, {"url": "w"}), (6, "d", False, {"url": "w/"})],
+    [(1, "a", False, {"url": "u"}), (2, "b", False, {"url": "v"}), (3, "b", True, {"url": "u"}), (4, "b", True, {"url": "w"}), (5, "a", True, {"url": "u/"}), (6, "c", False, {"url": "u"}), (7, "d", False, {"url": "v"})],
+    [(1, "a", False, {"url": "u"}), (2, "a", True, {"url": ""}), (3, "a", True, {"url": "v"}), (4, "b", False, {"url": "u"}), (5, "c", False, {"url": "v"})],
+]
+
+
+@pytest.mark.parametrize("rows", MOVES)
+def test_fold_moves(spark, rows):
+    assert folded(spark, rows) == by_hand(rows)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_fold_random_with_repeated_ids(spark, seed):
+    r = random.Random(seed)
+    rows = []
+    for seq in range(300):
+        url = {"url": f"u{r.randrange(12)}" + "/" * r.randrange(2)} if r.random() < 0.4 else {}
+        rows.append((seq, f"i{r.randrange(15)}", r.random() < 0.6, {r.choice("abc"): str(seq), **url, **({"duplicate_of": "x"} if r.random() < 0.1 else {})}))
+    assert folded(spark, rows) == by_hand(rows)
+
+
+def test_moves_of_unrelated_records_stay_apart(spark):
+    """Retired rows and others without an address connect nothing, so groups that are gone through in order stay small."""
+    rows = [(10 * i + k, f"i{i}", override, fields) for i in range(30) for k, (override, fields) in enumerate([(False, {"duplicate_of": "x"}), (False, {}), (False, {"url": f"u{i}"}), (True, {"url": f"v{i}"})])]
+    log = spark.createDataFrame(rows, TYPE).selectExpr("*", "fields['url'] as url", "coalesce(fields['url'], '') as key")
+    groups = A._moving(log.where("not override"), log.where("override"))
+    assert groups.groupBy("root").count().agg(F.count("*"), F.max("count")).first()[:] == (30, 3)
+    assert folded(spark, rows) == by_hand(rows)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_fold_random(spark, seed):
     r = random.Random(seed)
