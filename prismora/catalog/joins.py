@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..cluster import written
 from ..functions import derive as D
 from ..functions.text import norm_url, url_key
 from ..operators import assembly as A
@@ -140,7 +141,7 @@ union all select id, 'importance', importance::varchar, null from c where id lik
 
 
 def j19(spark, d):
-    a = corpus(spark, d).select("id", F.round("pop", 12).alias("pop"), "title")
+    a = written(corpus(spark, d).select("id", F.round("pop", 12).alias("pop"), "title"), "corpus")  # both sides
     b = a.where("id <> 'part-5'").withColumn("pop", F.when(F.col("id") == "part-7", F.col("pop") + 1e-3).when(F.col("id") == "part-8", F.col("pop") + 1e-14).otherwise(F.col("pop"))).withColumn("title", F.when(F.col("id") == "part-9", "other").otherwise(F.col("title")))
     return V.drift(a, b, "id", ["title"], {"pop": 1e-12})
 
