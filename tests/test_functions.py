@@ -2,6 +2,9 @@
 
 import json
 import math
+import random
+import re
+import time
 
 import pytest
 from prismora.functions import derive as D
@@ -121,3 +124,59 @@ def test_slugs_against_the_loop(spark):
     for x in W.slugs(df, "stem", "year", ["n"], spark.createDataFrame([(t,) for t in taken], "id string"), "id", alternative="other").collect():
         got.setdefault((x["n"], x["r"]), []).append(x["slug"])
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+def test_fold_in_the_jvm_is_fold_text(spark):
+    """Every Latin letter and mark, alone and beside others, and texts of other scripts, against the definition."""
+    r = random.Random(5)
+    every = [chr(c) for c in (*range(0x20, 0x250), *range(0x300, 0x370))]
+    texts = [*every, *(f"A{c}e" for c in every), "", None, "ΟΔΟΣ Σ", "Ω½ﬁ", "한글 É", "a𝔘b", "İSTANBUL\nİ"]
+    texts += ["".join(r.choice(every) for _ in range(40)) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {x["i"]: x["f"] for x in df.select("i", X.fold(F.col("t")).alias("f")).collect()}
+    assert [got[i] for i in range(len(texts))] == [X.fold_text(t) for t in texts]
+
+
+def test_fold_keeps_ascii_texts_out_of_python(spark):
+    """Python holds some texts of a batch at a time: an ASCII text doesn't reach it, and a slice is all that it turns into objects."""
+    plan = spark.createDataFrame([("A",)], "t string").select(X.fold(F.col("t")))._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython [_fold(CASE WHEN NOT" in re.sub(r"#\d+", "", plan)
+
+
+def test_bibliography_is_cut_at_its_place(spark):
+    def by_hand(v):
+        late = [m.start() for m in X._HEADING.finditer(v) if m.start() > 0.45 * len(v)]
+        cut = late[-1] if late else len(v)
+        return v[:cut], v[cut:]
+
+    texts = ["", "x", "é𝔘" * 30 + "\nReferences:\n[1] ü𝔘\nREFERENCE\n2", "References\n" + "a" * 50, "a" * 30 + "\n 3. Lıterature Cited \nx", "b" * 30 + "\nworKs cited\nx\nBİBLIOGRAPHY\n", "b" * 30 + "\n(references)\n"]
+    df = spark.createDataFrame([*enumerate(texts), (99, None)], "i int, t string")
+    got = {x["i"]: x["b"] for x in df.select("i", X.split_bibliography(F.col("t")).alias("b")).collect()}
+    assert tuple(got.pop(99)) == (None, None)
+    assert {i: tuple(b) for i, b in got.items()} == {i: by_hand(t) for i, t in enumerate(texts)}
+    assert sum(bool(b) for _, b in map(by_hand, texts)) == 3
+
+
+def test_slugs_of_many_equal_stems(spark):
+    """Numbers go on where they stopped; looking for each from 2 on takes time with the square of the copies."""
+    from prismora.operators import worklists as W
+
+    n = 12_000
+    df = spark.range(n).selectExpr("id", "if(id % 3 = 0, 'paper-one-two', 'paper-one') as stem", "if(id % 2 = 0, 'y24', '') as year")
+    taken = spark.createDataFrame([("paper-one-5",), ("paper-one-2-y24",)], "id string")
+    began = time.time()
+    got = {x["id"]: x["slug"] for x in W.slugs(df, "stem", "year", ["id"], taken, "id").collect()}
+    assert time.time() - began < 20
+    seen = {"paper-one-5", "paper-one-2-y24"}
+    for stem in ("paper-one", "paper-one-two"):
+        for year in ("", "y24"):
+            tail = f"-{year}" if year else ""
+            names = (f"{stem}{mark}{tail}" for mark in ["", *(f"-{k}" for k in range(2, n))])
+            ids = [i for i in range(n) if (i % 3 == 0) == (stem == "paper-one-two") and (i % 2 == 0) == (year == "y24")]
+            assert [got[i] for i in ids] == [x for _, x in zip(ids, (x for x in names if x not in seen))]
+
+
+def test_gaps_of_long_lists(spark):
+    df = spark.createDataFrame([([5],), ([3, 4, 9, 1 << 40],), ([],), (None,), (list(range(0, 400, 2)),)], "ids array<bigint>")
+    got = df.select("ids", D.delta_decode(D.delta_encode(F.col("ids"))).alias("back")).collect()
+    assert all(x["ids"] == x["back"] for x in got)
