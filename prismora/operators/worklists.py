@@ -101,15 +101,18 @@ def slugs(df: DataFrame, stem: str, year: str, order: list[str], taken: DataFram
         rows, used = grouped(rows), grouped(used)
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        seen, out = set(right["id"]), []
+        seen, out, free = set(right["id"]), [], {}
         for r in left.sort_values([*names, "row"], na_position="first").itertuples():
             tail = f"-{r.year}" if r.year else ""
-            slug, k = _fit(r.stem, most - len(tail)) + tail, 2
+            slug = _fit(r.stem, most - len(tail)) + tail
             if slug in seen and r.other:
                 slug = _fit(r.other, most - len(tail)) + tail
-            while slug in seen:
-                mark = f"-{k}{tail}"
-                slug, k = _fit(r.stem, most - len(mark)) + mark, k + 1
+            if slug in seen:
+                k = free.get((r.stem, tail), 2)  # lower numbers stay taken
+                while slug in seen:
+                    mark = f"-{k}{tail}"
+                    slug, k = _fit(r.stem, most - len(mark)) + mark, k + 1
+                free[r.stem, tail] = k
             seen.add(slug)
             out.append((r.row, slug))
         return pd.DataFrame(out, columns=["row", "slug"])
