@@ -101,10 +101,10 @@ def x13(spark, d):
 
 def x14(spark, d):
     """Problems of each answer, as a list."""
-    e = table(spark, d, "events")
-    k = F.get_json_object("props", "$.k").try_cast("int")
-    found = F.array_compact(F.array(F.when(k.isNull(), "k missing"), F.when(~k.between(0, 50), "k out of range"), F.when(~F.col("event_type").isin("view", "click", "purchase"), "type unknown"), F.when(F.col("value") < 0, "value negative")))
-    return e.select("event_id", F.array_join(found, "; ").alias("problems"))
+    e = table(spark, d, "events").select("event_id", "event_type", "value", F.get_json_object("props", "$.k").try_cast("int").alias("k"))  # parsed once a row
+    k = F.col("k")
+    found = F.concat_ws("; ", F.when(k.isNull(), "k missing"), F.when(~k.between(0, 50), "k out of range"), F.when(~F.col("event_type").isin("view", "click", "purchase"), "type unknown"), F.when(F.col("value") < 0, "value negative"))
+    return e.select("event_id", found.alias("problems"))
 
 
 X14_SQL = "with e as (select *, (props ->> '$.k')::int k from events) select event_id, concat_ws('; ', case when k is null then 'k missing' end, case when not k between 0 and 50 then 'k out of range' end, case when event_type not in ('view', 'click', 'purchase') then 'type unknown' end, case when value < 0 then 'value negative' end) as problems from e"

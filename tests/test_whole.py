@@ -43,3 +43,15 @@ def test_unique_urls_where_pages_share_addresses(spark, tmp_path):
     con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
     expected, _ = rows_of_sql(con, text)
     assert rows_of(query(spark, str(tmp_path))) == expected and len(expected) == 3
+
+
+def test_answers_are_parsed_once(spark):
+    plan = catalog.entries()["x14_answer_problems"][0](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("get_json_object") == 1
+
+
+def test_recall_filters_tokens_before_they_are_grouped(spark):
+    """No lists of tokens that begin with none of the asked words, and no documents as arrays in one row."""
+    plan = catalog.entries()["a22_recall"][0](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    lists = plan.index("collect_set")
+    assert plan.count("collect_set") == 1 and "StartsWith(token" in plan[lists:]
